@@ -1,6 +1,6 @@
 """Registered queries. Importing the package fills the registry."""
 
-from wardlight.catalog import encounters, hospital
+from wardlight.catalog import encounters, hospital, scoring
 from wardlight.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "encounters", "hospital"]
+__all__ = ["ORACLES", "QUERIES", "encounters", "hospital", "scoring"]
