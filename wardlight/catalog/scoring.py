@@ -308,13 +308,15 @@ _DRUG = "CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE concat('Drug ', cast(l_partk
 _BIRTH = "CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE concat(cast(1930 + c_custkey % 80 AS string), '-0', cast(1 + c_custkey % 9 AS string), '-1', cast(c_custkey % 10 AS string)) END"
 
 
-def _pages(rows, key, body, schema):
-    """JSON bundle pages parsed back with the declared schema."""
-    text = F.to_json(F.expr(f"named_struct('patient_id', cast({key} AS string), {body})"))
-    return rows.select(F.from_json(text, schema).alias("page")).select("page.*")
+def _pages(rows, key, body, schema, as_json):
+    """Bundle pages, as they are or written to JSON and parsed with the declared schema."""
+    page = F.expr(f"named_struct('patient_id', cast({key} AS string), {body})")
+    if as_json:
+        page = F.from_json(F.to_json(page), schema)
+    return rows.select(page.alias("page")).select("page.*")
 
 
-def bundles(spark, d):
+def bundles(spark, d, as_json=False):
     orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
     code = f"named_struct('text', o_orderstatus, 'coding', array(named_struct('code', {_CODE})))"
     extra = "named_struct('text', 'uncoded', 'coding', cast(NULL AS array<struct<code:string>>))"
@@ -326,17 +328,17 @@ def bundles(spark, d):
             "CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender",
             f"{_BIRTH} AS birthDate",
         ),
-        "Condition": _pages(orders, "o_custkey", entries, schemas.FHIR_CONDITION),
+        "Condition": _pages(orders, "o_custkey", entries, schemas.FHIR_CONDITION, as_json),
         "MedicationRequest": _pages(
             lines, "l_suppkey", f"'entry', array(named_struct('resource', named_struct('medicationCodeableConcept', named_struct('text', {_DRUG}))))",
-            schemas.FHIR_MEDICATION),
+            schemas.FHIR_MEDICATION, as_json),
         "Encounter": _pages(
             orders, "o_custkey", f"'entry', array(named_struct('resource', named_struct('class', named_struct('code', {_CLASS}))))",
-            schemas.FHIR_ENCOUNTER),
+            schemas.FHIR_ENCOUNTER, as_json),
         "Observation": _pages(
             table(spark, d, "events"), "user_id",
             "'total', CASE WHEN user_id % 5 = 0 THEN 57 END, 'entry', array_repeat(named_struct('resource', named_struct('id', cast(event_id AS string))), cast(event_id % 3 AS int))",
-            schemas.FHIR_OBSERVATION),
+            schemas.FHIR_OBSERVATION, as_json),
     }
 
 
@@ -378,23 +380,23 @@ def fhir_patients(spark, d):
 
 @query(_FHIR + "SELECT text, code, count(*) AS n, count(DISTINCT pid) AS patients FROM codes GROUP BY text, code")
 def fhir_conditions(spark, d):
-    rows = fhir.condition_rows(bundles(spark, d)["Condition"])
+    rows = fhir.condition_rows(bundles(spark, d, as_json=True)["Condition"])
     return rows.groupBy("text", "code").agg(F.count("*").alias("n"), F.count_distinct("patient_id").alias("patients"))
 
 
 @query(_FHIR + "SELECT text, count(*) AS n FROM drugs GROUP BY text")
 def fhir_medications(spark, d):
-    return fhir.medication_rows(bundles(spark, d)["MedicationRequest"]).groupBy("text").agg(F.count("*").alias("n"))
+    return fhir.medication_rows(bundles(spark, d, as_json=True)["MedicationRequest"]).groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query(_FHIR + "SELECT cast(pid AS VARCHAR) AS patient_id, inpatient, outpatient, emergency, total FROM visits")
 def fhir_encounters(spark, d):
-    return fhir.encounter_counts(fhir.encounter_rows(bundles(spark, d)["Encounter"]))
+    return fhir.encounter_counts(fhir.encounter_rows(bundles(spark, d, as_json=True)["Encounter"]))
 
 
 @query(_FHIR + "SELECT cast(pid AS VARCHAR) AS patient_id, n AS lab_count FROM labs")
 def fhir_labs(spark, d):
-    return fhir.lab_counts(bundles(spark, d)["Observation"])
+    return fhir.lab_counts(bundles(spark, d, as_json=True)["Observation"])
 
 
 @query(_FHIR + "SELECT cast(pid AS VARCHAR) AS id, 'Pat Q ' || c_name AS name, CASE WHEN gender = 'unknown' THEN '' ELSE gender END AS gender "

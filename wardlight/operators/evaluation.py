@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,12 @@ def roc_auc(scores: DataFrame, points: Sequence[float] | None = None) -> DataFra
 
 
 def auc_value(df: DataFrame, score: str = "p", label: str = "label") -> float | None:
-    return roc_auc(score_table(df, score, label)).first()["auc"]
+    """The area as a number. The score table is kept while it is read twice."""
+    scores = score_table(df, score, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return roc_auc(scores).first()["auc"]
+    finally:
+        scores.unpersist()
 
 
 def roc_points(scores: DataFrame, points: Sequence[float] | None = None) -> DataFrame:

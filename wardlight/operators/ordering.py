@@ -101,30 +101,39 @@ def values_at(counts: DataFrame, value: str, number: str, ranks: Sequence[int])
     return [(found[rank][value], found[rank]["_before"]) for rank in ranks]
 
 
-def _interpolated(counts: DataFrame, value: str, number: str, fraction: float) -> float | None:
-    rows = counts.agg(F.sum(number)).first()[0]
-    if not rows:
-        return None
-    position = fraction * (rows - 1)
-    low = int(position)
-    high = min(low + 1, rows - 1)
-    (below, _), (above, _) = values_at(counts, value, number, [low, high])
-    share = position - low
-    return float(below) if share == 0 else float(below) * (1 - share) + float(above) * share
+def _quantiles(counts: DataFrame, fractions: Mapping[str, float]) -> dict[str, float | None]:
+    """Interpolated quantiles of a (name, value, n) table, one per name.
+
+    Names with few distinct values share one aggregate. The others go by rank.
+    """
+    sizes = {
+        r["name"]: (r["values"], r["rows"])
+        for r in counts.groupBy("name").agg(F.count("value").alias("values"), F.sum("n").alias("rows")).collect()
+    }
+    found: dict[str, float | None] = {name: None for name in fractions}
+    few = [name for name in fractions if 0 < sizes.get(name, (0, 0))[0] <= RANGE_ROWS]
+    if few:
+        row = counts.where(F.col("name").isin(few)).agg(*[
+            F.percentile(F.when(F.col("name") == name, F.col("value")), fractions[name], F.col("n")).alias(f"q{i}")
+            for i, name in enumerate(few)
+        ]).first()
+        found.update({name: row[f"q{i}"] for i, name in enumerate(few)})
+    for name in set(fractions) - set(few):
+        rows = sizes.get(name, (0, 0))[1]
+        if not rows:
+            continue
+        position = fractions[name] * (rows - 1)
+        low = int(position)
+        share = position - low
+        one = counts.where(F.col("name") == name).select("value", "n")
+        (below, _), (above, _) = values_at(one, "value", "n", [low, min(low + 1, rows - 1)])
+        found[name] = float(below) if share == 0 else float(below) * (1 - share) + float(above) * share
+    return found
 
 
 def exact_quantile(df: DataFrame, column: str, fraction: float) -> float | None:
     """Quantile with linear interpolation over the non-null values, exact at any size."""
-    counts = (
-        df.select(F.col(column).cast("double").alias("value"))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("value").agg(F.count("*").alias("n"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        return _interpolated(counts, "value", "n", fraction)
-    finally:
-        counts.unpersist()
+    return profile(df, {column: (F.col(column), fraction)}, {})[0][column]
 
 
 def approx_quantile(df: DataFrame, column: str, fraction: float, accuracy: int = 10_000) -> float | None:
@@ -132,6 +141,11 @@ def approx_quantile(df: DataFrame, column: str, fraction: float, accuracy: int =
     return df.agg(F.percentile_approx(F.col(column).cast("double"), fraction, accuracy)).first()[0]
 
 
+def _finite(column: Column) -> Column:
+    number = column.cast("double")
+    return F.when(~F.isnan(number), number)
+
+
 def profile(
     df: DataFrame,
     quantiles: Mapping[str, tuple[Column, float]],
@@ -145,23 +159,22 @@ def profile(
     """
     none = F.lit(None)
     entries = [
-        F.struct(F.lit(name).alias("name"), column.cast("double").alias("number"), none.cast("string").alias("text"))
+        F.struct(F.lit(name).alias("name"), _finite(column).alias("value"), none.cast("string").alias("text"))
         for name, (column, _) in quantiles.items()
     ] + [
-        F.struct(F.lit(name).alias("name"), none.cast("double").alias("number"), column.alias("text"))
+        F.struct(F.lit(name).alias("name"), none.cast("double").alias("value"), column.alias("text"))
         for name, column in levels.items()
     ]
     counts = (
         df.select(F.inline(F.array(*entries)))
-        .where(F.col("number").isNotNull() | F.col("text").isNotNull())
-        .groupBy("name", "number", "text").agg(F.count("*").alias("n"))
+        .where(F.col("value").isNotNull() | F.col("text").isNotNull())
+        .groupBy("name", "value", "text").agg(F.count("*").alias("n"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        found = {
-            name: _interpolated(counts.where(F.col("name") == name).select("number", "n"), "number", "n", fraction)
-            for name, (_, fraction) in quantiles.items()
-        }
+        found = _quantiles(
+            counts.where(F.col("value").isNotNull()), {name: fraction for name, (_, fraction) in quantiles.items()}
+        ) if quantiles else {}
         texts: dict[str, list[str]] = {name: [] for name in levels}
         most = max_levels * len(levels)
         if levels:

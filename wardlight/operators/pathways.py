@@ -28,14 +28,15 @@ def _texts(values) -> Column:
 
 
 def _catalogue() -> Column:
-    """The pathways as one literal array, for lookups inside an expression."""
-    return F.array(*[
-        F.struct(
+    """The pathways as one literal map by id, for lookups inside an expression."""
+    return F.create_map(*[
+        part
+        for pid, name, priority, color, days, actions, specialists in fixed.PATHWAYS
+        for part in (F.lit(pid), F.struct(
             F.lit(pid).alias("id"), F.lit(name).alias("name"), F.lit(priority).alias("priority"),
             F.lit(color).alias("color"), F.lit(days).alias("follow_up_days"),
             _texts(actions).alias("actions"), _texts(specialists).alias("specialists"),
-        )
-        for pid, name, priority, color, days, actions, specialists in fixed.PATHWAYS
+        ))
     ])
 
 
@@ -79,9 +80,8 @@ def care_plans(df: DataFrame, asof: Column, ids: Column | None = None) -> DataFr
     is cut to its first ten; specialists are sorted.
     """
     named = df.withColumn("_ids", assigned_ids(df) if ids is None else ids)
-    found = F.array_compact(F.transform(
-        "_ids", lambda pid: F.get(F.filter(_catalogue(), lambda p: p["id"] == pid), 0)
-    ))
+    catalogue = _catalogue()
+    found = F.array_compact(F.transform("_ids", lambda pid: F.try_element_at(catalogue, pid)))
     planned = named.withColumn("_paths", found)
     ranks = F.array_max(F.transform("_paths", lambda p: F.coalesce(_rank(p["priority"]), F.lit(0))))
     days = F.coalesce(F.array_min(F.transform("_paths", lambda p: p["follow_up_days"])), F.lit(fixed.NO_FOLLOW_UP_DAYS))

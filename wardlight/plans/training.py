@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, sqrt
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,11 +95,13 @@ def positional_split(
 
 def fit_scaling(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each feature in one pass; deviation 0 scales by 1."""
-    row = df.agg(*[
-        x for i, f in enumerate(features)
-        for x in (F.avg(f"`{f}`").alias(f"m{i}"), F.stddev_pop(f"`{f}`").alias(f"s{i}"))
-    ]).first()
-    return {f: (float(row[f"m{i}"] or 0.0), float(row[f"s{i}"] or 0.0) or 1.0) for i, f in enumerate(features)}
+    vectors = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df.select(*[f"`{f}`" for f in features]))
+    row = vectors.agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("_v")).alias("s")).first()["s"]
+    n = row["count"]
+    if not n:
+        return {f: (0.0, 1.0) for f in features}
+    spread = [sqrt(v * (n - 1) / n) for v in row["variance"]]
+    return {f: (float(m), float(s) or 1.0) for f, m, s in zip(features, row["mean"], spread)}
 
 
 def scale(df: DataFrame, scaling: Mapping[str, tuple[float, float]]) -> DataFrame:
