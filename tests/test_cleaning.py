@@ -25,8 +25,7 @@ def test_drop_strict_and_present(spark):
 
 def test_contract_alignment(spark):
     df = spark.createDataFrame([(True, "7", "x", float("nan"), None)], "b boolean, s string, t string, d double, i int")
-    got = c.align_to_contract(df, ["i", "missing", "d", "t", "s", "b"], keep=["t"]) if False else \
-        c.align_to_contract(df, ["i", "missing", "d", "t", "s", "b"])
+    got = c.align_to_contract(df, ["i", "missing", "d", "t", "s", "b"])
     assert got.columns == ["i", "missing", "d", "t", "s", "b"]
     assert tuple(got.first()) == (0.0, 0.0, 0.0, 0.0, 7.0, 1.0)
 

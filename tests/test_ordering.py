@@ -11,7 +11,6 @@ from wardlight.operators import ordering
 def small_ranges(monkeypatch):
     """Make a handful of rows count as many, so that several ranges are used."""
     monkeypatch.setattr(ordering, "RANGE_ROWS", 10)
-    monkeypatch.setattr(ordering.split_points, "__defaults__", (ordering.RANGES, 10))
 
 
 @pytest.mark.parametrize("descending", [False, True])

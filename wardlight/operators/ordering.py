@@ -21,7 +21,7 @@ RANGE_ROWS = 50_000   # below this many distinct values one range is enough
 _RANGE = "_range"
 
 
-def split_points(df: DataFrame, by: str, ranges: int = RANGES, range_rows: int = RANGE_ROWS) -> list[float]:
+def split_points(df: DataFrame, by: str, ranges: int = RANGES, range_rows: int | None = None) -> list[float]:
     """At most ``ranges - 1`` values that cut the rows of ``df`` into even ranges.
 
     They only balance the work: any choice of points gives the same result.
@@ -31,7 +31,7 @@ def split_points(df: DataFrame, by: str, ranges: int = RANGES, range_rows: int =
         F.count(value),
         F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges),
     ).first()
-    wanted = min(ranges, -(-size // range_rows)) if size else 1
+    wanted = min(ranges, -(-size // (range_rows or RANGE_ROWS))) if size else 1
     if wanted <= 1:
         return []
     return sorted({cuts[i * ranges // wanted - 1] for i in range(1, wanted)})
