@@ -56,7 +56,12 @@ def test_outcome_log(spark, tmp_path):
     new = spark.createDataFrame([("P1", 0.7, True)], "patient_id string, predicted_risk double, actually_readmitted boolean")
     writers.append_outcomes(new, path)
     writers.append_outcomes(new, path)
-    rows = readers.read_outcomes(spark, path).collect()
+    old = new.withColumn("recorded_at", F.lit("2020-05-05 10:00:00").cast("timestamp"))
+    writers.append_outcomes(old, path)
+    recent = readers.read_outcomes(spark, path, since="2024-01-01")
+    assert "PartitionFilters: [isnotnull(recorded_day" in recent._jdf.queryExecution().toString()
+    assert readers.read_outcomes(spark, path).count() == 3
+    rows = recent.collect()
     assert len(rows) == 2 and rows[0]["actually_readmitted"] == 1 and rows[0]["notes"] == "" and rows[0]["recorded_at"] is not None
 
 

@@ -6,18 +6,20 @@ import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil, sqrt
+from multiprocessing.pool import ThreadPool
+from statistics import fmean, pstdev
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.functions import fixed
-from wardlight.operators.evaluation import auc_value
+from wardlight.operators.evaluation import auc_value, mean_and_spread
 from wardlight.operators.ordering import at_most, first_positions, hash_cutoffs, row_hash
 from wardlight.operators.scoring import with_probability
 from wardlight.session import ensure_checkpoint_dir
@@ -216,8 +218,29 @@ def evaluate_all(models: Mapping[str, PipelineModel], test: DataFrame, label: st
 
 # -- cross-validation and search ----------------------------------------------
 
-def _evaluator(label: str) -> BinaryClassificationEvaluator:
-    return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
+def fold_scores(
+    spec: ModelSpec, maps: Sequence[Mapping[str, object]], prepared: DataFrame, rows: int, label: str, folds: int,
+    parallelism: int,
+) -> list[tuple[int, int, float]]:
+    """``(map, fold, AUC)`` of every parameter map on every fold.
+
+    Folds are filters on the numbered rows, so no row leaves the JVM; the rows
+    are kept once for all fits. ``parallelism`` fits are submitted side by side.
+    """
+    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
+    kept = prepared.select(label, WEIGHT, FOLD, "features").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def score(task: tuple[int, int]) -> tuple[int, int, float]:
+        number, fold = task
+        model = estimator(spec.with_params(**maps[number]), rows, label).fit(kept.where(F.col(FOLD) != fold))
+        return number, fold, evaluator.evaluate(model.transform(kept.where(F.col(FOLD) == fold)))
+
+    try:
+        with ThreadPool(parallelism) as pool:
+            tasks = [(number, fold) for number in range(len(maps)) for fold in range(folds)]
+            return pool.map(inheritable_thread_target(prepared.sparkSession)(score), tasks)
+    finally:
+        kept.unpersist()
 
 
 def cross_validate(
@@ -232,20 +255,8 @@ def cross_validate(
     for name, spec in specs.items():
         prepared = weighted(numbered, label, spec.weighting, (n0, n1))
         prepared = Pipeline(stages=_inputs(spec, train, features)).fit(prepared).transform(prepared)
-        result = _cross_validator(spec, n0 + n1, label, folds, [{}], parallelism).fit(
-            prepared.select(label, WEIGHT, FOLD, "features")
-        )
-        rows.append((name, float(result.avgMetrics[0]), float(result.stdMetrics[0])))
-    return train.sparkSession.createDataFrame(rows, "model string, mean double, std double")
-
-
-def _cross_validator(spec, rows, label, folds, maps, parallelism) -> CrossValidator:
-    model = estimator(spec, rows, label)
-    grid = [{model.getParam(k): v for k, v in m.items()} for m in maps]
-    return CrossValidator(
-        estimator=model, estimatorParamMaps=grid, evaluator=_evaluator(label), numFolds=folds, foldCol=FOLD,
-        parallelism=parallelism, seed=SEED,
-    )
+        rows += [(name, fold, auc) for _, fold, auc in fold_scores(spec, [{}], prepared, n0 + n1, label, folds, parallelism)]
+    return mean_and_spread(train.sparkSession.createDataFrame(rows, "model string, fold int, auc double"), ["model"])
 
 
 def sample_trials(trials: int = 50, seed: int = SEED) -> list[dict[str, object]]:
@@ -281,14 +292,11 @@ def search(
     n0, n1 = class_ratio(train, label)
     prepared = weighted(stratified_folds(train, ids, label, folds), label, spec.weighting, (n0, n1))
     prepared = VectorAssembler(inputCols=list(features), outputCol="features").transform(prepared)
-    fitted: CrossValidatorModel = _cross_validator(spec, n0 + n1, label, folds, trials, parallelism).fit(
-        prepared.select(label, WEIGHT, FOLD, "features")
-    )
-    scores = [float(x) for x in fitted.avgMetrics]
-    rows = [
-        (i, score, float(spread), int(t["maxIter"]), float(t["stepSize"]), int(t["maxDepth"]))
-        for i, (t, score, spread) in enumerate(zip(trials, scores, fitted.stdMetrics))
-    ]
+    scores = fold_scores(spec, trials, prepared, n0 + n1, label, folds, parallelism)
+    rows = []
+    for i, t in enumerate(trials):
+        own = [auc for number, _, auc in scores if number == i]
+        rows.append((i, fmean(own), pstdev(own), int(t["maxIter"]), float(t["stepSize"]), int(t["maxDepth"])))
     rows.sort(key=lambda r: (-r[1], r[0]))
     table = train.sparkSession.createDataFrame(
         rows, "trial int, mean double, std double, maxIter int, stepSize double, maxDepth int"

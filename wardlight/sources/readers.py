@@ -75,9 +75,15 @@ def _read_log(spark: SparkSession, path: str, schema: str, kind: str) -> DataFra
         return spark.createDataFrame([], schema)
 
 
-def read_outcomes(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """Outcome log; a log that does not exist yet is empty. ``kind='json'`` reads a JSON array."""
-    return _read_log(spark, path, schemas.OUTCOMES, kind)
+def read_outcomes(spark: SparkSession, path: str, kind: str = "parquet", since: str | None = None) -> DataFrame:
+    """Outcome log; a log that does not exist yet is empty. ``kind='json'`` reads a JSON array.
+
+    ``since`` (a date) leaves out earlier days without reading them.
+    """
+    log = _read_log(spark, path, schemas.OUTCOMES, kind)
+    if since:
+        log = log.where(F.col("recorded_day" if "recorded_day" in log.columns else "recorded_at") >= F.lit(since).cast("date"))
+    return log.drop("recorded_day")
 
 
 def read_metrics(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:

@@ -31,13 +31,16 @@ write_predictions = write_table
 
 
 def append_outcomes(outcomes: DataFrame, path: str) -> None:
-    """Append outcomes: integer label, stamped now unless a time is given."""
+    """Append outcomes: integer label, stamped now unless a time is given.
+
+    The log is laid out by day, so that a report over recent days reads those only.
+    """
     stamped = outcomes if "recorded_at" in outcomes.columns else outcomes.withColumn("recorded_at", F.current_timestamp())
     noted = stamped if "notes" in stamped.columns else stamped.withColumn("notes", F.lit(""))
     noted.select(
         "patient_id", "predicted_risk", F.col("actually_readmitted").cast("int").alias("actually_readmitted"),
-        "recorded_at", "notes",
-    ).write.mode("append").parquet(path)
+        "recorded_at", "notes", F.to_date("recorded_at").alias("recorded_day"),
+    ).write.mode("append").partitionBy("recorded_day").parquet(path)
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:

@@ -34,7 +34,11 @@ def append_outcome_stream(
         shaped = shaped.withWatermark("recorded_at", distinct_within).dropDuplicatesWithinWatermark(
             ["patient_id", "predicted_risk", "actually_readmitted", "notes"]
         )
-    writer = shaped.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    writer = (
+        shaped.withColumn("recorded_day", F.to_date("recorded_at"))
+        .writeStream.format("parquet").partitionBy("recorded_day")
+        .option("checkpointLocation", checkpoint).outputMode("append")
+    )
     trigger = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
     return trigger.start(path)
 
