@@ -9,6 +9,8 @@ from wardlight.functions.scalars import round_half_even
 from wardlight.operators import cleaning, encounters, intake
 from wardlight.operators.ordering import exact_quantile
 from wardlight.plans.jobs import encounter_job
+from wardlight.session import scratch_path
+from wardlight.sources import readers
 
 ENC = ("fx_encounters",)
 TIES = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
@@ -264,3 +266,19 @@ def exclude_dispositions(spark, d):
     return cleaning.exclude_dispositions(raw(spark, d)).select(
         "encounter_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "discharge_disposition_id"
     )
+
+
+# -- files ---------------------------------------------------------------------
+
+
+@query("""SELECT CASE WHEN max_glu_serum = 'None' THEN NULL ELSE max_glu_serum END AS max_glu_serum,
+  CASE WHEN A1Cresult = 'None' THEN NULL ELSE A1Cresult END AS A1Cresult, count(*) AS rows, count(discharge_disposition_id) AS dispositions,
+  sum(num_medications)::BIGINT AS medications FROM fx_encounters GROUP BY 1, 2""", ENC)
+def encounters_from_csv(spark, d):
+    """Encounters written as CSV text and read back with their schema."""
+    path = scratch_path(spark, "encounters-csv")
+    raw(spark, d).drop(*TIES).write.option("header", True).csv(path)
+    return readers.read_encounters(spark, path).groupBy("max_glu_serum", "A1Cresult").agg(
+        F.count("*").alias("rows"), F.count("discharge_disposition_id").alias("dispositions"),
+        F.sum("num_medications").alias("medications"),
+    )

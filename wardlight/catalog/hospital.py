@@ -6,6 +6,7 @@ from wardlight.catalog.registry import flag, query, r
 from wardlight.catalog.views import table, view
 from wardlight.functions.scalars import round_half_even
 from wardlight.operators import hospital
+from wardlight.operators.ordering import profile
 from wardlight.plans.jobs import hospital_job
 
 STAR = ("fx_appointments", "fx_doctors", "fx_patients", "fx_billing", "fx_treatments")
@@ -162,8 +163,7 @@ def table_shapes(spark, d):
 
 @query(_MERGED + "SELECT median(total_billed) AS billed_median, quantile_cont(total_billed, 0.75) AS billed_q75 FROM merged", STAR)
 def billed_quantiles(spark, d):
-    from wardlight.operators.ordering import exact_quantile
-
-    joined = merged(spark, d)
-    row = (exact_quantile(joined, "total_billed", 0.5), exact_quantile(joined, "total_billed", 0.75))
+    billed = F.col("total_billed")
+    found, _ = profile(merged(spark, d), {"median": (billed, 0.5), "q75": (billed, 0.75)}, {})
+    row = (found["median"], found["q75"])
     return spark.createDataFrame([row], "billed_median double, billed_q75 double")

@@ -69,6 +69,14 @@ def band_counts(spark, d):
     return scoring.band_counts(scores(spark, d))
 
 
+@query(f"""SELECT count(*) AS total_patients, 'High=' || count(*) FILTER (WHERE p >= 0.6) || ', Medium=' || count(*) FILTER (WHERE p >= 0.3 AND p < 0.6)
+  || ', Low=' || count(*) FILTER (WHERE p < 0.3) AS risk_summary FROM fx_scores""", SCORES)
+def batch_summary(spark, d):
+    summary = scoring.batch_summary(scores(spark, d))
+    pairs = F.transform(F.map_entries("risk_summary"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return summary.withColumn("risk_summary", F.array_join(pairs, ", "))
+
+
 _STEPS = "\n".join(f"{i}. {t}" for i, t in enumerate(fixed.RECOMMENDATIONS["High"], 1))
 ALERTS_SQL = f"""SELECT cast(patient_id AS VARCHAR) AS patient_id, notify_email AS recipient,
   'HIGH READMISSION RISK - Patient ' || patient_id AS subject,
@@ -420,6 +428,15 @@ def outcomes(spark, d):
     return view(spark, d, "fx_outcomes")
 
 
+@query("""every AS (SELECT patient_id, actually_readmitted FROM fx_outcomes UNION ALL SELECT 'P' || patient_id, label FROM fx_scores)
+SELECT patient_id, count(*) AS outcomes, sum(actually_readmitted)::BIGINT AS readmitted FROM every GROUP BY patient_id""", ("fx_outcomes", "fx_scores"))
+def outcome_append(spark, d):
+    new = scores(spark, d).select(
+        F.concat(F.lit("P"), F.col("patient_id").cast("string")).alias("patient_id"), F.col("label").alias("actually_readmitted"))
+    log = cleaning.append_rows(outcomes(spark, d), new)
+    return log.groupBy("patient_id").agg(F.count("*").alias("outcomes"), F.sum("actually_readmitted").alias("readmitted"))
+
+
 @query(_DRIFT + f"""SELECT CASE WHEN drifted THEN 'drift_detected' ELSE 'no_drift' END AS status, n AS outcomes_count, NULL::INTEGER AS min_required,
   NULL::VARCHAR AS message, {r('auc')} AS current_auc, 0.6812::DOUBLE AS baseline_auc, drifted AS drift_detected,
   CASE WHEN drifted THEN 'Retrain model immediately' ELSE 'Model performing well' END AS recommendation FROM drift""", OUT)

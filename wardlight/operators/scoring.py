@@ -76,6 +76,16 @@ def band_counts(scored: DataFrame, p: str = "p") -> DataFrame:
     return bands.join(F.broadcast(counted), "risk_level", "left").fillna(0, subset=["patients"])
 
 
+def batch_summary(scored: DataFrame, p: str = "p") -> DataFrame:
+    """One row for a batch of requests: how many, and how many per band as a map."""
+    band = risk_band(F.col(p))
+    counts = F.array(*[F.count_if(band == name) for name in fixed.BANDS])
+    return scored.agg(
+        F.count("*").alias("total_patients"),
+        F.map_from_arrays(F.array(*[F.lit(name) for name in fixed.BANDS]), counts).alias("risk_summary"),
+    )
+
+
 def alert_rows(scored: DataFrame, p: str = "p", email: str = "notify_email") -> DataFrame:
     """Alert for each High row that names an address."""
     high = scored.where((risk_band(F.col(p)) == "High") & F.col(email).isNotNull() & (F.col(email) != ""))
