@@ -88,6 +88,8 @@ def test_generic_join_and_aggregate(spark):
     got = h.join_then_aggregate(left, right, "k", ["g"], {"v": ["mean", "sum"]}).first()
     assert (got["g"], got["v_mean"], got["v_sum"]) == ("a", 15.0, 30)
     assert h.aggregate_by(left, ["k"], {"v": "sum"}).count() == 1
+    assert tuple(h.aggregate_by(left, ["k"], {"v": ["median", "nunique"]}).first()) == (1, 15.0, 2)
+    assert tuple(h.aggregate_by(left, ["k"], {"v": "median"}).first()) == (1, 15.0)
     with pytest.raises(ValueError):
         h.aggregate_by(left, ["k"], {"v": "nope"})
 

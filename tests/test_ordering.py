@@ -114,3 +114,13 @@ def test_hash_sample(spark):
     two = sorted(r[0] for r in ordering.hash_sample(df.repartition(2), ["id"], 10).collect())
     assert one == two and len(one) == 10
     assert ordering.hash_sample(df, ["id"], 1000).count() == 100
+
+
+@pytest.mark.parametrize("fraction", [0.0, 0.3, 0.5, 1.0])
+def test_grouped_quantile_spreads_a_hot_key(spark, small_ranges, fraction):
+    rng = random.Random(4)
+    rows = [("hot", rng.uniform(0, 100)) for _ in range(400)] + [(f"k{i % 7}", float(rng.randint(0, 30))) for i in range(300)]
+    df = spark.createDataFrame([*rows, ("hot", None), ("empty", None), (None, 1.0)], "k string, v double").repartition(4)
+    got = {r["k"]: r["q"] for r in ordering.grouped_quantile(df, ["k"], "v", fraction, "q").collect()}
+    expected = {k: float(np.quantile([v for n, v in rows if n == k], fraction)) for k in {k for k, _ in rows}}
+    assert got == pytest.approx(expected)

@@ -126,17 +126,18 @@ def hospital_summary(spark, d):
 
 @query(f"""
 SELECT c_mktsegment, {r("avg(c_acctbal)")} AS c_acctbal_mean, {r("sum(o_totalprice)", 2)} AS o_totalprice_sum,
-  count(o_orderkey) AS o_orderkey_count, max(o_totalprice) AS o_totalprice_max
+  count(o_orderkey) AS o_orderkey_count, max(o_totalprice) AS o_totalprice_max, {r("median(o_totalprice)")} AS o_totalprice_median
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
 def join_then_aggregate(spark, d):
     orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
     result = hospital.join_then_aggregate(
         orders, table(spark, d, "customer"), "c_custkey", ["c_mktsegment"],
-        {"c_acctbal": "mean", "o_totalprice": ["sum", "max"], "o_orderkey": "count"},
+        {"c_acctbal": "mean", "o_totalprice": ["sum", "max", "median"], "o_orderkey": "count"},
     )
     return result.withColumns({
         "c_acctbal_mean": round_half_even(F.col("c_acctbal_mean"), 4),
         "o_totalprice_sum": round_half_even(F.col("o_totalprice_sum"), 2),
+        "o_totalprice_median": round_half_even(F.col("o_totalprice_median"), 4),
     })
 
 

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from wardlight.catalog import encounters as enc
 from wardlight.catalog import scoring as sco
 from wardlight.catalog.registry import query, r
-from wardlight.catalog.views import table, view
+from wardlight.catalog.views import VIEWS, table
 from wardlight.functions import fixed
 from wardlight.functions.scalars import round_half_even
 from wardlight.operators import evaluation
 from wardlight.plans import explain, jobs, training
 from wardlight.session import materialise, scratch_path
+from wardlight.sources.readers import stream_requests
 from wardlight.streaming import discharge, feedback
 
 SCORES = ("fx_scores",)
@@ -245,8 +246,6 @@ def _event_stream(spark, d, name):
     events = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(d)
     stream.createOrReplaceTempView("events_stream")
-    from wardlight.catalog.views import VIEWS
-
     return spark.sql(f"SELECT {VIEWS[name][1]} FROM events_stream")
 
 
@@ -289,8 +288,6 @@ def stream_discharge(spark, d):
     _, names, _, _, _, model = _quick(spark, d)
     base = scratch_path(spark, "requests")
     requests(spark, d).write.json(f"{base}/in")
-    from wardlight.sources.readers import stream_requests
-
     scored = discharge.score_events(stream_requests(spark, f"{base}/in"), model, names)
     discharge.run_stream(scored, f"{base}/scores", f"{base}/alerts", f"{base}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{base}/scores").drop("batch")

@@ -288,12 +288,18 @@ def note_merge(spark, d):
     return notes.annotated_features(rows.select("patient_id", "complexity_score"), rows.select("patient_id", "annotation_json"))
 
 
-def keyword_annotator(prompts: pd.Series) -> pd.Series:
-    """Stand-in for a model: scores a note by words it contains."""
-    low = prompts.str.partition("\n\n")[2].str.lower()
-    risk = low.str.contains("risk", regex=False).astype(int) * 3 + low.str.contains("the", regex=False).astype(int)
-    return '{"fall_risk": ' + low.str.contains("fall", regex=False).astype(int).astype(str) \
-        + ', "overall_psychosocial_risk": ' + risk.astype(str) + "}"
+def keyword_annotator():
+    """Stand-in for a model: scores a note by words it contains.
+
+    Made inside a function so that it travels to the workers by value.
+    """
+    def annotate(prompts: pd.Series) -> pd.Series:
+        low = prompts.str.partition("\n\n")[2].str.lower()
+        risk = low.str.contains("risk", regex=False).astype(int) * 3 + low.str.contains("the", regex=False).astype(int)
+        fall = low.str.contains("fall", regex=False).astype(int)
+        return '{"fall_risk": ' + fall.astype(str) + ', "overall_psychosocial_risk": ' + risk.astype(str) + "}"
+
+    return annotate
 
 
 @query(f"""found AS (SELECT doc_id, (contains(lower(text), 'risk')::INTEGER * 3 + contains(lower(text), 'the')::INTEGER)::DOUBLE AS risk,
@@ -302,7 +308,7 @@ SELECT doc_id, fall_risk, risk AS psychosocial_risk_score, 2.0::DOUBLE AS caregi
     "found AS", "WITH found AS", 1))
 def note_annotation(spark, d):
     texts = table(spark, d, "documents").select("doc_id", F.col("text").alias("note"))
-    parsed = notes.parse_annotations(notes.annotate_notes(texts, keyword_annotator))
+    parsed = notes.parse_annotations(notes.annotate_notes(texts, keyword_annotator()))
     merged = notes.merge_annotations(parsed.withColumn("fall_risk", F.col("annotation.fall_risk")))
     return merged.select("doc_id", "fall_risk", "psychosocial_risk_score", "caregiver_support", "complexity_score")
 

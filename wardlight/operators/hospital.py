@@ -12,7 +12,7 @@ from wardlight.functions.scalars import (
     age_in_years, elderly_flag, lenient_date, nz, one_hot, round_half_even, weekend_flag,
 )
 from wardlight.operators.cleaning import drop_present, fill_numeric
-from wardlight.operators.ordering import approx_quantile, exact_quantile, profile
+from wardlight.operators.ordering import approx_quantile, exact_quantile, grouped_quantile, profile
 
 AGGREGATES = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),  # a sum over nothing is 0
@@ -20,7 +20,6 @@ AGGREGATES = {
     "count": F.count,
     "min": F.min,
     "max": F.max,
-    "median": F.median,
     "std": F.stddev_samp,
     "var": F.var_samp,
     "nunique": F.count_distinct,
@@ -43,17 +42,19 @@ def join_inner(left: DataFrame, right: DataFrame, on: str | Sequence[str], null_
 def aggregate_by(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, str | Sequence[str]]) -> DataFrame:
     """Aggregates named by column, such as ``{"age": "mean"}``, as ``age_mean``.
 
-    Rows with a null key form no group.
+    Rows with a null key form no group. A median is taken from value counts and
+    joined on, as Spark's own one would hold all values of a group in one place.
     """
     wanted = [(c, fn) for c, fns in aggregates.items() for fn in ([fns] if isinstance(fns, str) else fns)]
-    unknown = sorted({fn for _, fn in wanted if fn not in AGGREGATES})
+    unknown = sorted({fn for _, fn in wanted if fn not in AGGREGATES and fn != "median"})
     if unknown:
         raise ValueError(f"unknown aggregates {unknown}")
-    return (
-        df.dropna(subset=list(keys))
-        .groupBy(*keys)
-        .agg(*[AGGREGATES[fn](c).alias(f"{c}_{fn}") for c, fn in wanted])
-    )
+    rows = df.dropna(subset=list(keys))
+    plain = [AGGREGATES[fn](c).alias(f"{c}_{fn}") for c, fn in wanted if fn != "median"]
+    result = rows.groupBy(*keys).agg(*plain) if plain else rows.select(*keys).distinct()
+    for c in [c for c, fn in wanted if fn == "median"]:
+        result = result.join(grouped_quantile(rows, keys, c, 0.5, f"{c}_median"), list(keys), "left")
+    return result.select(*keys, *[f"{c}_{fn}" for c, fn in wanted])
 
 
 def join_then_aggregate(left, right, on, keys, aggregates) -> DataFrame:

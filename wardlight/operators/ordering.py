@@ -51,30 +51,33 @@ def running_totals(
     totals: Mapping[str, str],
     descending: bool = False,
     points: Sequence[float] | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Add running sums in the order of ``by``.
+    """Add running sums in the order of ``by``, over the table or within keys.
 
-    ``df`` holds one row per distinct non-null value of ``by``; ``totals`` maps
-    a column to the name of its running sum (the row itself included). Sums run
-    inside each range; what lies before a range comes from a table of one row
-    per range.
+    ``df`` holds one row per distinct non-null value of ``by`` (and key);
+    ``totals`` maps a column to the name of its running sum (the row itself
+    included). Sums run inside each range; what lies before a range comes from a
+    table of one row per range (and key). So even a single key is spread over
+    all ranges.
     """
     points = split_points(df, by) if points is None else points
     direction = F.desc if descending else F.asc
     ranged = _with_range(df, by, points)
-    inside = Window.partitionBy(_RANGE).orderBy(direction(by)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*within, _RANGE).orderBy(direction(by)).rowsBetween(Window.unboundedPreceding, 0)
     summed = ranged.select("*", *[F.sum(c).over(inside).alias(name) for c, name in totals.items()])
     if not points:
         return summed.drop(_RANGE)
-    # One row per range, so at most RANGES rows: the unpartitioned window and
+    # At most RANGES rows (per key), so without keys the unpartitioned window and
     # the broadcast below stay that small whatever the size of df.
-    before = Window.orderBy(direction(_RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*within).orderBy(direction(_RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy(_RANGE)
+        ranged.groupBy(*within, _RANGE)
         .agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
-        .select(_RANGE, *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in totals])
+        .select(*within, _RANGE,
+                *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in totals])
     )
-    joined = summed.join(F.broadcast(offsets), _RANGE)
+    joined = summed.join(offsets if within else F.broadcast(offsets), [*within, _RANGE])
     kept = [c for c in df.columns if c not in totals.values()]
     return joined.select(
         *kept, *[(F.col(name) + F.col(f"_before_{c}")).alias(name) for c, name in totals.items()]
@@ -136,6 +139,32 @@ def exact_quantile(df: DataFrame, column: str, fraction: float) -> float | None:
     return profile(df, {column: (F.col(column), fraction)}, {})[0][column]
 
 
+def grouped_quantile(df: DataFrame, keys: Sequence[str], column: str, fraction: float, output: str) -> DataFrame:
+    """The same per key (non-null keys). A key's values are never gathered in one task."""
+    counts = (
+        df.select(*keys, _finite(F.col(column)).alias("_value"))
+        .dropna(subset=[*keys, "_value"])
+        .groupBy(*keys, "_value").agg(F.count("*").alias("_n"))
+    )
+    position = F.lit(fraction) * (F.col("_rows") - 1)
+    low = F.floor(position)
+    placed = running_totals(counts, "_value", {"_n": "_upto"}, within=keys).join(
+        counts.groupBy(*keys).agg(F.sum("_n").alias("_rows")), list(keys)
+    )
+
+    def value_at(rank: Column) -> Column:
+        covers = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+        return F.max(F.when(covers, F.col("_value")))
+
+    ends = placed.groupBy(*keys).agg(
+        value_at(low).alias("_below"), value_at(F.least(low + 1, F.col("_rows") - 1)).alias("_above"),
+        F.max(position - low).alias("_share"),
+    )
+    return ends.select(
+        *keys, (F.col("_below") * (1 - F.col("_share")) + F.col("_above") * F.col("_share")).alias(output)
+    )
+
+
 def approx_quantile(df: DataFrame, column: str, fraction: float, accuracy: int = 10_000) -> float | None:
     """One-pass alternative with a rank error of ``1/accuracy``."""
     return df.agg(F.percentile_approx(F.col(column).cast("double"), fraction, accuracy)).first()[0]
