@@ -78,6 +78,8 @@ def test_pipeline_columns_and_unseen_levels(raw):
     scored, same = encounter_job(raw({"race": "Unseen", "medical_specialty": None}), stats=stats)
     assert same is stats and scored.columns == features.columns
     assert scored.first()["race_Other"] == 0
+    kept, _ = encounter_job(train, stats=stats, keep_ids=["encounter_id"])
+    assert set(kept.columns) - set(features.columns) == {"encounter_id"}
 
 
 def test_job_writes_its_table(raw, spark, tmp_path):

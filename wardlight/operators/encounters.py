@@ -140,8 +140,8 @@ def encode_categoricals(df: DataFrame, levels: dict[str, list[str]]) -> DataFram
     )
 
 
-def drop_ids(df: DataFrame) -> DataFrame:
-    return drop_present(df, fixed.ENCOUNTER_IDS)
+def drop_ids(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return drop_present(df, [c for c in fixed.ENCOUNTER_IDS if c not in keep])
 
 
 def fit_encounters(cleaned: DataFrame, max_levels: int = 1000) -> EncounterStats:
@@ -166,8 +166,11 @@ def fit_encounters(cleaned: DataFrame, max_levels: int = 1000) -> EncounterStats
     return EncounterStats(quantiles["visits"], quantiles["labs"], levels)
 
 
-def encounter_features(cleaned: DataFrame, stats: EncounterStats, keep_ids: bool = False) -> DataFrame:
-    """Cleaned encounters to the feature table, steps in their fixed order."""
+def encounter_features(cleaned: DataFrame, stats: EncounterStats, keep_ids: bool | Sequence[str] = False) -> DataFrame:
+    """Cleaned encounters to the feature table, steps in their fixed order.
+
+    ``keep_ids`` names the id columns to keep beside the features; True keeps all.
+    """
     featured = (
         cleaned.transform(age_features)
         .transform(utilisation_features, stats.visits_high)
@@ -178,7 +181,7 @@ def encounter_features(cleaned: DataFrame, stats: EncounterStats, keep_ids: bool
         .transform(interaction_features)
         .transform(encode_categoricals, stats.levels)
     )
-    return featured if keep_ids else drop_ids(featured)
+    return featured if keep_ids is True else drop_ids(featured, keep_ids or ())
 
 
 def label_distribution(df: DataFrame, label: str = fixed.LABEL) -> DataFrame:

@@ -26,7 +26,7 @@ from wardlight.sources import readers, writers
 
 def encounter_job(
     raw: DataFrame, output: str | None = None, order: Sequence[str | Column] = ("encounter_id",),
-    stats: EncounterStats | None = None, label_mode: str = "any", keep_ids: bool = False,
+    stats: EncounterStats | None = None, label_mode: str = "any", keep_ids: bool | Sequence[str] = False,
 ) -> tuple[DataFrame, EncounterStats]:
     """Raw encounters to the feature table.
 
@@ -106,7 +106,7 @@ def score_raw(
     order: Sequence[str | Column] = ("encounter_id",), keep: Sequence[str] = (), threshold: float = fixed.DECISION_THRESHOLD,
 ) -> DataFrame:
     """Raw encounters to predictions with the figures learned in training."""
-    features, _ = encounter_job(raw, order=order, stats=stats, keep_ids=bool(keep))
+    features, _ = encounter_job(raw, order=order, stats=stats, keep_ids=keep)
     return score_features(model, features, contract, keep, threshold)
 
 
