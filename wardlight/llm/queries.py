@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import sharding, simhash, suffixes
+from wardlight.llm import sharding, simhash, suffixes, vbyte
 from wardlight.llm.common import read
+from wardlight.llm.tokens import public_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +43,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, by_rank = vbyte.write_tokens(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=0)
+    return vbyte.read_tokens(manifest, by_rank).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
