@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import sharding, simhash, suffixes, vbyte
+from wardlight.llm import merges, packing, sharding, simhash, suffixes, vbyte
 from wardlight.llm.common import read
 from wardlight.llm.tokens import public_tokenizer
 
@@ -49,3 +49,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, by_rank = vbyte.write_tokens(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=0)
     return vbyte.read_tokens(manifest, by_rank).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merges.count_tokens(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
