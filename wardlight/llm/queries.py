@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import merges, packing, sharding, simhash, suffixes, vbyte
+from wardlight.llm import merges, packing, quality, sharding, simhash, suffixes, vbyte
 from wardlight.llm.common import read
 from wardlight.llm.tokens import public_tokenizer
 
@@ -60,3 +60,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=1)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, carry=["doc_id"])
+    return scored.select("row.doc_id", quality.held_out("row.doc_id").alias("held_out"), "score",
+                         F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
