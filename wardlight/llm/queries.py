@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import merges, packing, quality, sharding, simhash, suffixes, vbyte
+from wardlight.llm import merges, packing, quality, secret_scan, sharding, simhash, suffixes, vbyte
 from wardlight.llm.common import read
 from wardlight.llm.tokens import public_tokenizer
 
@@ -69,3 +69,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, model, carry=["doc_id"])
     return scored.select("row.doc_id", quality.held_out("row.doc_id").alias("held_out"), "score",
                          F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = secret_scan.Words(secret_scan.vocabulary_words(public_tokenizer("word_bpe_49k.json")))
+    found = secret_scan.scan(read(spark, sf_dir, "documents"), secret_scan.train(spark, words), carry=["doc_id", "source"], path_col="source")
+    found = found.select("row.doc_id", F.explode("findings").alias("f"))
+    return found.select("doc_id", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.sha2("f.value", 256).alias("value_sha256"),
+                        "f.probability", (F.col("f.probability") >= secret_scan.THRESHOLD).alias("is_secret"))
