@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import merges, packing, quality, secret_scan, sharding, simhash, suffixes, vbyte
+from wardlight.llm import merges, packing, quality, secret_scan, sharding, simhash, suffixes, vbyte, warc
 from wardlight.llm.common import read
 from wardlight.llm.tokens import public_tokenizer
+from wardlight.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.select("row.doc_id", F.explode("findings").alias("f"))
     return found.select("doc_id", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.sha2("f.value", 256).alias("value_sha256"),
                         "f.probability", (F.col("f.probability") >= secret_scan.THRESHOLD).alias("is_secret"))
+
+
+@query("op6_warc", """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER (PARTITION BY coalesce(html, ''))
+    THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER (PARTITION BY coalesce(html, ''))
+    THEN min(page_id) OVER (PARTITION BY coalesce(html, '')) END AS refers_to
+FROM pages
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    found = materialise(warc.look_up(spark, archive.directory, warc.keys_of(pages)), "found")
+    return warc.read_records(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
             if out is None:
                 system, path = locate(name)
                 system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                out = system.open_output_stream(path)
+                out = system.open_output_stream(path, compression=None)
             raw = pack_block(ids, np.array([len(h) for h in held]), rank[np.concatenate(held)])
             rows.append((part, name, out.tell(), len(raw), done, size))
             out.write(raw)
