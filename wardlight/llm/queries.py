@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import merges, packing, quality, secret_scan, sharding, simhash, suffixes, vbyte, warc
+from wardlight.llm import itq, merges, packing, quality, secret_scan, sharding, simhash, suffixes, vbyte, warc
 from wardlight.llm.common import read
 from wardlight.llm.tokens import public_tokenizer
 from wardlight.session import materialise
@@ -94,3 +94,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(pages)
     found = materialise(warc.look_up(spark, archive.directory, warc.keys_of(pages)), "found")
     return warc.read_records(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_embedding_near_dedup", """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (
+  SELECT vec_id, label, x FROM v
+  WHERE label IS NOT NULL AND x IS NOT NULL AND list_sum(list_transform(x, lambda e: e * e)) > 0
+    AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach AS (
+  WITH RECURSIVE r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+  SELECT a, min(b) AS b FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(reach.b, v.vec_id)) AS component_id,
+  v.vec_id = least(v.vec_id, coalesce(reach.b, v.vec_id)) AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN reach ON reach.a = v.vec_id
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = itq.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
