@@ -164,3 +164,25 @@ def test_pathway_rows_agree_with_plans(spark):
     rows = [(r["patient_id"], r["position"], r["id"]) for r in pathways.assigned_rows(df).orderBy("patient_id").collect()]
     assert rows == [(1, 0, "cardiac_high_risk"), (2, 0, "standard_medium_risk")]
     assert pathways.pathway_table(spark).count() == 8
+
+
+def test_plain_bundles_without_patient_column(spark, tmp_path):
+    subject = {"subject": {"reference": "http://host/fhir/Patient/p1/_history/2"}}
+    documents = {
+        "Patient": {"id": "p1", "birthDate": "1950-01-01"},
+        "Condition": {"resourceType": "Bundle", "entry": [{"resource": {"code": {"coding": [{"code": "I21.9"}]}, **subject}},
+                                                          {"resource": {"code": {"text": "x"}, "subject": {"reference": "Group/g"}}}]},
+        "MedicationRequest": {"entry": [{"resource": {"medicationCodeableConcept": {"text": "Aspirin"}, "subject": {"reference": "Patient/p1"}}}]},
+        "Encounter": {"entry": [{"resource": {"class": {"code": "IMP"}, **subject}}]},
+        "Observation": {"entry": [{"resource": {"id": "o", **subject}}, {"resource": {"id": "o2", **subject}}]},
+    }
+    for name, body in documents.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "one.json").write_text(json.dumps(body, indent=2))
+    (tmp_path / "Condition" / "bad.json").write_text("{ no json")
+    tables = read_fhir(spark, str(tmp_path), whole_files=True)
+    row = fhir.bundle_features(*[tables[n] for n in documents], asof()).first()
+    assert (row["patient_id"], row["number_diagnoses"], row["cardiac_primary"], row["num_medications"], row["num_lab_procedures"],
+            row["number_inpatient"]) == ("p1", 1, 1, 1, 2, 0)
+    from wardlight.sources.readers import unreadable_records
+    assert {r["resource"]: (r["records"], r["unreadable"]) for r in unreadable_records(tables).collect()}["Condition"] == (2, 1)

@@ -124,3 +124,25 @@ def test_grouped_quantile_spreads_a_hot_key(spark, small_ranges, fraction):
     got = {r["k"]: r["q"] for r in ordering.grouped_quantile(df, ["k"], "v", fraction, "q").collect()}
     expected = {k: float(np.quantile([v for n, v in rows if n == k], fraction)) for k in {k for k, _ in rows}}
     assert got == pytest.approx(expected)
+
+
+def test_as_many_ranges_as_the_rows_need(spark):
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("k"), F.lit(1).alias("n"))
+    points = ordering.split_points(df, "k", 20)
+    assert len(points) > 900
+    got = ordering.running_totals(df, "k", {"n": "upto"}, points=points)
+    assert got.where("upto <> k + 1").count() == 0 and got.count() == 20_000
+
+
+def test_both_ways_of_grouped_quantiles_agree(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 101).cast("double").alias("v"))
+    one = {r["k"]: r["q"] for r in ordering.grouped_quantile(df, ["k"], "v", 0.3, "q").collect()}
+    for limit in (99, 100, 101, 102, 5):
+        assert {r["k"]: r["q"] for r in ordering.grouped_quantile(df, ["k"], "v", 0.3, "q", limit).collect()} == pytest.approx(one)
+
+
+def test_first_positions_by_date(spark, small_ranges):
+    df = spark.range(300).select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 100).cast("int")).alias("day"))
+    first = ordering.first_positions(df, "day", ["id"], 0.5)
+    assert df.where(first).count() == 150
+    assert df.where(first).agg(F.max("day")).first()[0] <= df.where(~first).agg(F.min("day")).first()[0]

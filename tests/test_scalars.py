@@ -101,3 +101,17 @@ def test_one_hot_drops_first_level(spark):
     got = df.select(*s.one_hot("k", ["a", "b", "c"]))
     assert got.columns == ["k_b", "k_c"]
     assert [tuple(r) for r in got.collect()] == [(0, 0), (1, 0), (0, 1), (0, 0), (0, 0)]
+
+
+def test_dates_end_with_the_date_or_a_time(spark):
+    texts = ["2024-01-05", " 2024-1-5 ", "2024-01-05 10:30:00", "2024-01-05T10:30:00Z", "2024-01-05 junk", "01/02/2024", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(s.lenient_date(F.col("t"))).collect()]
+    assert [str(x) if x else None for x in got] == ["2024-01-05"] * 4 + [None] * 3
+    assert str(df.select(s.lenient_date(F.col("t"), "dd/MM/yyyy")).collect()[5][0]) == "2024-02-01"
+
+
+def test_text_of_no_probability(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),)], "p double")
+    assert [tuple(r) for r in df.select(s.percent_text(F.col("p")), s.risk_band(F.col("p")), s.risk_band_cut(F.col("p")), s.decision(F.col("p"))).collect()] \
+        == [(None, "Low", None, 0)] * 2

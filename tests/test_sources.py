@@ -93,19 +93,37 @@ def test_shared_folder(spark, monkeypatch, tmp_path):
 
     class Fake:
         class conf:
-            get = staticmethod(lambda key, default: "/shared/")
+            get = staticmethod(lambda key, default=None: "/shared/")
 
     assert session.shared_dir(Fake) == "/shared"
 
     class Cluster:
         class conf:
-            get = staticmethod(lambda key, default: default)
+            get = staticmethod(lambda key, default=None: "/house" if "warehouse" in key else default)
 
         class sparkContext:
             master = "spark://host:7077"
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Cluster)
+    Cluster.sparkContext.master = "local[2]"
+    assert session.shared_dir(Cluster) == "/house/_scratch"
+
+
+def test_a_workspace_goes_with_its_job(spark):
+    import os
+
+    with pytest.raises(KeyError), session.workspace(spark, "job") as folder:
+        session.materialise(spark.range(3), "t", folder)
+        assert os.listdir(folder)
+        raise KeyError
+    assert not os.path.exists(folder)
+
+
+def test_whole_numbers_with_a_point_and_line_breaks(spark, tmp_path):
+    path = write(tmp_path / "n.csv", 'a,t\n5.0,"one\ntwo"\n5.5,x\n7,"say ""hi"""\n')
+    rows = readers.read_csv(spark, path, "a int", multi_line=True).orderBy("t").collect()
+    assert [(r["a"], r["t"]) for r in rows] == [(5, "one\ntwo"), (7, 'say "hi"'), (None, "x")]
 
 
 def test_materialise_cuts_the_plan(spark):

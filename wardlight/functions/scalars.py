@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from wardlight.functions import fixed
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+# A date, or a date with a time behind it; nothing else may follow.
+ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?\s*$"
 
 
 def nz(condition: Column) -> Column:
@@ -18,6 +19,11 @@ def nz(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
+def number(value: Column) -> Column:
+    """NaN as null: a score that is not a number compares with nothing."""
+    return F.when(~F.isnan(value.cast("double")), value)
+
+
 def lookup(key: Column, mapping: Mapping[str, object]) -> Column:
     """Value of a small literal map, null for a key it does not hold."""
     pairs = [F.lit(x) for item in mapping.items() for x in item]
@@ -46,8 +52,9 @@ def round_half_even(value: Column, places: int) -> Column:
 
 
 def percent_text(p: Column) -> Column:
-    """``0.1234`` -> ``12.3%``. Rounded half-even first: the formatter rounds ties up."""
-    return F.format_string("%.1f%%", F.bround(p * 100, 1))
+    """``0.1234`` -> ``12.3%``, null without a number. Rounded half-even first: the formatter rounds ties up."""
+    known = number(p)
+    return F.when(known.isNotNull(), F.format_string("%.1f%%", F.bround(known * 100, 1)))
 
 
 # -- encounters ---------------------------------------------------------------
@@ -111,12 +118,14 @@ def whole_age(birth: Column, on: Column) -> Column:
 # -- scores -------------------------------------------------------------------
 
 def risk_band(p: Column) -> Column:
-    """Left-closed bands: 0.6 is High, 0.3 is Medium."""
+    """Left-closed bands: 0.6 is High, 0.3 is Medium; what is no number is Low."""
+    p = number(p)
     return F.when(p >= fixed.HIGH_CUT, "High").when(p >= fixed.MEDIUM_CUT, "Medium").otherwise("Low")
 
 
 def risk_band_cut(p: Column) -> Column:
     """Right-closed bands over (0, 1]: 0.6 is Medium, 0.3 is Low, 0 has no band."""
+    p = number(p)
     return (
         F.when((p <= 0) | (p > 1), None)
         .when(p <= fixed.MEDIUM_CUT, "Low")
@@ -126,7 +135,7 @@ def risk_band_cut(p: Column) -> Column:
 
 
 def decision(p: Column, threshold: float = fixed.DECISION_THRESHOLD) -> Column:
-    return nz(p >= threshold)
+    return nz(number(p) >= threshold)
 
 
 def recommendations(band: Column) -> Column:

@@ -1,7 +1,8 @@
 """FHIR bundles to patient features.
 
-A bundle table has one row per bundle page: ``patient_id`` and the bundle. A
-patient may have any number of pages. Entries are exploded and counted with
+A bundle table has one row per bundle page. Whose page it is says an added
+``patient_id``; without one, the subject each resource refers to. A patient may
+have any number of pages. Entries are exploded and counted with
 two-stage aggregations, so no patient's entries are ever gathered in one place.
 """
 
@@ -30,8 +31,22 @@ def patient_rows(patients: DataFrame, asof: Column) -> DataFrame:
     )
 
 
+def subject_id(reference: Column) -> Column:
+    """Id in a reference such as ``Patient/42``, with or without an address or a version; null for other resources."""
+    found = F.regexp_extract(reference, r"(?:^|/)Patient/([^/]+)", 1)
+    return F.when(found != "", found)
+
+
+def _has_subject(bundles: DataFrame) -> bool:
+    return "subject" in bundles.schema["entry"].dataType.elementType["resource"].dataType.names
+
+
 def _resources(bundles: DataFrame) -> DataFrame:
-    return bundles.select("patient_id", F.explode("entry").alias("entry")).select("patient_id", "entry.resource.*")
+    """Resources with their patient; what names none keeps a null patient."""
+    entries = bundles.select("patient_id", F.explode("entry").alias("entry")).select("patient_id", "entry.resource.*")
+    if not _has_subject(bundles):
+        return entries
+    return entries.withColumn("patient_id", F.coalesce("patient_id", subject_id(F.col("subject.reference"))))
 
 
 def condition_rows(bundles: DataFrame) -> DataFrame:
@@ -55,7 +70,14 @@ def encounter_rows(bundles: DataFrame) -> DataFrame:
 
 
 def lab_counts(bundles: DataFrame) -> DataFrame:
-    """The total a bundle states, else the number of its entries."""
+    """The total a bundle states, else the number of its entries.
+
+    A page without ``patient_id`` belongs to the first subject its resources refer
+    to; a search bundle is about one patient.
+    """
+    if _has_subject(bundles):
+        subjects = F.transform("entry", lambda e: subject_id(e["resource"]["subject"]["reference"]))
+        bundles = bundles.withColumn("patient_id", F.coalesce("patient_id", F.get(F.array_compact(subjects), 0)))
     return bundles.groupBy("patient_id").agg(
         F.coalesce(F.max("total"), F.sum(F.coalesce(F.size("entry"), F.lit(0))), F.lit(0)).cast("long").alias("lab_count")
     )

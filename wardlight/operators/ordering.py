@@ -15,26 +15,33 @@ from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-RANGES = 256          # most ranges a table is cut into
-RANGE_ROWS = 50_000   # below this many distinct values one range is enough
+from wardlight.session import materialise
+
+RANGE_ROWS = 50_000   # distinct values of a range; below that one range is enough
 _RANGE = "_range"
 
 
-def split_points(df: DataFrame, by: str, ranges: int = RANGES, range_rows: int | None = None) -> list[float]:
-    """At most ``ranges - 1`` values that cut the rows of ``df`` into even ranges.
+def as_double(df: DataFrame, by: str) -> Column:
+    """Position of a numeric, date or time value on a line; its order is that of the values."""
+    if isinstance(df.schema[by].dataType, T.DateType):
+        return F.unix_date(by).cast("double")
+    return F.col(by).cast("double")
+
+
+def split_points(df: DataFrame, by: str, range_rows: int | None = None) -> list[float]:
+    """Values that cut the rows of ``df`` into even ranges of about ``range_rows`` each, as many as that takes.
 
     They only balance the work: any choice of points gives the same result.
     """
-    value = F.col(by).cast("double")
-    size, cuts = df.agg(
-        F.count(value),
-        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges),
-    ).first()
-    wanted = min(ranges, -(-size // (range_rows or RANGE_ROWS))) if size else 1
+    value = as_double(df, by)
+    size = df.agg(F.count(value)).first()[0]
+    wanted = -(-size // (range_rows or RANGE_ROWS))
     if wanted <= 1:
         return []
-    return sorted({cuts[i * ranges // wanted - 1] for i in range(1, wanted)})
+    cuts = df.agg(F.percentile_approx(value, [i / wanted for i in range(1, wanted)], max(10_000, 20 * wanted))).first()[0]
+    return sorted(set(cuts))
 
 
 def _with_range(df: DataFrame, by: str, points: Sequence[float]) -> DataFrame:
@@ -42,7 +49,7 @@ def _with_range(df: DataFrame, by: str, points: Sequence[float]) -> DataFrame:
         return df.withColumn(_RANGE, F.lit(0.0))
     edges = [float("-inf"), *points, float("inf")]
     cutter = Bucketizer(splits=edges, inputCol="_by", outputCol=_RANGE)
-    return cutter.transform(df.withColumn("_by", F.col(by).cast("double"))).drop("_by")
+    return cutter.transform(df.withColumn("_by", as_double(df, by))).drop("_by")
 
 
 def running_totals(
@@ -68,8 +75,8 @@ def running_totals(
     summed = ranged.select("*", *[F.sum(c).over(inside).alias(name) for c, name in totals.items()])
     if not points:
         return summed.drop(_RANGE)
-    # At most RANGES rows (per key), so without keys the unpartitioned window and
-    # the broadcast below stay that small whatever the size of df.
+    # One row per range (and key): a share of RANGE_ROWS of the values. Spark checks
+    # its size before it is broadcast.
     before = Window.partitionBy(*within).orderBy(direction(_RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*within, _RANGE)
@@ -77,7 +84,7 @@ def running_totals(
         .select(*within, _RANGE,
                 *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in totals])
     )
-    joined = summed.join(offsets if within else F.broadcast(offsets), [*within, _RANGE])
+    joined = summed.join(offsets, [*within, _RANGE])
     kept = [c for c in df.columns if c not in totals.values()]
     return joined.select(
         *kept, *[(F.col(name) + F.col(f"_before_{c}")).alias(name) for c, name in totals.items()]
@@ -139,16 +146,27 @@ def exact_quantile(df: DataFrame, column: str, fraction: float) -> float | None:
     return profile(df, {column: (F.col(column), fraction)}, {})[0][column]
 
 
-def grouped_quantile(df: DataFrame, keys: Sequence[str], column: str, fraction: float, output: str) -> DataFrame:
-    """The same per key (non-null keys). A key's values are never gathered in one task."""
-    counts = (
+def grouped_quantile(
+    df: DataFrame, keys: Sequence[str], column: str, fraction: float, output: str, range_rows: int | None = None
+) -> DataFrame:
+    """The same per key (non-null keys), from value counts that are written once.
+
+    Keys of up to ``range_rows`` distinct values share one aggregate. If a key has more, its
+    values are not gathered in one task: all keys then go by rank.
+    """
+    counts = materialise(
         df.select(*keys, _finite(F.col(column)).alias("_value"))
         .dropna(subset=[*keys, "_value"])
-        .groupBy(*keys, "_value").agg(F.count("*").alias("_n"))
+        .groupBy(*keys, "_value").agg(F.count("*").alias("_n")),
+        "value-counts",
     )
+    widest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if widest <= (range_rows or RANGE_ROWS):
+        return counts.groupBy(*keys).agg(F.percentile("_value", fraction, F.col("_n")).alias(output))
     position = F.lit(fraction) * (F.col("_rows") - 1)
     low = F.floor(position)
-    placed = running_totals(counts, "_value", {"_n": "_upto"}, within=keys).join(
+    points = split_points(counts, "_value", range_rows)
+    placed = running_totals(counts, "_value", {"_n": "_upto"}, points=points, within=keys).join(
         counts.groupBy(*keys).agg(F.sum("_n").alias("_rows")), list(keys)
     )
 

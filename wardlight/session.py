@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +19,6 @@ DEFAULTS = {
 }
 
 
-_local_folders: dict[str, str] = {}
-
-
 def build_session(app: str = "wardlight", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -33,33 +31,50 @@ def build_session(app: str = "wardlight", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors are one process, may fall
-    back to a temporary folder.
+    A local session that names none uses a folder of its warehouse. On a cluster
+    the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    if sc.applicationId not in _local_folders:
-        _local_folders[sc.applicationId] = tempfile.mkdtemp(prefix="wardlight-")
-    return _local_folders[sc.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, so
-    a lost executor costs a re-read and not a recomputation."""
+    a lost executor costs a re-read and not a recomputation.
+
+    With ``folder`` the table belongs to that workspace, else to the caller.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}" if folder else scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for the intermediate tables of one job, removed when the job is done."""
+    path = scratch_path(spark, name)
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Boosting cuts its lineage by checkpoints when the context has a folder."""
     sc = spark.sparkContext

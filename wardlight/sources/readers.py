@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlight.functions import fixed
+from wardlight.functions.scalars import lenient_double
 from wardlight.operators.cleaning import align_map, feature_names, tokens_to_null
 from wardlight.sources import schemas
 
 BOM = "﻿"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def _typed(column: Column, kind: T.DataType) -> Column:
+    """Text to a declared type. Whole numbers may be written as ``5.0``; ``5.5`` is none."""
+    if not isinstance(kind, T.IntegralType):
+        return column.try_cast(kind)
+    value = lenient_double(column)
+    return F.coalesce(column.try_cast(kind), F.when(value == F.floor(value), value).try_cast(kind))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV with a header. Columns are matched by name; further columns are kept as
     text, and missing-value tokens become null before types are applied.
 
-    Only the header line is looked at ahead of the read, never the rows.
+    Only the header line is looked at ahead of the read, never the rows. Quoted cells
+    with line breaks need ``multi_line``; a file is then read by one task and not in splits.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"').csv(path)
     first = raw.columns[0] if raw.columns else ""
     if first.startswith(BOM):
         raw = raw.withColumnRenamed(first, first.lstrip(BOM))
@@ -33,17 +45,19 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     if missing:
         raise KeyError(f"{path} has no columns {missing}")
     return raw.select(*[
-        F.col(f"`{c}`").try_cast(declared[c]).alias(c) if c in declared else F.col(f"`{c}`") for c in raw.columns
+        _typed(F.col(f"`{c}`"), declared[c]).alias(c) if c in declared else F.col(f"`{c}`") for c in raw.columns
     ])
 
 
-def read_encounters(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schemas.ENCOUNTERS)
+def read_encounters(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return read_csv(spark, path, schemas.ENCOUNTERS, multi_line)
 
 
-def read_hospital(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def read_hospital(spark: SparkSession, folder: str, multi_line: bool = False) -> dict[str, DataFrame]:
     """The five hospital tables of a folder, one CSV file (or folder) each."""
-    return {name: read_csv(spark, f"{folder}/{name}.csv", schema) for name, schema in schemas.HOSPITAL.items()}
+    return {
+        name: read_csv(spark, f"{folder}/{name}.csv", schema, multi_line) for name, schema in schemas.HOSPITAL.items()
+    }
 
 
 def read_features(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -90,9 +104,27 @@ def read_metrics(spark: SparkSession, path: str, kind: str = "parquet") -> DataF
     return _read_log(spark, path, schemas.METRICS, kind)
 
 
-def read_fhir(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Bundle files as JSON lines, one folder per resource type."""
-    return {name: spark.read.schema(schema).json(f"{folder}/{name}") for name, schema in schemas.FHIR.items()}
+def read_fhir(spark: SparkSession, folder: str, whole_files: bool = False) -> dict[str, DataFrame]:
+    """Bundle files, one folder per resource type: JSON lines, or one (indented) document or array per file.
+
+    A record that cannot be read keeps its text in ``unreadable``; ``unreadable_records`` counts them.
+    """
+    return {
+        name: spark.read.schema(f"{schema}, {schemas.UNREADABLE} string").option("columnNameOfCorruptRecord", schemas.UNREADABLE)
+        .option("multiLine", whole_files).json(f"{folder}/{name}")
+        for name, schema in schemas.FHIR.items()
+    }
+
+
+def unreadable_records(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Records and unreadable records of each table of ``read_fhir``, as (resource, records, unreadable)."""
+    # Spark does not parse a file for the unreadable text alone, so every column takes part.
+    counts = [
+        df.agg(F.lit(name).alias("resource"), F.count(F.xxhash64(*df.columns)).alias("records"),
+               F.count(F.when(F.col(schemas.UNREADABLE).isNotNull(), F.xxhash64(*df.columns))).alias("unreadable"))
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:

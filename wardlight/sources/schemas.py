@@ -39,14 +39,18 @@ REQUESTS = _ddl(patient_id=_TEXT, patient_data="map<string,string>", notify_emai
 FHIR_PATIENT = "id string, name array<struct<given:array<string>,family:string>>, gender string, birthDate string"
 
 
-def _bundle(resource: str) -> str:
-    return f"patient_id string, entry array<struct<resource:struct<{resource}>>>"
+UNREADABLE = "unreadable"
+_SUBJECT = "subject:struct<reference:string>"
+
+
+def _bundle(resource: str, head: str = "") -> str:
+    return f"patient_id string, {head}entry array<struct<resource:struct<{resource},{_SUBJECT}>>>"
 
 
 FHIR_CONDITION = _bundle("code:struct<text:string,coding:array<struct<code:string>>>")
 FHIR_MEDICATION = _bundle("medicationCodeableConcept:struct<text:string>")
 FHIR_ENCOUNTER = _bundle("class:struct<code:string>")
-FHIR_OBSERVATION = "patient_id string, total int, entry array<struct<resource:struct<id:string>>>"
+FHIR_OBSERVATION = _bundle("id:string", "total int, ")
 FHIR = {
     "Patient": FHIR_PATIENT, "Condition": FHIR_CONDITION, "MedicationRequest": FHIR_MEDICATION,
     "Encounter": FHIR_ENCOUNTER, "Observation": FHIR_OBSERVATION,
