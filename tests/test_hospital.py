@@ -74,6 +74,21 @@ def test_job_is_all_numbers_but_the_patient(star, tmp_path):
     assert final.where("bill_per_treatment IS NULL").count() == 0
 
 
+def test_job_options_and_nothing_left_behind(spark, star, tmp_path):
+    import os
+
+    from wardlight.session import shared_dir
+
+    before = set(os.listdir(shared_dir(spark))) if os.path.isdir(shared_dir(spark)) else set()
+    other = {**star, "appointments": star["appointments"].withColumn("appointment_date", F.date_format(F.col("appointment_date").try_cast("date"), "dd/MM/yyyy"))}
+    final = hospital_job(other, str(tmp_path / "final"), date_format="dd/MM/yyyy", exact=False)
+    assert final.agg(F.max("appt_month")).first()[0] > 0
+    assert hospital_job(other, str(tmp_path / "iso")).agg(F.max("appt_month")).first()[0] == 0
+    with pytest.raises(ValueError):
+        hospital_job(star, str(tmp_path / "none"), max_levels=0)
+    assert set(os.listdir(shared_dir(spark))) == before
+
+
 def test_summary(star):
     row = h.hospital_summary(h.hospital_features(merged(star), 0.0)).first()
     assert row["total_patients"] == 2 and row["noshow_rate"] == 0.25

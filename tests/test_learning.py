@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.operators import scoring
+from wardlight.operators.linear import LinearScorer
 from wardlight.plans import explain, jobs, training as t
 from wardlight.sources import readers, writers
 from wardlight.streaming import discharge, feedback
@@ -185,13 +186,18 @@ def test_discharge_stream_equals_batch_and_may_run_twice(spark, model, tmp_path)
     paths = [str(tmp_path / n) for n in ("scores", "alerts", "checkpoint")]
     discharge.run_stream(stream, *paths, once=True).awaitTermination()
     batch = discharge.score_events(readers.read_requests(spark, str(inbox)), model, FEATURES)
-    expected = sorted(tuple(r) for r in discharge.results(batch).collect())
+    results = discharge.results(batch.withColumn("scored_at", F.current_timestamp())).drop("scored_at")
+    columns, expected = results.columns, sorted(tuple(r) for r in results.collect())
     got = spark.read.parquet(paths[0])
-    assert sorted(tuple(r) for r in got.drop("batch").collect()) == expected and got.select("batch").distinct().count() == 2
+    assert sorted(tuple(r) for r in got.select(columns).collect()) == expected and got.select("batch").distinct().count() == 2
+    assert got.where("scored_day <> to_date(scored_at)").count() == 0
     assert spark.read.parquet(paths[1]).count() == scoring.alert_rows(batch).count() > 0
     # Nothing new: a second run adds nothing.
     discharge.run_stream(stream, *paths, once=True).awaitTermination()
     assert spark.read.parquet(paths[0]).count() == 20
+    # A new checkpoint starts at batch 0 again and keeps what was there.
+    discharge.run_stream(stream, *paths[:2], str(tmp_path / "other"), once=True).awaitTermination()
+    assert spark.read.parquet(paths[0]).count() == 40 and spark.read.parquet(paths[0]).select("query").distinct().count() == 2
 
 
 def test_outcome_stream(spark, tmp_path):
@@ -206,3 +212,74 @@ def test_outcome_stream(spark, tmp_path):
         assert readers.read_outcomes(spark, log).count() == rows
     p2 = readers.read_outcomes(spark, str(tmp_path / "plain")).where("patient_id = 'P2'").first()
     assert (p2["predicted_risk"], p2["actually_readmitted"], p2["notes"]) == (0.5, 0, "") and p2["recorded_at"] is not None
+
+
+def test_unknown_features_count_as_zero(spark, data):
+    gaps = data.withColumn("a", F.when(F.col("id") % 50 != 0, F.col("a"))).withColumn("b", F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("b")))
+    zeros = gaps.fillna(0.0, subset=["a"]).withColumn("b", F.nanvl("b", F.lit(0.0)))
+    for name in ("logistic", "boosting_b"):
+        spec = t.default_models()[name]
+        spec = spec.with_params(maxIter=3) if name != "logistic" else spec
+        assert t.model_auc(t.fit(spec, gaps, FEATURES), gaps) == pytest.approx(t.model_auc(t.fit(spec, zeros, FEATURES), zeros))
+    assert t.cross_validate({"l": t.default_models()["logistic"]}, gaps, FEATURES, ["id"], folds=2).first()["mean"] > 0.8
+    assert t.search(gaps, FEATURES, ["id"], [{"maxIter": 1, "maxDepth": 1, "stepSize": 0.1}], folds=2)[0].count() == 1
+    champion = t.fit(t.bootstrap_model().with_params(maxIter=1), gaps, FEATURES)
+    assert t.retrain(gaps, champion, FEATURES, "id", ["id"], "2024-01-01 00:00:00", spec=t.default_models()["logistic"])[1].count() == 1
+
+
+def test_a_fold_fit_knows_its_own_rows(data, monkeypatch):
+    seen = []
+    real = t.estimator
+    monkeypatch.setattr(t, "estimator", lambda spec, rows, label: seen.append(rows) or real(spec, rows, label))
+    t.cross_validate({"l": t.default_models()["logistic"]}, data, FEATURES, ["id"], folds=4)
+    assert sorted(seen) and all(abs(n - 900) <= 2 for n in seen)
+
+
+def test_one_class_cannot_be_compared(data, model):
+    late = data.withColumn("readmitted_30d", F.when(F.col("id") >= 960, 1).otherwise(F.col("readmitted_30d")))
+    kept, metrics = t.retrain(late, model, FEATURES, "id", ["id"], "2024-01-01 00:00:00", spec=t.default_models()["logistic"])
+    assert kept is None and metrics.first()["status"] == "not_comparable" and metrics.first()["improvement"] is None
+    with pytest.raises(ValueError):
+        t.stratified_split(data.withColumn("readmitted_30d", F.col("id") % 3), ["id"])
+
+
+def test_learning_job_keeps_its_metrics(spark, data, tmp_path):
+    outcomes = spark.range(60).select(
+        F.lit("p").alias("patient_id"), (F.col("id") / 60.0).alias("predicted_risk"), (F.col("id") < 30).cast("int").alias("actually_readmitted"))
+    weak = t.fit(t.bootstrap_model().with_params(maxIter=1, maxDepth=1), data, ["b"])
+    where = dict(metrics_path=str(tmp_path / "metrics"), save_to=str(tmp_path / "challenger"), spec=t.default_models()["logistic"])
+    report, metrics = jobs.learning_job(outcomes, data, weak, FEATURES, "id", ["id"], "2024-01-01 00:00:00", **where)
+    assert report.first()["status"] == "drift_detected" and metrics.first()["status"] == "improved" and (tmp_path / "challenger").exists()
+    assert readers.read_metrics(spark, where["metrics_path"]).count() == 1
+    fine = outcomes.withColumn("actually_readmitted", 1 - F.col("actually_readmitted"))
+    assert jobs.learning_job(fine, data, weak, FEATURES, "id", ["id"], "2024-01-01 00:00:00", **where)[1] is None
+    assert readers.read_metrics(spark, where["metrics_path"]).count() == 1
+
+
+def test_given_coefficients(spark):
+    scorer = LinearScorer({"a": 2.0, "b": -1.0}, 0.5)
+    df = spark.createDataFrame([(1.0, 1.0), (None, float("nan"))], "a double, b double")
+    p = [r["p"] for r in scoring.with_probability(scorer, df).collect()]
+    assert p == pytest.approx([1 / (1 + np.exp(-1.5)), 1 / (1 + np.exp(-0.5))])
+    top = explain.linear_attribution(scorer, df, df, ["a", "b"], [], rows=None).collect()
+    assert [(r["feature"], r["importance"]) for r in top] == [("a", 1.0), ("b", 0.5)]
+
+
+def test_jobs_leave_nothing_behind(spark, data, model, tmp_path):
+    import os
+
+    from wardlight.session import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    jobs.training_job(data, ["id"], {"logistic": t.default_models()["logistic"]}, folds=2)
+    report = jobs.evaluation_job(model, data, str(tmp_path / "report"))
+    assert report["prevalence"].first()[0] == pytest.approx(data.agg(F.avg("readmitted_30d")).first()[0])
+    left = {x for x in set(os.listdir(shared_dir(spark))) - before if not os.path.isdir(f"{shared_dir(spark)}/{x}") or "-" in x and not x.count("-") == 4}
+    assert left == set()
+
+
+def test_report_ends_with_the_attribution(data, model, tmp_path):
+    report = jobs.evaluation_job(model, data, str(tmp_path / "report"), features=FEATURES, ids=["id"], sample=300)
+    assert report["attribution"].orderBy(F.desc("importance")).first()["feature"] == "a"
+    with pytest.raises(ValueError):
+        explain.permutation_attribution(model, data, FEATURES, ["id"], rows=10**6)

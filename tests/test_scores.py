@@ -41,7 +41,7 @@ def brute_curve(rows):
 @pytest.mark.parametrize("range_rows", [50_000, 7])
 def test_curves_against_brute_force(scored, sample, monkeypatch, range_rows):
     monkeypatch.setattr(ordering, "RANGE_ROWS", range_rows)
-    scores = ev.score_table(scored)
+    scores = ev.kept_scores(scored)
     curve = brute_curve(sample)
     assert ev.roc_auc(scores).first()[0] == pytest.approx(brute_auc(sample), abs=1e-12)
     pr = {r["threshold"]: (r["precision"], r["recall"]) for r in ev.pr_points(scores).collect()}
@@ -63,7 +63,7 @@ def test_curves_against_brute_force(scored, sample, monkeypatch, range_rows):
 def test_single_class_has_no_auc(spark):
     df = spark.createDataFrame([(0.1, 1), (0.9, 1)], "p double, label int")
     assert ev.auc_value(df) is None
-    assert ev.roc_auc(ev.score_table(spark.createDataFrame([], "p double, label int"))).first()[0] is None
+    assert ev.roc_auc(ev.kept_scores(spark.createDataFrame([], "p double, label int"))).first()[0] is None
 
 
 def test_ties_count_half(spark):
@@ -169,3 +169,24 @@ def test_health(spark):
     assert (row["outcomes_recorded"], row["retraining_count"], row["drift_status"]) == (10, 2, "insufficient_data")
     assert row["last_retrain"] == "2024-01-02 03:04:05" and row["system_status"] == "healthy"
     assert feedback.system_health(outcome_rows(spark, TEN), metrics.limit(0)).first()["last_retrain"] == "Never"
+
+
+def test_scores_that_are_no_numbers(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0.2, 0), (0.9, 1), (nan, 1), (None, 0)], "p double, label int")
+    kept = ev.kept_scores(df)
+    assert (kept.rows, kept.positives, kept.negatives) == (4, 1, 1) and ev.auc_value(df) == 1.0
+    rows = df.select("p", *scoring.response_columns(F.col("p")), *scoring.prediction_columns(F.col("p"))[1:2]).where("p IS NULL OR isnan(p)").collect()
+    assert [tuple(r)[1:5] for r in rows] == [(None, None, False, "Low")] * 2
+    assert scoring.daily_summary(df).first()["total_scored"] == 2
+
+
+def test_areas_of_groups(spark):
+    df = spark.createDataFrame([("a", 0.1, 0), ("a", 0.2, 1), ("b", 0.5, 1), ("b", 0.5, 0), ("c", 0.3, 1)], "k string, p double, label int")
+    assert {r["k"]: r["auc"] for r in ev.grouped_auc(df, ["k"]).collect()} == {"a": 1.0, "b": 0.5, "c": None}
+
+
+@pytest.mark.parametrize("curve", [ev.roc_auc, ev.roc_points, ev.pr_points, ev.average_precision, ev.best_f1])
+def test_a_curve_reads_the_written_scores_once(scored, curve):
+    plan = curve(ev.kept_scores(scored))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Scan ExistingRDD[p" not in plan

@@ -22,7 +22,7 @@ from wardlight.functions.scalars import (
 from wardlight.operators.cleaning import (
     drop_present, drop_strict, exclude_dispositions, first_per_key, sentinel_to_null,
 )
-from wardlight.operators.ordering import profile
+from wardlight.operators.ordering import approx_quantile, profile
 
 HIGH_UTILISER_QUANTILE = 0.75
 
@@ -144,11 +144,12 @@ def drop_ids(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return drop_present(df, [c for c in fixed.ENCOUNTER_IDS if c not in keep])
 
 
-def fit_encounters(cleaned: DataFrame, max_levels: int = 1000) -> EncounterStats:
-    """Learn the table-wide figures from cleaned encounters in one scan.
+def fit_encounters(cleaned: DataFrame, max_levels: int = 1000, exact: bool = True) -> EncounterStats:
+    """Learn the table-wide figures from cleaned encounters, in one scan if they are exact.
 
     Quantiles are over all cleaned rows; levels only over rows that survive the
-    disposition filter. Age bands are a fixed list, seen or not.
+    disposition filter. Age bands are a fixed list, seen or not. With ``exact=False``
+    quantiles have a small rank error.
     """
     stays = ~F.coalesce(F.col("discharge_disposition_id").isin(fixed.EXCLUDED_DISPOSITIONS), F.lit(False))
     seen = {
@@ -156,12 +157,11 @@ def fit_encounters(cleaned: DataFrame, max_levels: int = 1000) -> EncounterStats
         "medical_specialty": F.when(stays, F.col("medical_specialty")),
         "primary_diag_category": F.when(stays, diagnosis_category(F.col("primary_diagnosis_code"))),
     }
-    quantiles, levels = profile(
-        cleaned,
-        {"visits": (prior_visits(), HIGH_UTILISER_QUANTILE), "labs": (F.col("num_lab_procedures"), 0.5)},
-        seen,
-        max_levels,
-    )
+    wanted = {"visits": (prior_visits(), HIGH_UTILISER_QUANTILE), "labs": (F.col("num_lab_procedures"), 0.5)}
+    quantiles, levels = profile(cleaned, wanted if exact else {}, seen, max_levels)
+    if not exact:
+        measured = cleaned.select(*[column.alias(name) for name, (column, _) in wanted.items()])
+        quantiles = {name: approx_quantile(measured, name, fraction) for name, (_, fraction) in wanted.items()}
     levels["age_group"] = [name for name, _ in fixed.AGE_BANDS]
     return EncounterStats(quantiles["visits"], quantiles["labs"], levels)
 

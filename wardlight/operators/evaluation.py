@@ -1,103 +1,130 @@
 """Classifier evaluation as aggregations.
 
 Everything that depends on the order of scores starts from the score table: one
-row per distinct score with its positives and negatives. It is the only pass
-over the predictions; curves and areas are computed from it.
+row per distinct score with its positives and negatives. Writing it is the only
+pass over the predictions; curves and areas read what was written, once each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions.scalars import nz
-from wardlight.operators.ordering import hash_sample, running_totals
+from wardlight.functions.scalars import number, nz
+from wardlight.operators import ordering
+from wardlight.operators.ordering import hash_sample, running_totals, split_points
+from wardlight.session import materialise, workspace
 
 EPSILON = 1e-9
 
 
-def score_table(df: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
+def score_table(df: DataFrame, score: str = "p", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows per distinct score (and key); scores that are no number share the row without threshold."""
     positive = nz(F.col(label) == 1)
-    return (
-        df.where(F.col(score).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("threshold"))
-        .agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
+    return df.groupBy(*keys, number(F.col(score).cast("double")).alias("threshold")).agg(
+        F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
     )
 
 
-def cumulative(scores: DataFrame, points: Sequence[float] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Scores:
+    """A written score table, its class totals and the values that cut it into ranges."""
+
+    table: DataFrame
+    positives: int
+    negatives: int
+    rows: int
+    points: tuple[float, ...]
+
+
+def kept_scores(
+    df: DataFrame, score: str = "p", label: str = "label", folder: str | None = None, range_rows: int | None = None
+) -> Scores:
+    """Write the score table, in ``folder`` if one is given. ``rows`` also counts rows without a score."""
+    written = materialise(score_table(df, score, label), "score-table", folder)
+    scored = written.where(F.col("threshold").isNotNull())
+    known = F.col("threshold").isNotNull()
+    row = written.agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("rows"), F.count("threshold").alias("values"),
+        F.sum(F.when(known, F.col("pos"))).alias("pos"), F.sum(F.when(known, F.col("neg"))).alias("neg"),
+    ).first()
+    most = range_rows or ordering.RANGE_ROWS
+    points = split_points(scored, "threshold", most) if row["values"] > most else []
+    return Scores(scored, row["pos"] or 0, row["neg"] or 0, row["rows"] or 0, tuple(points))
+
+
+def cumulative(scores: Scores) -> DataFrame:
     """True and false positives when everything at or above a score is positive."""
-    return running_totals(scores, "threshold", {"pos": "tp", "neg": "fp"}, descending=True, points=points)
+    return running_totals(scores.table, "threshold", {"pos": "tp", "neg": "fp"}, descending=True, points=scores.points)
 
 
-def with_class_totals(df: DataFrame, scores: DataFrame) -> DataFrame:
-    """Attach the class totals as scalar subqueries."""
-    totals = scores.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return df.withColumns({
-        "positives": totals.select(F.col("p").cast("double")).scalar(),
-        "negatives": totals.select(F.col("n").cast("double")).scalar(),
-    })
+def _beaten() -> Column:
+    """Pairs that the positives of a row win against the negatives below or at it, ties counted half."""
+    return F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos") / 2)
 
 
-def roc_auc(scores: DataFrame, points: Sequence[float] | None = None) -> DataFrame:
+def roc_auc(scores: Scores) -> DataFrame:
     """Area under the ROC curve, ties counted half; null with a single class."""
-    curve = cumulative(scores, points)
-    beaten = F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos") / 2)
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return curve.agg(F.when(pairs > 0, F.sum(beaten) / pairs).alias("auc"))
+    pairs = F.lit(float(scores.positives) * float(scores.negatives))
+    return cumulative(scores).agg(F.when(pairs > 0, F.sum(_beaten()) / pairs).alias("auc"))
 
 
 def auc_value(df: DataFrame, score: str = "p", label: str = "label") -> float | None:
-    """The area as a number. The score table is kept while it is read twice."""
-    scores = score_table(df, score, label).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return roc_auc(scores).first()["auc"]
-    finally:
-        scores.unpersist()
+    """The area as a number."""
+    with workspace(df.sparkSession, "auc") as folder:
+        return roc_auc(kept_scores(df, score, label, folder)).first()["auc"]
+
+
+def grouped_auc(df: DataFrame, keys: Sequence[str], score: str = "p", label: str = "label", folder: str | None = None) -> DataFrame:
+    """Area per key, from one score table."""
+    table = materialise(score_table(df, score, label, keys), "score-table", folder).where(F.col("threshold").isNotNull())
+    curve = running_totals(table, "threshold", {"pos": "tp", "neg": "fp"}, descending=True, within=keys)
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return curve.groupBy(*keys).agg(F.when(pairs > 0, F.sum(_beaten()) / pairs).alias("auc"))
 
 
-def roc_points(scores: DataFrame, points: Sequence[float] | None = None) -> DataFrame:
+def roc_points(scores: Scores) -> DataFrame:
     """One point per distinct score and the origin, which has no threshold."""
-    curve = with_class_totals(cumulative(scores, points), scores)
-    origin = scores.sparkSession.createDataFrame(
+    curve = cumulative(scores)
+    origin = curve.sparkSession.createDataFrame(
         [(None, 0.0, 0.0)], "threshold double, fpr double, tpr double"
     )
     return curve.select(
         "threshold",
-        F.try_divide("fp", "negatives").alias("fpr"),
-        F.try_divide("tp", "positives").alias("tpr"),
+        F.try_divide("fp", F.lit(float(scores.negatives))).alias("fpr"),
+        F.try_divide("tp", F.lit(float(scores.positives))).alias("tpr"),
     ).unionByName(origin)
 
 
-def pr_points(scores: DataFrame, points: Sequence[float] | None = None, closing: bool = True) -> DataFrame:
+def pr_points(scores: Scores, closing: bool = True) -> DataFrame:
     """Precision and recall per distinct score; the closing point (1, 0) has no threshold."""
-    curve = with_class_totals(cumulative(scores, points), scores).select(
+    curve = cumulative(scores).select(
         "threshold",
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        F.coalesce(F.try_divide("tp", "positives"), F.lit(1.0)).alias("recall"),
+        F.coalesce(F.try_divide("tp", F.lit(float(scores.positives))), F.lit(1.0)).alias("recall"),
     )
     if not closing:
         return curve
-    end = scores.sparkSession.createDataFrame(
+    end = curve.sparkSession.createDataFrame(
         [(None, 1.0, 0.0)], "threshold double, precision double, recall double"
     )
     return curve.unionByName(end)
 
 
-def average_precision(scores: DataFrame, points: Sequence[float] | None = None) -> DataFrame:
+def average_precision(scores: Scores) -> DataFrame:
     """Step sum of precision over recall."""
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    return cumulative(scores, points).agg(
-        F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos").cast("double")).alias("average_precision")
+    return cumulative(scores).agg(
+        F.try_divide(F.sum(F.col("pos") * precision), F.lit(float(scores.positives))).alias("average_precision")
     )
 
 
-def best_f1(scores: DataFrame, points: Sequence[float] | None = None) -> DataFrame:
+def best_f1(scores: Scores) -> DataFrame:
     """Threshold with the highest F1; the lowest one on ties."""
-    curve = pr_points(scores, points, closing=False)
+    curve = pr_points(scores, closing=False)
     p, r = F.col("precision"), F.col("recall")
     rated = curve.withColumn("f1", F.lit(2.0) * p * r / (p + r + F.lit(EPSILON)))
     best = F.max_by(F.struct("threshold", "f1", "precision", "recall"), F.struct(F.col("f1"), -F.col("threshold")))

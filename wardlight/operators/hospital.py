@@ -13,6 +13,7 @@ from wardlight.functions.scalars import (
 )
 from wardlight.operators.cleaning import drop_present, fill_numeric
 from wardlight.operators.ordering import approx_quantile, exact_quantile, grouped_quantile, profile
+from wardlight.session import materialise
 
 AGGREGATES = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),  # a sum over nothing is 0
@@ -27,7 +28,11 @@ AGGREGATES = {
 
 
 def join_inner(left: DataFrame, right: DataFrame, on: str | Sequence[str], null_safe: bool = False) -> DataFrame:
-    """Inner equi-join. ``null_safe`` also matches null keys with null keys."""
+    """Inner equi-join. ``null_safe`` also matches null keys with null keys.
+
+    Then all rows with null keys meet in one task, and both sides' multiply: leave it
+    off unless nulls are few.
+    """
     names = [on] if isinstance(on, str) else list(on)
     if not null_safe:
         return left.join(right, names)
@@ -43,13 +48,16 @@ def aggregate_by(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, st
     """Aggregates named by column, such as ``{"age": "mean"}``, as ``age_mean``.
 
     Rows with a null key form no group. A median is taken from value counts and
-    joined on, as Spark's own one would hold all values of a group in one place.
+    joined on, as Spark's own one would hold all values of a group in one place. The
+    columns in use are then written once, so that a join below runs once.
     """
     wanted = [(c, fn) for c, fns in aggregates.items() for fn in ([fns] if isinstance(fns, str) else fns)]
     unknown = sorted({fn for _, fn in wanted if fn not in AGGREGATES and fn != "median"})
     if unknown:
         raise ValueError(f"unknown aggregates {unknown}")
-    rows = df.dropna(subset=list(keys))
+    rows = df.select(*dict.fromkeys([*keys, *(c for c, _ in wanted)])).dropna(subset=list(keys))
+    if any(fn == "median" for _, fn in wanted):
+        rows = materialise(rows, "aggregate-input")
     plain = [AGGREGATES[fn](c).alias(f"{c}_{fn}") for c, fn in wanted if fn != "median"]
     result = rows.groupBy(*keys).agg(*plain) if plain else rows.select(*keys).distinct()
     for c in [c for c, fn in wanted if fn == "median"]:
@@ -118,16 +126,21 @@ def billed_median(merged: DataFrame, exact: bool = True) -> float | None:
     return (exact_quantile if exact else approx_quantile)(merged, "total_billed", 0.5)
 
 
-def _dates(df: DataFrame) -> DataFrame:
+def _dates(df: DataFrame, fmt: str | None) -> DataFrame:
     return df.withColumns({
-        "appointment_date": lenient_date(F.col("appointment_date")),
-        "date_of_birth": lenient_date(F.col("date_of_birth")),
+        "appointment_date": lenient_date(F.col("appointment_date"), fmt),
+        "date_of_birth": lenient_date(F.col("date_of_birth"), fmt),
     })
 
 
-def hospital_features(merged: DataFrame, median: float | None, reference_date: str = fixed.HOSPITAL_AGE_DATE) -> DataFrame:
-    """Date, appointment, doctor and billing features of merged appointments."""
-    df = _dates(merged)
+def hospital_features(
+    merged: DataFrame, median: float | None, reference_date: str = fixed.HOSPITAL_AGE_DATE, date_format: str | None = None
+) -> DataFrame:
+    """Date, appointment, doctor and billing features of merged appointments.
+
+    Dates are ISO dates unless ``date_format`` names another pattern.
+    """
+    df = _dates(merged, date_format)
     age = age_in_years(F.col("date_of_birth"), F.lit(reference_date).cast("date"))
     no_show = nz(F.col("status") == "No-show")
     cancelled = nz(F.col("status") == "Cancelled")
@@ -155,6 +168,15 @@ def hospital_levels(merged: DataFrame, max_levels: int = 1000) -> dict[str, list
     return profile(merged, {}, {c: F.col(c) for c in fixed.HOSPITAL_CATEGORIES}, max_levels)[1]
 
 
+def fit_hospital(merged: DataFrame, exact: bool = True, max_levels: int = 1000) -> tuple[float | None, dict[str, list[str]]]:
+    """Median of ``total_billed`` and levels of the categories, in one scan if the median is exact."""
+    levels = {c: F.col(c) for c in fixed.HOSPITAL_CATEGORIES}
+    if not exact:
+        return billed_median(merged, exact=False), profile(merged, {}, levels, max_levels)[1]
+    found, seen = profile(merged, {"median": (F.col("total_billed"), 0.5)}, levels, max_levels)
+    return found["median"], seen
+
+
 def finalise_hospital(featured: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
     """One-hot the three categories, drop what no model uses, fill numbers with 0."""
     flags = [flag for c in fixed.HOSPITAL_CATEGORIES for flag in one_hot(c, levels[c])]

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from wardlight.functions import fixed
 from wardlight.functions.scalars import (
-    decision, percent_text, recommendations, risk_band, risk_band_cut, round_half_even,
+    decision, number, percent_text, recommendations, risk_band, risk_band_cut, round_half_even,
 )
 
 
 def with_probability(model: Transformer, df: DataFrame, output: str = "p") -> DataFrame:
-    """Probability of class 1; columns the model adds on its way are dropped."""
+    """Probability of class 1, null where it is not a number; columns the model adds on its way are dropped."""
     scored = model.transform(df)
-    return scored.select(*[f"`{c}`" for c in df.columns], vector_to_array("probability")[1].alias(output))
+    return scored.select(*[f"`{c}`" for c in df.columns], number(vector_to_array("probability")[1]).alias(output))
 
 
 def prediction_columns(p: Column, threshold: float = fixed.DECISION_THRESHOLD) -> list[Column]:
@@ -25,7 +25,7 @@ def prediction_columns(p: Column, threshold: float = fixed.DECISION_THRESHOLD) -
     Decision and band are taken before rounding.
     """
     return [
-        round_half_even(p, 4).alias("readmission_probability"),
+        round_half_even(number(p), 4).alias("readmission_probability"),
         decision(p, threshold).alias("predicted_readmission"),
         risk_band_cut(p).alias("risk_level"),
     ]
@@ -34,9 +34,9 @@ def prediction_columns(p: Column, threshold: float = fixed.DECISION_THRESHOLD) -
 def response_columns(p: Column, threshold: float = fixed.DECISION_THRESHOLD, advice: bool = False) -> list[Column]:
     """Request form: left-closed band, percentage text, boolean decision."""
     columns = [
-        round_half_even(p, 4).alias("readmission_probability"),
+        round_half_even(number(p), 4).alias("readmission_probability"),
         percent_text(p).alias("readmission_percentage"),
-        F.coalesce(p >= threshold, F.lit(False)).alias("predicted_readmission"),
+        F.coalesce(number(p) >= threshold, F.lit(False)).alias("predicted_readmission"),
         risk_band(p).alias("risk_level"),
     ]
     return columns + [recommendations(risk_band(p)).alias("recommendations")] if advice else columns
@@ -57,7 +57,7 @@ def band_summary(predictions: DataFrame, band: str = "risk_level") -> DataFrame:
 
 def daily_summary(scored: DataFrame, p: str = "p") -> DataFrame:
     """One pass over all scores: rows, bands, mean."""
-    score = F.col(p)
+    score = number(F.col(p))
     return scored.agg(
         F.count(score).alias("total_scored"),
         F.count_if(score >= fixed.HIGH_CUT).alias("high_risk"),

@@ -4,32 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions import fixed
-from wardlight.operators.evaluation import auc_value, evaluation_sample, mean_absolute, top_features
+from wardlight.operators.evaluation import evaluation_sample, grouped_auc, mean_absolute, top_features
+from wardlight.operators.linear import LinearScorer
 from wardlight.operators.ordering import row_hash
 from wardlight.operators.scoring import with_probability
-from wardlight.plans.training import fit_scaling, scale
+from wardlight.plans.training import fit_scaling, numbers, scale
+from wardlight.session import materialise
 
 SAMPLE_ROWS = 1000
+MOST_SAMPLE_ROWS = 100_000
 
 
 def linear_attribution(
-    model: PipelineModel, train: DataFrame, df: DataFrame, features: Sequence[str], ids: Sequence[str],
-    rows: int = SAMPLE_ROWS, top: int = 10,
+    model: PipelineModel | LinearScorer, train: DataFrame, df: DataFrame, features: Sequence[str], ids: Sequence[str],
+    rows: int | None = SAMPLE_ROWS, top: int = 10,
 ) -> DataFrame:
-    """Exact contributions of a logistic model, coefficient times distance from
-    the training mean, as a mean of absolute values over a sample."""
+    """Exact contributions of a logistic model or linear scorer, coefficient times distance from
+    the training mean, as a mean of absolute values over a sample (``rows=None``: all rows)."""
+    sample = df if rows is None else evaluation_sample(df, ids, rows)
+    if isinstance(model, LinearScorer):
+        weights = {f: model.coefficients.get(f, 0.0) for f in features}
+        means = {f: (m, 1.0) for f, (m, _) in fit_scaling(numbers(train, features), features).items()}
+        parts = scale(numbers(sample, features), means).select(*[(F.col(f"`{f}`") * F.lit(w)).alias(f) for f, w in weights.items()])
+        return top_features(mean_absolute(parts, features), top)
     stage = model.stages[-1]
     if not isinstance(stage, LogisticRegressionModel):
         raise TypeError("linear attribution needs a logistic model")
-    sample = evaluation_sample(df, ids, rows)
     # The model works on scaled columns; scaling with the same figures centres them.
-    scaled = scale(sample.select(*[f"`{f}`" for f in features]), fit_scaling(train, features))
+    scaled = scale(numbers(sample, features), fit_scaling(numbers(train, features), features))
     parts = scaled.select(*[
         (F.col(f"`{f}`") * F.lit(float(c))).alias(f) for f, c in zip(features, stage.coefficients)
     ])
@@ -37,30 +45,33 @@ def linear_attribution(
 
 
 def permutation_attribution(
-    model: PipelineModel, df: DataFrame, features: Sequence[str], ids: Sequence[str], label: str = fixed.LABEL,
+    model: Transformer, df: DataFrame, features: Sequence[str], ids: Sequence[str], label: str = fixed.LABEL,
     rows: int = SAMPLE_ROWS, top: int = 10, seed: int = 42,
 ) -> DataFrame:
     """Loss of AUC when one feature's values change places, over a sample.
 
-    The sample is cut to ``rows`` rows by definition, so ordering it as a whole
-    to shuffle a column is bounded work.
+    The sample is cut to ``rows`` rows by definition (at most 100,000), so ordering it as a whole
+    to shuffle its columns is bounded work. One table holds every row once as it is and once
+    for each feature with that value moved; it is scored once, and all areas come
+    from one score table.
     """
+    if rows > MOST_SAMPLE_ROWS:
+        raise ValueError(f"a permutation sample has at most {MOST_SAMPLE_ROWS} rows")
     sample = evaluation_sample(df, ids, rows).select(label, *ids, *[f"`{f}`" for f in features if f not in ids])
-    sample = sample.persist()
-    try:
-        base = auc_value(with_probability(model, sample), "p", label)
-        place = sample.withColumn("_to", F.row_number().over(Window.orderBy(row_hash(ids, seed), *ids)))
-        source = sample.withColumn("_from", F.row_number().over(Window.orderBy(row_hash(ids, seed + 1), *ids)))
-        losses = []
-        for f in features:
-            moved = place.drop(f).join(
-                source.select(F.col("_from").alias("_to"), f"`{f}`"), "_to"
-            )
-            losses.append((f, base - auc_value(with_probability(model, moved), "p", label)))
-        table = df.sparkSession.createDataFrame(losses, "feature string, importance double")
-        return top_features(table, top)
-    finally:
-        sample.unpersist()
+    sample = materialise(sample, "permutation-sample")
+    place = sample.withColumn("_to", F.row_number().over(Window.orderBy(row_hash(ids, seed), *ids)))
+    source = sample.select(
+        F.row_number().over(Window.orderBy(row_hash(ids, seed + 1), *ids)).alias("_to"),
+        *[F.col(f"`{f}`").alias(f"_moved{i}") for i, f in enumerate(features)])
+    names = F.array(F.lit(""), *[F.lit(f) for f in features])
+    every = place.join(source, "_to").withColumn("_feature", F.explode(names))
+    moved = every.select(label, "_feature", *[
+        F.when(F.col("_feature") == f, F.col(f"_moved{i}")).otherwise(F.col(f"`{f}`")).alias(f) for i, f in enumerate(features)])
+    areas = grouped_auc(with_probability(model, moved), ["_feature"], "p", label).collect()  # one row per feature
+    found = {r["_feature"]: r["auc"] for r in areas}
+    base = found.pop("", None)
+    losses = [(f, base - auc if base is not None and auc is not None else None) for f, auc in found.items()]
+    return top_features(df.sparkSession.createDataFrame(losses, "feature string, importance double"), top)
 
 
 def split_importance(model: PipelineModel, features: Sequence[str], df: DataFrame, top: int = 10) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.functions import fixed
+from wardlight.operators.cleaning import as_number
 from wardlight.operators.evaluation import auc_value, mean_and_spread
 from wardlight.operators.ordering import at_most, first_positions, hash_cutoffs, row_hash
 from wardlight.operators.scoring import with_probability
@@ -27,14 +28,15 @@ from wardlight.session import ensure_checkpoint_dir
 SEED = 42
 WEIGHT = "_weight"
 FOLD = "_fold"
+PARTITION_ROWS = 50_000
 
 
 # -- splits -------------------------------------------------------------------
 
 def _class_sizes(df: DataFrame, label: str) -> dict[object, int]:
-    rows = df.groupBy(label).count().limit(101).collect()
-    if len(rows) > 100:
-        raise ValueError(f"{label} has more than 100 classes")
+    rows = df.groupBy(label).count().limit(4).collect()
+    if len([r for r in rows if r[label] is not None]) > 2:
+        raise ValueError(f"{label} has more than two classes")
     return {r[label]: r["count"] for r in sorted(rows, key=lambda r: (r[label] is None, r[label]))}
 
 
@@ -110,8 +112,16 @@ def scale(df: DataFrame, scaling: Mapping[str, tuple[float, float]]) -> DataFram
     return df.withColumns({f: (F.col(f"`{f}`") - F.lit(m)) / F.lit(s) for f, (m, s) in scaling.items()})
 
 
+def numbers(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Features as numbers, 0 where they are unknown, beside the ``keep`` columns."""
+    return df.select(
+        *[f"`{c}`" for c in keep], *[F.coalesce(as_number(df, f), F.lit(0.0)).alias(f) for f in features if f not in keep])
+
+
 def _scaling_stage(scaling: Mapping[str, tuple[float, float]]) -> SQLTransformer:
-    scaled = ", ".join(f"(`{f}` - ({m!r}D)) / {s!r}D AS `_z{i}`" for i, (f, (m, s)) in enumerate(scaling.items()))
+    """Numbers, 0 where unknown, scaled. The stage is part of the model, so scoring treats nulls as training does."""
+    known = [f"coalesce(nanvl(try_cast(`{f}` AS DOUBLE), NULL), 0D)" for f in scaling]
+    scaled = ", ".join(f"({k} - ({m!r}D)) / {s!r}D AS `_z{i}`" for i, (k, (m, s)) in enumerate(zip(known, scaling.values())))
     return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
 
 
@@ -184,25 +194,39 @@ def estimator(spec: ModelSpec, rows: int, label: str):
 
 
 def _inputs(spec: ModelSpec, df: DataFrame, features: Sequence[str]) -> list:
-    if not spec.scaled:
-        return [VectorAssembler(inputCols=list(features), outputCol="features")]
+    scaling = fit_scaling(numbers(df, features), features) if spec.scaled else {f: (0.0, 1.0) for f in features}
     names = [f"_z{i}" for i in range(len(features))]
-    return [_scaling_stage(fit_scaling(df, features)), VectorAssembler(inputCols=names, outputCol="features")]
+    return [_scaling_stage(scaling), VectorAssembler(inputCols=names, outputCol="features")]
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """As few partitions as ``rows`` need: every level of every tree is a job over all of them."""
+    return df.coalesce(max(1, -(-rows // PARTITION_ROWS)))
 
 
-def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str = fixed.LABEL) -> PipelineModel:
-    """Fit one model. The pipeline holds its own scaling, learned on ``train``."""
+def fit(
+    spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str = fixed.LABEL, sizes: tuple[int, int] | None = None
+) -> PipelineModel:
+    """Fit one model. The pipeline makes numbers of its features (0 where unknown) and holds its own scaling,
+    learned on ``train``. ``sizes`` are the rows of both classes, where the caller knows them."""
     ensure_checkpoint_dir(train.sparkSession)
-    n0, n1 = class_ratio(train, label)
+    n0, n1 = sizes or class_ratio(train, label)
     data = weighted(train.select(label, *[f"`{f}`" for f in features]), label, spec.weighting, (n0, n1))
-    stages = [*_inputs(spec, train, features), estimator(spec, n0 + n1, label)]
-    return Pipeline(stages=stages).fit(data)
+    inputs = _inputs(spec, train, features)
+    assembled = Pipeline(stages=inputs).fit(data).transform(data).select(label, WEIGHT, "features")
+    kept = compact(assembled, n0 + n1).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel(stages=[*inputs, estimator(spec, n0 + n1, label).fit(kept)])
+    finally:
+        kept.unpersist()
 
 
 def fit_all(
-    specs: Mapping[str, ModelSpec], train: DataFrame, features: Sequence[str], label: str = fixed.LABEL
+    specs: Mapping[str, ModelSpec], train: DataFrame, features: Sequence[str], label: str = fixed.LABEL,
+    sizes: tuple[int, int] | None = None,
 ) -> dict[str, PipelineModel]:
-    return {name: fit(spec, train, features, label) for name, spec in specs.items()}
+    sizes = sizes or class_ratio(train, label)
+    return {name: fit(spec, train, features, label, sizes) for name, spec in specs.items()}
 
 
 def model_auc(model: PipelineModel, df: DataFrame, label: str = fixed.LABEL) -> float | None:
@@ -220,43 +244,56 @@ def evaluate_all(models: Mapping[str, PipelineModel], test: DataFrame, label: st
 
 def fold_scores(
     spec: ModelSpec, maps: Sequence[Mapping[str, object]], prepared: DataFrame, rows: int, label: str, folds: int,
-    parallelism: int,
+    parallelism: int | None = None,
 ) -> list[tuple[int, int, float]]:
     """``(map, fold, AUC)`` of every parameter map on every fold.
 
     Folds are filters on the numbered rows, so no row leaves the JVM; the rows
-    are kept once for all fits. ``parallelism`` fits are submitted side by side.
+    are kept once for all fits. A fit knows the rows of its own training part.
+    ``parallelism`` fits are submitted side by side, by default as many as the cores have room for.
     """
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-    kept = prepared.select(label, WEIGHT, FOLD, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = compact(prepared.select(label, WEIGHT, FOLD, "features"), rows).persist(StorageLevel.MEMORY_AND_DISK)
+    room = prepared.sparkSession.sparkContext.defaultParallelism // max(1, -(-rows // PARTITION_ROWS))
+    side_by_side = parallelism or max(2, min(room, folds * len(maps)))
+    held = {r[FOLD]: r["count"] for r in kept.groupBy(FOLD).count().collect()}
 
     def score(task: tuple[int, int]) -> tuple[int, int, float]:
         number, fold = task
-        model = estimator(spec.with_params(**maps[number]), rows, label).fit(kept.where(F.col(FOLD) != fold))
+        part = rows - held.get(fold, 0)
+        model = estimator(spec.with_params(**maps[number]), part, label).fit(kept.where(F.col(FOLD) != fold))
         return number, fold, evaluator.evaluate(model.transform(kept.where(F.col(FOLD) == fold)))
 
     try:
-        with ThreadPool(parallelism) as pool:
+        with ThreadPool(side_by_side) as pool:
             tasks = [(number, fold) for number in range(len(maps)) for fold in range(folds)]
             return pool.map(inheritable_thread_target(prepared.sparkSession)(score), tasks)
     finally:
         kept.unpersist()
 
 
-def cross_validate(
+def cross_validated(
     specs: Mapping[str, ModelSpec], train: DataFrame, features: Sequence[str], ids: Sequence[str],
-    label: str = fixed.LABEL, folds: int = 5, parallelism: int = 2,
+    label: str = fixed.LABEL, folds: int = 5, parallelism: int | None = None, sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Mean and population deviation of the fold AUCs of each model."""
+    """Fold AUCs of each model."""
     ensure_checkpoint_dir(train.sparkSession)
-    n0, n1 = class_ratio(train, label)
+    n0, n1 = sizes or class_ratio(train, label)
     numbered = stratified_folds(train, ids, label, folds)
     rows = []
     for name, spec in specs.items():
         prepared = weighted(numbered, label, spec.weighting, (n0, n1))
         prepared = Pipeline(stages=_inputs(spec, train, features)).fit(prepared).transform(prepared)
         rows += [(name, fold, auc) for _, fold, auc in fold_scores(spec, [{}], prepared, n0 + n1, label, folds, parallelism)]
-    return mean_and_spread(train.sparkSession.createDataFrame(rows, "model string, fold int, auc double"), ["model"])
+    return train.sparkSession.createDataFrame(rows, "model string, fold int, auc double")
+
+
+def cross_validate(
+    specs: Mapping[str, ModelSpec], train: DataFrame, features: Sequence[str], ids: Sequence[str],
+    label: str = fixed.LABEL, folds: int = 5, parallelism: int | None = None, sizes: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Mean and population deviation of the fold AUCs of each model."""
+    return mean_and_spread(cross_validated(specs, train, features, ids, label, folds, parallelism, sizes), ["model"])
 
 
 def sample_trials(trials: int = 50, seed: int = SEED) -> list[dict[str, object]]:
@@ -284,14 +321,14 @@ def sample_trials(trials: int = 50, seed: int = SEED) -> list[dict[str, object]]
 
 def search(
     train: DataFrame, features: Sequence[str], ids: Sequence[str], trials: Sequence[Mapping[str, object]],
-    label: str = fixed.LABEL, folds: int = 5, parallelism: int = 2,
+    label: str = fixed.LABEL, folds: int = 5, parallelism: int | None = None, sizes: tuple[int, int] | None = None,
 ) -> tuple[DataFrame, dict[str, object]]:
     """Fold AUC of every trial, best first, and the best parameters."""
     ensure_checkpoint_dir(train.sparkSession)
     spec = ModelSpec("boosting", "balanced", {})
-    n0, n1 = class_ratio(train, label)
+    n0, n1 = sizes or class_ratio(train, label)
     prepared = weighted(stratified_folds(train, ids, label, folds), label, spec.weighting, (n0, n1))
-    prepared = VectorAssembler(inputCols=list(features), outputCol="features").transform(prepared)
+    prepared = Pipeline(stages=_inputs(spec, train, features)).fit(prepared).transform(prepared)
     scores = fold_scores(spec, trials, prepared, n0 + n1, label, folds, parallelism)
     rows = []
     for i, t in enumerate(trials):
@@ -308,11 +345,12 @@ def refit_best(
     best: Mapping[str, object], baseline: PipelineModel, train: DataFrame, test: DataFrame, features: Sequence[str],
     label: str = fixed.LABEL,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit the best trial on all training rows and compare it with a baseline."""
+    """Fit the best trial on all training rows and compare it with a baseline; no gain is stated where test rows have one class."""
     model = fit(ModelSpec("boosting", "balanced", best), train, features, label)
     tuned, base = model_auc(model, test, label), model_auc(baseline, test, label)
+    gain = None if tuned is None or base is None else (tuned - base) * 100
     report = test.sparkSession.createDataFrame(
-        [(tuned, base, (tuned - base) * 100)], "tuned_auc double, baseline_auc double, improvement double"
+        [(tuned, base, gain)], "tuned_auc double, baseline_auc double, improvement double"
     )
     return model, report
 
@@ -326,20 +364,23 @@ def retrain(
     """Champion and challenger on the last fifth of the rows.
 
     The challenger is saved only if it is strictly better, beside the champion
-    and not in its place. Returns it (or None) and the metrics row.
+    and not in its place. If the last fifth holds one class only, the status is
+    ``not_comparable`` and the champion stays. Returns the challenger (or None) and the metrics row.
     """
     from pyspark.sql import Row
 
     train, held = positional_split(df, order, ids)
     challenger = fit(spec or retrain_model(), train, features, label)
     before, after = model_auc(current, held, label), model_auc(challenger, held, label)
-    improved = after > before
+    known = before is not None and after is not None
+    improved = known and after > before
+    status = "improved" if improved else "no_improvement" if known else "not_comparable"
+    figures = (round(before, 4), round(after, 4), round(after - before, 4)) if known else (before, after, None)
     if improved and save_to:
         challenger.write().overwrite().save(save_to)
     spark: SparkSession = df.sparkSession
     metrics = spark.createDataFrame(
-        [Row("improved" if improved else "no_improvement", round(before, 4), round(after, 4),
-             round(after - before, 4), improved, retrained_at, train.count())],
+        [Row(status, *figures, improved, retrained_at, train.count())],
         "status string, current_auc double, new_auc double, improvement double, model_saved boolean, "
         "retrained_at string, training_samples long",
     ).withColumn("retrained_at", F.col("retrained_at").cast("timestamp"))

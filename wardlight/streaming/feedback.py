@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlight.functions import fixed
-from wardlight.operators.evaluation import roc_auc, score_table
 from wardlight.functions.scalars import round_half_even
+from wardlight.operators.evaluation import kept_scores, roc_auc
 
 MODEL_VERSION = "boosting_tuned"
 
@@ -46,11 +46,12 @@ def append_outcome_stream(
 def drift_report(outcomes: DataFrame, min_outcomes: int = fixed.MIN_OUTCOMES, drift_auc: float = fixed.DRIFT_AUC) -> DataFrame:
     """One row: too few outcomes, drift, or none.
 
-    Outcomes of a single class cannot be ranked; their AUC is taken as 0.5.
+    Outcomes of a single class cannot be ranked; their AUC is taken as 0.5. The log is
+    read once, into a score table that also counts outcomes without a risk.
     """
-    scores = score_table(outcomes, "predicted_risk", "actually_readmitted")
-    counted = outcomes.agg(F.count("*").alias("outcomes_count"))
-    rated = counted.withColumn("auc", F.coalesce(roc_auc(scores).scalar(), F.lit(0.5)))
+    scores = kept_scores(outcomes, "predicted_risk", "actually_readmitted")
+    rated = roc_auc(scores).select(
+        F.lit(scores.rows).cast("long").alias("outcomes_count"), F.coalesce("auc", F.lit(0.5)).alias("auc"))
     n, auc = F.col("outcomes_count"), F.col("auc")
     enough = n >= min_outcomes
     drift = auc < drift_auc
@@ -82,14 +83,14 @@ def system_health(
     """One row: counts, drift status and the time of the last retraining."""
     history = metrics.agg(
         F.count("*").alias("n"), F.date_format(F.max("retrained_at"), "yyyy-MM-dd HH:mm:ss").alias("last")
-    )
+    ).first()
     report = drift_report(outcomes, min_outcomes)
     return report.select(
         F.lit(model_version).alias("model_version"),
         F.lit(fixed.BASELINE_AUC).alias("baseline_auc"),
         F.col("outcomes_count").alias("outcomes_recorded"),
-        history.select("n").scalar().alias("retraining_count"),
+        F.lit(history["n"]).cast("long").alias("retraining_count"),
         F.col("status").alias("drift_status"),
-        F.coalesce(history.select("last").scalar(), F.lit("Never")).alias("last_retrain"),
+        F.lit(history["last"] or "Never").alias("last_retrain"),
         F.lit("healthy").alias("system_status"),
     )
