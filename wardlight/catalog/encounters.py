@@ -9,7 +9,7 @@ from wardlight.functions.scalars import round_half_even
 from wardlight.operators import cleaning, encounters, intake
 from wardlight.operators.ordering import exact_quantile
 from wardlight.plans.jobs import encounter_job
-from wardlight.session import scratch_path
+from wardlight.session import materialise, scratch_path
 from wardlight.sources import readers
 
 ENC = ("fx_encounters",)
@@ -92,6 +92,11 @@ def cleaned(spark, d):
     return encounters.clean_encounters(encounters.encode_target(raw(spark, d)), ORDER).drop(*TIES)
 
 
+def kept(spark, d):
+    """Cleaned encounters, written once for queries that learn figures from them first."""
+    return materialise(cleaned(spark, d), "cleaned-encounters")
+
+
 def features_table(spark, d, keep_ids=True):
     """Feature table with ids, as the training and scoring queries use it."""
     table, stats = encounter_job(raw(spark, d), order=ORDER, keep_ids=keep_ids)
@@ -127,7 +132,7 @@ def age_features(spark, d):
 
 @query(_CLEAN + f"SELECT encounter_id, {_USE_COLUMNS} FROM clean", ENC)
 def utilisation(spark, d):
-    rows = cleaned(spark, d)
+    rows = kept(spark, d)
     high = exact_quantile(rows.withColumn("visits", encounters.prior_visits()), "visits", encounters.HIGH_UTILISER_QUANTILE)
     return encounters.utilisation_features(rows, high).select(
         "encounter_id", "total_prior_visits", "high_utiliser", "emergency_prone", "has_inpatient_history"
@@ -136,7 +141,7 @@ def utilisation(spark, d):
 
 @query(_CLEAN + f"SELECT encounter_id, {_CLINICAL_COLUMNS} FROM clean", ENC)
 def clinical(spark, d):
-    rows = cleaned(spark, d)
+    rows = kept(spark, d)
     return encounters.clinical_features(rows, exact_quantile(rows, "num_lab_procedures", 0.5)).select(
         "encounter_id", "polypharmacy", "high_diagnosis_burden", "high_lab_use", "had_procedures", "complexity_score"
     )
@@ -167,7 +172,7 @@ def diagnosis(spark, d):
 
 @query(_STEPS + f"SELECT encounter_id, {_INTERACTIONS} FROM steps", ENC)
 def interactions(spark, d):
-    rows = cleaned(spark, d)
+    rows = kept(spark, d)
     median = exact_quantile(rows, "num_lab_procedures", 0.5)
     aged = encounters.clinical_features(encounters.age_features(rows), median)
     return encounters.interaction_features(aged).select(

@@ -8,6 +8,7 @@ from wardlight.functions.scalars import round_half_even
 from wardlight.operators import hospital
 from wardlight.operators.ordering import profile
 from wardlight.plans.jobs import hospital_job
+from wardlight.session import materialise
 
 STAR = ("fx_appointments", "fx_doctors", "fx_patients", "fx_billing", "fx_treatments")
 
@@ -70,7 +71,7 @@ def merged(spark, d):
 
 
 def _featured(spark, d):
-    joined = merged(spark, d)
+    joined = materialise(merged(spark, d), "merged-hospital")
     return hospital.hospital_features(joined, hospital.billed_median(joined))
 
 

@@ -1,17 +1,22 @@
 """Queries that split, scale, train, search, explain, score and stream."""
 
+from functools import reduce
+
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.catalog import encounters as enc
 from wardlight.catalog import scoring as sco
-from wardlight.catalog.registry import query, r
+from wardlight.catalog.registry import flag, query, r
 from wardlight.catalog.views import VIEWS, table
 from wardlight.functions import fixed
 from wardlight.functions.scalars import round_half_even
-from wardlight.operators import evaluation
+from wardlight.operators import encounters, evaluation
+from wardlight.operators.linear import LinearScorer
 from wardlight.plans import explain, jobs, training
 from wardlight.session import materialise, scratch_path
-from wardlight.sources.readers import stream_requests
+from wardlight.sources.readers import read_metrics, stream_requests
 from wardlight.streaming import discharge, feedback
 
 SCORES = ("fx_scores",)
@@ -46,12 +51,26 @@ def positional_split_counts(spark, d):
     return parts.groupBy("label", "part").agg(F.count("*").alias("rows"))
 
 
+@query("""placed AS (SELECT label, row_number() OVER (ORDER BY row_id) - 1 AS place, DATE '2020-01-01' + (row_id % 9000)::INTEGER AS day FROM fx_scores),
+cut AS (SELECT day FROM placed ORDER BY day LIMIT 1 OFFSET (SELECT floor(count(*) * 0.8)::BIGINT FROM placed)),
+parts AS (SELECT CASE WHEN day < (SELECT day FROM cut) THEN 'before' WHEN day > (SELECT day FROM cut) THEN 'after' ELSE 'on the day' END AS side FROM placed)
+SELECT side, count(*) AS rows, (SELECT floor(count(*) * 0.8)::BIGINT FROM placed) AS train_rows FROM parts GROUP BY side""", SCORES)
+def positional_split_by_date(spark, d):
+    """Split by a date: rows before, on and after the day where the training part ends."""
+    rows = sco.scores(spark, d).withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("row_id") % 9000).cast("int")))
+    train, held = training.positional_split(rows, "day", ["row_id"])
+    last, first = train.agg(F.max("day")).first()[0], held.agg(F.min("day")).first()[0]
+    side = F.when(F.col("day") < first, "before").when(F.col("day") > first, "after").otherwise("on the day")
+    both = train.unionByName(held) if first >= last else held.limit(0)
+    return both.groupBy(side.alias("side")).agg(F.count("*").alias("rows"), F.lit(train.count()).cast("long").alias("train_rows"))
+
+
 _Z = [f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in enc.COUNTS]
 
 
 @query(enc._CLEAN + "SELECT encounter_id, " + ", ".join(f"{r(z)} AS {c}" for z, c in zip(_Z, enc.COUNTS)) + " FROM clean", enc.ENC)
 def standardise(spark, d):
-    rows = enc.cleaned(spark, d).select("encounter_id", *enc.COUNTS)
+    rows = enc.kept(spark, d).select("encounter_id", *enc.COUNTS)
     scaled = training.scale(rows, training.fit_scaling(rows, enc.COUNTS))
     return scaled.withColumns({c: round_half_even(F.col(c), 4) for c in enc.COUNTS})
 
@@ -60,17 +79,18 @@ def standardise(spark, d):
        + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(abs({c})) AS importance FROM z" for c in enc.COUNTS)
        + f") SELECT feature, {r('importance')} AS importance FROM m ORDER BY m.importance DESC LIMIT 5", enc.ENC)
 def mean_absolute_features(spark, d):
-    rows = enc.cleaned(spark, d).select(*enc.COUNTS)
+    rows = enc.kept(spark, d).select(*enc.COUNTS)
     scaled = training.scale(rows, training.fit_scaling(rows, enc.COUNTS))
     top = evaluation.top_features(evaluation.mean_absolute(scaled, enc.COUNTS), 5)
     return top.withColumn("importance", round_half_even(F.col("importance"), 4))
 
 
-# -- models: no SQL can say what they answer --------------------------------------
-# The registered runs use fewer trees and trials than the defaults, which are
-# those of default_models() and sample_trials(); the rows are always all rows.
+# -- fitted models ----------------------------------------------------------------
+# SQL cannot say what a fitted model answers, but it knows the rows of each part, how
+# many trees, folds and trials there are, and that a figure must equal its recount.
+# All runs use the settings of default_models(), bootstrap_model() and sample_trials().
 
-TREES = 20
+TRIALS = 2  # of the search; the drawn values stay as they are
 
 
 def prepared(spark, d):
@@ -82,87 +102,143 @@ def prepared(spark, d):
     return data, names, train, test, stats
 
 
-def small(name):
-    spec = training.default_models()[name]
-    if spec.kind == "forest":
-        return spec.with_params(numTrees=TREES)
-    return spec.with_params(maxIter=TREES) if spec.kind == "boosting" else spec
+_PARTS = enc._STEPS + """,
+sizes AS (SELECT readmitted_30d AS label, count(*) AS n, sum(count(*)) OVER () AS total FROM stayed GROUP BY 1),
+shares AS (SELECT *, ceil(total * 0.2) AS tests, n * ceil(total * 0.2) / total AS exact FROM sizes),
+given AS (SELECT *, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC) <= tests - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS k FROM shares),
+parts AS (SELECT (sum(n) - sum(k))::BIGINT AS train_rows, sum(k)::BIGINT AS test_rows, sum(n - k) FILTER (WHERE label = 1)::BIGINT AS train_positives,
+  sum(k) FILTER (WHERE label = 1)::BIGINT AS test_positives FROM given)
+"""
 
 
-def _train(spark, d, name):
+def _facts_sql(name, trees):
+    return _PARTS + f"SELECT '{name}' AS model, {trees} AS trees, *, TRUE AS auc_is_its_recount FROM parts"
+
+
+def _facts(spark, name, spec, d):
+    """What was fitted, on which rows, and whether its area on the test rows equals a recount by Spark's own evaluator."""
     _, names, train, test, _ = prepared(spark, d)
-    return training.evaluate_all({name: training.fit(small(name), train, names)}, test)
+    n0, n1 = training.class_ratio(train, fixed.LABEL)
+    model = training.fit(spec, train, names, sizes=(n0, n1))
+    trees = 0 if spec.kind == "logistic" else model.stages[-1].getNumTrees
+    t0, t1 = training.class_ratio(test, fixed.LABEL)
+    recount = BinaryClassificationEvaluator(labelCol=fixed.LABEL, numBins=0).evaluate(model.transform(test))
+    board = training.evaluate_all({name: model}, test)
+    same = F.abs(F.col("auc") - F.lit(recount)) < 1e-9
+    return board.select(
+        "model", F.lit(trees).alias("trees"), F.lit(n0 + n1).cast("long").alias("train_rows"), F.lit(t0 + t1).cast("long").alias("test_rows"),
+        F.lit(n1).cast("long").alias("train_positives"), F.lit(t1).cast("long").alias("test_positives"), same.alias("auc_is_its_recount"))
 
 
-@query()
+def _train(spark, d, name):
+    return _facts(spark, name, training.default_models()[name], d)
+
+
+@query(_facts_sql("logistic", 0), enc.ENC)
 def train_logistic(spark, d):
     return _train(spark, d, "logistic")
 
 
-@query()
+@query(_facts_sql("forest", 300), enc.ENC)
 def train_forest(spark, d):
     return _train(spark, d, "forest")
 
 
-@query()
+@query(_facts_sql("boosting_a", 300), enc.ENC)
 def train_boosting_a(spark, d):
     return _train(spark, d, "boosting_a")
 
 
-@query()
+@query(_facts_sql("boosting_b", 300), enc.ENC)
 def train_boosting_b(spark, d):
     return _train(spark, d, "boosting_b")
 
 
-@query()
+@query(_facts_sql("bootstrap", 100), enc.ENC)
 def train_bootstrap(spark, d):
-    _, names, train, test, _ = prepared(spark, d)
-    spec = training.bootstrap_model().with_params(maxIter=TREES)
-    return training.evaluate_all({"bootstrap": training.fit(spec, train, names)}, test)
+    return _facts(spark, "bootstrap", training.bootstrap_model(), d)
 
 
-@query()
+@query("SELECT unnest(['logistic', 'forest', 'boosting_a', 'boosting_b']) AS model, 5 AS folds, TRUE AS is_a_share, TRUE AS std_is_its_recount")
 def cross_validate(spark, d):
+    """All four models in five folds; mean and deviation against the fold areas themselves."""
     _, names, train, _, _ = prepared(spark, d)
-    return training.cross_validate({"logistic": small("logistic")}, train, names, IDS)
+    scores = training.cross_validated(training.default_models(), train, names, IDS)
+    board = evaluation.mean_and_spread(scores, ["model"])
+    recount = scores.groupBy("model").agg(F.count("*").cast("int").alias("folds"), F.avg(F.col("auc") * F.col("auc")).alias("square"))
+    spread = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+    return board.join(recount, "model").select(
+        "model", "folds", F.col("mean").between(0.0, 1.0).alias("is_a_share"), (F.abs(F.col("std") - spread) < 1e-6).alias("std_is_its_recount"))
 
 
-@query()
+_searched: dict[tuple[str, str], tuple] = {}
+
+
+def _search(spark, d):
+    """The search over a folder's tables; its two queries in one session share one run."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _searched:
+        _, names, train, test, _ = prepared(spark, d)
+        trials = training.sample_trials(TRIALS)
+        _searched[key] = (names, train, test, trials, *training.search(train, names, IDS, trials))
+    return _searched[key]
+
+
+@query(f"SELECT t::INTEGER AS trial, TRUE AS drawn_values_kept, TRUE AS is_a_share FROM range({TRIALS}) r(t)")
 def random_search(spark, d):
-    _, names, train, _, _ = prepared(spark, d)
-    trials = [{**t, "maxIter": 5, "maxDepth": min(t["maxDepth"], 4)} for t in training.sample_trials(2)]
-    return training.search(train, names, IDS, trials, folds=2)[0]
+    _, _, _, trials, board, _ = _search(spark, d)
+    drawn = spark.createDataFrame([(i, t["maxIter"], t["stepSize"], t["maxDepth"]) for i, t in enumerate(trials)], "trial int, i int, s double, d int")
+    same = (F.col("maxIter") == F.col("i")) & (F.col("stepSize") == F.col("s")) & (F.col("maxDepth") == F.col("d"))
+    return board.join(drawn, "trial").select("trial", same.alias("drawn_values_kept"), F.col("mean").between(0.0, 1.0).alias("is_a_share"))
 
 
-@query()
+@query("SELECT TRUE AS best_has_the_highest_mean, TRUE AS improvement_is_the_difference")
 def refit_best(spark, d):
-    _, names, train, test, _ = prepared(spark, d)
-    baseline = training.fit(small("logistic"), train, names)
-    best = {**training.sample_trials(1)[0], "maxIter": TREES, "maxDepth": 4}
-    return training.refit_best(best, baseline, train, test, names)[1]
+    names, train, test, trials, board, best = _search(spark, d)
+    baseline = training.fit(training.default_models()["logistic"], train, names)
+    report = training.refit_best(best, baseline, train, test, names)[1]
+    first = board.orderBy(F.desc("mean"), "trial").first()["trial"]
+    gain = (F.col("tuned_auc") - F.col("baseline_auc")) * 100
+    return report.select(F.lit(trials[first] == best).alias("best_has_the_highest_mean"),
+                         (F.abs(F.col("improvement") - gain) < 1e-9).alias("improvement_is_the_difference"))
 
 
 def _quick(spark, d):
     data, names, train, test, stats = prepared(spark, d)
-    return data, names, train, test, stats, training.fit(small("logistic"), train, names)
+    return data, names, train, test, stats, training.fit(training.default_models()["logistic"], train, names)
 
 
-@query()
+_RETRAINED = enc._STEPS + """, kept AS (SELECT floor(count(*) * 0.8)::BIGINT AS training_samples FROM stayed)
+SELECT training_samples, TRUE AS champion_rule_kept, TRUE AS improvement_is_the_difference, '2024-06-30 00:00:00' AS retrained_at FROM kept"""
+
+
+def _retrained(metrics):
+    better = F.col("new_auc") > F.col("current_auc")
+    return metrics.select(
+        "training_samples", ((F.col("status") == F.when(better, "improved").otherwise("no_improvement")) & (F.col("model_saved") == better)).alias("champion_rule_kept"),
+        (F.abs(F.col("improvement") - (F.col("new_auc") - F.col("current_auc"))) < 2e-4).alias("improvement_is_the_difference"),
+        F.date_format("retrained_at", "yyyy-MM-dd HH:mm:ss").alias("retrained_at"))
+
+
+@query(_RETRAINED, enc.ENC)
 def retrain_gate(spark, d):
     data, names, _, _, _, current = _quick(spark, d)
-    spec = training.retrain_model().with_params(maxIter=TREES)
-    _, metrics = training.retrain(data, current, names, "encounter_id", IDS, "2024-06-30 00:00:00", spec=spec)
-    return metrics.withColumn("retrained_at", F.date_format("retrained_at", "yyyy-MM-dd HH:mm:ss"))
+    return _retrained(training.retrain(data, current, names, "encounter_id", IDS, "2024-06-30 00:00:00")[1])
 
 
-@query()
+@query(sco._DRIFT.strip() + ", " + enc._STEPS.strip() + f""", kept AS (SELECT floor(count(*) * 0.8)::BIGINT AS training_samples FROM stayed)
+SELECT CASE WHEN drifted THEN 'drift_detected' ELSE 'no_drift' END AS status, {r('auc')} AS current_auc,
+  CASE WHEN drifted THEN training_samples END AS training_samples, CASE WHEN drifted THEN 1 ELSE 0 END::BIGINT AS metrics_rows
+FROM drift, kept""", ("fx_outcomes", *enc.ENC))
 def learning_run(spark, d):
-    """Drift check on the outcomes and, if they call for it, a retraining."""
-    report, metrics = feedback.learning_run(sco.outcomes(spark, d), lambda: retrain_gate(spark, d))
-    state = report.select("status", "current_auc")
-    if metrics is None:
-        return state.withColumn("retrain_status", F.lit(None).cast("string"))
-    return state.withColumn("retrain_status", metrics.select("status").scalar())
+    """Drift check on the outcomes; if they call for it, a retraining whose metrics are appended and read back."""
+    data, names, _, _, _, current = _quick(spark, d)
+    base = scratch_path(spark, "learning")
+    report, _ = jobs.learning_job(sco.outcomes(spark, d), data, current, names, "encounter_id", IDS, "2024-06-30 00:00:00",
+                                  f"{base}/metrics", save_to=f"{base}/challenger")
+    history = read_metrics(spark, f"{base}/metrics").agg(F.max("training_samples").alias("training_samples"), F.count("*").alias("metrics_rows")).first()
+    return report.select("status", "current_auc", F.lit(history["training_samples"]).cast("long").alias("training_samples"),
+                         F.lit(history["metrics_rows"]).cast("long").alias("metrics_rows"))
 
 
 @query()
@@ -171,18 +247,28 @@ def attribution_linear(spark, d):
     return explain.linear_attribution(model, train, test, names, IDS)
 
 
-@query()
+_RANKED = "SELECT 10::BIGINT AS rows, 10::BIGINT AS features, TRUE AS in_order, TRUE AS known_features"
+
+
+def _ranked(top, names):
+    """How many features a top list holds, whether they are in order and all among the model's."""
+    listed = [(i, r["feature"], r["importance"]) for i, r in enumerate(top.collect())]
+    return top.sparkSession.createDataFrame(listed, "place int, feature string, importance double").agg(
+        F.count("*").alias("rows"), F.count_distinct("feature").alias("features"),
+        F.lit(all(a[2] >= b[2] for a, b in zip(listed, listed[1:]))).alias("in_order"), F.bool_and(F.col("feature").isin(names)).alias("known_features"))
+
+
+@query(_RANKED)
 def attribution_permutation(spark, d):
     _, names, train, test, _ = prepared(spark, d)
-    few = names[:8]
-    model = training.fit(small("boosting_b").with_params(maxIter=5), train, few)
-    return explain.permutation_attribution(model, test, few, IDS)
+    model = training.fit(training.default_models()["boosting_b"], train, names)
+    return _ranked(explain.permutation_attribution(model, test, names, IDS), names)
 
 
-@query()
+@query(_RANKED)
 def attribution_splits(spark, d):
     _, names, train, _, _ = prepared(spark, d)
-    return explain.split_importance(training.fit(small("forest"), train, names), names, train)
+    return _ranked(explain.split_importance(training.fit(training.default_models()["forest"], train, names), names, train), names)
 
 
 @query()
@@ -233,11 +319,130 @@ def score_fhir(spark, d):
 
 @query()
 def evaluation_report(spark, d):
-    _, _, _, test, _, model = _quick(spark, d)
-    report = jobs.evaluation_job(model, test, scratch_path(spark, "evaluation"))
+    _, names, _, test, _, model = _quick(spark, d)
+    report = jobs.evaluation_job(model, test, scratch_path(spark, "evaluation"), features=names, ids=IDS)
     return report["classification_report"]
 
 
+# -- the same jobs with given coefficients, which SQL can follow --------------------
+# Binary fractions, so that sums are exact in any order.
+
+LINEAR = LinearScorer({
+    "age_numeric": 0.015625, "total_prior_visits": 0.125, "num_medications": 0.03125, "high_risk_discharge": 0.5,
+    "gender_male": -0.25, "time_in_hospital": 0.0625}, -3.0)
+REQUEST = LinearScorer({"age_numeric": 0.015625, "time_in_hospital": 0.0625, "number_inpatient": 0.5, "num_medications": 1.0}, -2.0)
+PATIENT = LinearScorer({"age_numeric": 0.015625, "num_medications": 0.03125, "number_diagnoses": 0.0625, "emergency_prone": 0.5}, -3.0)
+
+
+def _linear_sql(scorer, columns=None):
+    """The probability in SQL; ``columns`` says how a feature is spelt there."""
+    terms = "".join(f" + {w!r}::DOUBLE * coalesce({(columns or {}).get(f, f)}, 0)" for f, w in scorer.coefficients.items())
+    return f"1.0::DOUBLE / (1.0::DOUBLE + exp(-({scorer.intercept!r}::DOUBLE{terms})))"
+
+
+_SCORED = enc._STEPS + f""",
+flagged AS (SELECT *, {flag("gender = 'Male'")} AS gender_male FROM stayed),
+scored AS (SELECT encounter_id, readmitted_30d AS label, {_linear_sql(LINEAR)} AS p FROM flagged)
+"""
+_PREDICTED = _SCORED + f"SELECT encounter_id, {r('p')} AS readmission_probability, {flag('p >= 0.369')} AS predicted_readmission, {sco._CUT} AS risk_level, label AS actual FROM scored"
+_REQUESTS = f"""WITH sent AS (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN cast(o_custkey AS VARCHAR) ELSE 'UNKNOWN' END AS patient_id, o_custkey % 100 AS age,
+  o_orderkey % 14 AS stay, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 5 END AS inpatient FROM orders),
+scored AS (SELECT patient_id, {_linear_sql(REQUEST, {'age_numeric': 'age', 'time_in_hospital': 'stay', 'number_inpatient': 'inpatient', 'num_medications': '0'})} AS p FROM sent)
+SELECT patient_id, {r('p')} AS readmission_probability, {sco._PERCENT} AS readmission_percentage, p >= 0.369 AS predicted_readmission, {sco._BAND} AS risk_level"""
+
+
+@query(_PREDICTED, enc.ENC)
+def linear_batch_score(spark, d):
+    data, _ = enc.features_table(spark, d)
+    return jobs.score_features(LINEAR, data, list(LINEAR.coefficients), keep=IDS)
+
+
+@query(_PREDICTED, enc.ENC)
+def linear_score_raw(spark, d):
+    stats = encounters.fit_encounters(enc.kept(spark, d))
+    return jobs.score_raw(LINEAR, enc.raw(spark, d), list(LINEAR.coefficients), stats, order=enc.ORDER, keep=IDS)
+
+
+@query(_SCORED + f"""SELECT count(p) AS total_scored, count(*) FILTER (WHERE p >= 0.6) AS high_risk, count(*) FILTER (WHERE p >= 0.3 AND p < 0.6) AS medium_risk,
+  count(*) FILTER (WHERE p < 0.3) AS low_risk, {r('avg(p)')} AS avg_risk FROM scored""", enc.ENC)
+def linear_daily_score(spark, d):
+    return jobs.daily_job(LINEAR, enc.features_table(spark, d)[0], list(LINEAR.coefficients))
+
+
+@query(_REQUESTS + f", {sco._ADVICE} AS recommendations FROM scored")
+def linear_score_requests(spark, d):
+    scored = jobs.score_requests(REQUEST, requests(spark, d), list(REQUEST.coefficients))
+    return scored.withColumn("recommendations", F.array_join("recommendations", " | "))
+
+
+@query(sco._FHIR + f""", scored AS (SELECT pid, {_linear_sql(PATIENT, {'age_numeric': 'age', 'num_medications': 'm', 'number_diagnoses': 'c', 'emergency_prone': flag('e >= 2')})} AS p FROM j)
+SELECT cast(pid AS VARCHAR) AS patient_id, {r('p')} AS readmission_probability, {sco._PERCENT} AS readmission_percentage, p >= 0.369 AS predicted_readmission,
+  {sco._BAND} AS risk_level FROM scored""")
+def linear_score_fhir(spark, d):
+    return jobs.score_patients(PATIENT, sco.fhir_features(spark, d), list(PATIENT.coefficients))
+
+
+@query(_REQUESTS + " FROM scored")
+def linear_stream_discharge(spark, d):
+    """Requests as a stream of files, scored, written with their time and read back."""
+    base = scratch_path(spark, "requests")
+    requests(spark, d).write.json(f"{base}/in")
+    scored = discharge.score_events(stream_requests(spark, f"{base}/in"), REQUEST, list(REQUEST.coefficients))
+    discharge.run_stream(scored, f"{base}/scores", f"{base}/alerts", f"{base}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{base}/scores").drop("query", "batch", "scored_at", "scored_day")
+
+
+_PULL = [f"avg(abs({w!r}::DOUBLE * (coalesce({f}, 0) - mean_{i})))" for i, (f, w) in enumerate(LINEAR.coefficients.items())]
+
+
+@query(enc._STEPS + f""",
+flagged AS (SELECT *, {flag("gender = 'Male'")} AS gender_male FROM stayed),
+means AS (SELECT {', '.join(f'avg(coalesce({f}, 0)) AS mean_{i}' for i, f in enumerate(LINEAR.coefficients))} FROM flagged),
+pulls AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {x} AS importance FROM flagged, means" for f, x in zip(LINEAR.coefficients, _PULL))})
+SELECT feature, {r('importance')} AS importance FROM pulls ORDER BY pulls.importance DESC LIMIT 5""", enc.ENC)
+def linear_attribution(spark, d):
+    data = materialise(enc.features_table(spark, d)[0], "encounter-features")
+    top = explain.linear_attribution(LINEAR, data, data, list(LINEAR.coefficients), IDS, rows=None, top=5)
+    return top.withColumn("importance", round_half_even(F.col("importance"), 4))
+
+
+_REPORT = _SCORED.replace("AS p FROM flagged)", "AS p FROM flagged),\nfx_scores AS (SELECT p, label FROM scored)", 1) + "," + sco._CURVE.strip() + f""",
+rated AS (SELECT *, 2.0::DOUBLE * precision * recall / (precision + recall + 1e-9::DOUBLE) AS f1 FROM pr),
+best AS (SELECT * FROM rated ORDER BY f1 DESC, threshold LIMIT 1),
+m AS (SELECT (count(*) FILTER (WHERE p < threshold AND label = 0))::DOUBLE AS tn, (count(*) FILTER (WHERE p >= threshold AND label = 0))::DOUBLE AS fp,
+  (count(*) FILTER (WHERE p < threshold AND label = 1))::DOUBLE AS fn, (count(*) FILTER (WHERE p >= threshold AND label = 1))::DOUBLE AS tp FROM scored, best),
+every AS (
+  SELECT 'roc_auc' AS "table", 'auc' AS figure, sum(neg * (tp - pos + pos / 2.0::DOUBLE))::DOUBLE / (max(positives)::DOUBLE * max(negatives)::DOUBLE) AS value FROM curve
+  UNION ALL SELECT 'average_precision', 'average_precision', sum(pos * precision) / sum(pos)::DOUBLE FROM pr
+  UNION ALL SELECT 'best_threshold', unnest(['threshold', 'f1', 'precision', 'recall']), unnest([threshold, f1, precision, recall]) FROM best
+  UNION ALL SELECT 'confusion', unnest(['tn', 'fp', 'fn', 'tp']), unnest([tn, fp, fn, tp]) FROM m
+  UNION ALL SELECT 'prevalence', 'prevalence', avg(label) FROM scored
+  UNION ALL SELECT 'classification_report', 'accuracy', (tn + tp) / (tn + fp + fn + tp) FROM m
+  UNION ALL SELECT 'classification_report', 'recall of 1', coalesce(tp / nullif(tp + fn, 0), 0) FROM m
+  UNION ALL SELECT 'roc_points', 'rows', count(*) + 1.0::DOUBLE FROM curve
+  UNION ALL SELECT 'roc_points', 'mean tpr', sum(tp::DOUBLE / positives::DOUBLE) / (count(*) + 1) FROM curve
+  UNION ALL SELECT 'pr_points', 'rows', count(*) + 1.0::DOUBLE FROM pr
+  UNION ALL SELECT 'pr_points', 'mean precision', (sum(precision) + 1) / (count(*) + 1) FROM pr)
+SELECT "table", figure, {r('value')} AS value FROM every"""
+
+
+@query(_REPORT, enc.ENC)
+def linear_evaluation_report(spark, d):
+    """Figures from every table of the evaluation report but the attribution."""
+    data = materialise(enc.features_table(spark, d)[0], "encounter-features")
+    t = jobs.evaluation_job(LINEAR, data, scratch_path(spark, "evaluation"))
+    wide = {
+        "roc_auc": t["roc_auc"], "average_precision": t["average_precision"], "best_threshold": t["best_threshold"],
+        "confusion": t["confusion"].select(*[F.col(c).cast("double").alias(c) for c in ("tn", "fp", "fn", "tp")]), "prevalence": t["prevalence"],
+        "classification_report": t["classification_report"].agg(
+            F.max(F.when(F.col("class") == "accuracy", F.col("f1"))).alias("accuracy"), F.max(F.when(F.col("class") == "1", F.col("recall"))).alias("recall of 1")),
+        "roc_points": t["roc_points"].agg(F.count("*").cast("double").alias("rows"), F.avg("tpr").alias("mean tpr")),
+        "pr_points": t["pr_points"].agg(F.count("*").cast("double").alias("rows"), F.avg("precision").alias("mean precision")),
+    }
+    long = [df.unpivot([], df.columns, "figure", "value").withColumn("table", F.lit(name)) for name, df in wide.items()]
+    return reduce(DataFrame.unionByName, long).withColumn("value", round_half_even(F.col("value"), 4))
+
+
 # -- streams ---------------------------------------------------------------------
 
 
@@ -265,8 +470,8 @@ def _run_stream(spark, d):
     base = scratch_path(spark, "discharges")
     discharge.run_stream(scored, f"{base}/scores", f"{base}/alerts", f"{base}/checkpoint", once=True).awaitTermination()
     return (
-        spark.read.parquet(f"{base}/scores").drop("batch"),
-        spark.read.parquet(f"{base}/alerts").drop("batch"),
+        spark.read.parquet(f"{base}/scores").drop("query", "batch", "scored_at", "scored_day"),
+        spark.read.parquet(f"{base}/alerts").drop("query", "batch"),
     )
 
 
@@ -290,4 +495,4 @@ def stream_discharge(spark, d):
     requests(spark, d).write.json(f"{base}/in")
     scored = discharge.score_events(stream_requests(spark, f"{base}/in"), model, names)
     discharge.run_stream(scored, f"{base}/scores", f"{base}/alerts", f"{base}/checkpoint", once=True).awaitTermination()
-    return spark.read.parquet(f"{base}/scores").drop("batch")
+    return spark.read.parquet(f"{base}/scores").drop("query", "batch", "scored_at", "scored_day")

@@ -8,7 +8,9 @@ from wardlight.catalog.views import table, view
 from wardlight.functions import fixed
 from wardlight.functions.scalars import round_half_even
 from wardlight.operators import cleaning, evaluation, fhir, notes, pathways, scoring
+from wardlight.session import scratch_path
 from wardlight.sources import schemas
+from wardlight.sources.readers import read_fhir
 from wardlight.streaming import feedback
 
 SCORES = ("fx_scores",)
@@ -120,7 +122,7 @@ pr AS (SELECT threshold, tp::DOUBLE / (tp + fp)::DOUBLE AS precision, tp::DOUBLE
 
 
 def _hist(spark, d):
-    return evaluation.score_table(scores(spark, d))
+    return evaluation.kept_scores(scores(spark, d))
 
 
 def _rounded(df, *columns):
@@ -373,6 +375,18 @@ j AS (SELECT pid, age, coalesce(c.n, 0) AS c, coalesce(cardiac, 0) AS cardiac, c
 """
 
 
+def bundle_files(spark, d):
+    """The bundles written as JSON files and read back: resources name their patient, pages do so only when empty."""
+    folder = scratch_path(spark, "fhir")
+    for name, pages in bundles(spark, d).items():
+        if name != "Patient":
+            reference = F.struct(F.concat(F.lit("Patient/"), F.col("patient_id")).alias("reference"))
+            pages = pages.withColumn("entry", F.transform("entry", lambda e: e.withField("resource", e["resource"].withField("subject", reference))))
+            pages = pages.withColumn("patient_id", F.when(F.size("entry") == 0, F.col("patient_id")))
+        pages.write.json(f"{folder}/{name}")
+    return read_fhir(spark, folder)
+
+
 @query(_FHIR + f"""SELECT cast(pid AS VARCHAR) AS patient_id, age AS age_numeric, 5 AS time_in_hospital, i AS number_inpatient, o AS number_outpatient,
   e AS number_emergency, c AS number_diagnoses, m AS num_medications, l AS num_lab_procedures, 0 AS num_procedures, cardiac AS cardiac_primary,
   diabetes AS diabetes_primary, 0 AS high_risk_discharge, 0 AS medication_changed, t AS total_prior_visits, {flag('age >= 65')} AS is_elderly,
@@ -381,7 +395,7 @@ j AS (SELECT pid, age, coalesce(c.n, 0) AS c, coalesce(cardiac, 0) AS cardiac, c
   {flag('l > 40')} AS high_lab_use, 0 AS had_procedures, {flag('i >= 1')} AS has_inpatient_history, {flag('e >= 2')} AS emergency_prone,
   {flag('t >= 3')} AS high_utiliser FROM j""")
 def fhir_features(spark, d):
-    b = bundles(spark, d)
+    b = bundle_files(spark, d)
     return fhir.bundle_features(
         b["Patient"], b["Condition"], b["MedicationRequest"], b["Encounter"], b["Observation"], F.lit(ASOF).cast("date")
     )

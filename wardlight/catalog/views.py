@@ -40,12 +40,13 @@ VIEWS: dict[str, tuple[str, str]] = {
         CASE s_suppkey % 5 WHEN 0 THEN 'Cardiology' WHEN 1 THEN 'Dermatology' WHEN 2 THEN 'Nephrology' WHEN 3 THEN 'Pediatrics' ELSE 'Oncology' END AS specialization,
         cast(1 + s_suppkey * 2 % 15 AS int) AS years_experience,
         CASE s_nationkey % 3 WHEN 0 THEN 'Central' WHEN 1 THEN 'East' ELSE 'West' END AS hospital_branch"""),
-    "fx_patients": ("customer WHERE c_custkey % 50 <> 0", """
-        c_custkey AS patient_id, CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
+    # Some patients and bills have a key that nothing matches, so that joins see missing sides.
+    "fx_patients": ("customer", """
+        CASE WHEN c_custkey % 50 = 0 THEN -c_custkey ELSE c_custkey END AS patient_id, CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
         concat(cast(1930 + c_custkey % 80 AS string), '-0', cast(1 + c_custkey % 9 AS string), '-1', cast(c_custkey % 10 AS string)) AS date_of_birth,
         c_mktsegment AS insurance_provider, '2020-01-01' AS registration_date"""),
-    "fx_billing": ("orders WHERE o_custkey % 7 <> 0", """
-        o_custkey AS patient_id, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS amount,
+    "fx_billing": ("orders", """
+        CASE WHEN o_custkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS patient_id, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS amount,
         CASE o_orderstatus WHEN 'P' THEN 'Pending' WHEN 'F' THEN 'Paid' ELSE 'Failed' END AS payment_status,
         CASE o_orderpriority WHEN '5-LOW' THEN 'Insurance' WHEN '3-MEDIUM' THEN 'Cash' ELSE 'Credit Card' END AS payment_method"""),
     "fx_treatments": ("lineitem", """
@@ -73,8 +74,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         CASE WHEN event_id % 11 = 0 THEN 'no json here'
              ELSE concat('{"social_isolation_score": ', cast(event_id % 4 AS string), ', "mental_health_flag": ', cast(event_id % 2 AS string),
                          ', "overall_psychosocial_risk": ', cast(event_id % 11 AS string), '}') END AS annotation_json"""),
-    # One retraining record per day-like slice of the events table.
-    "fx_metrics": ("events WHERE event_type = 'signup'", """
+    "fx_metrics": ("events", """
         event_id AS retrain_id, ts AS retrained_at"""),
 }
 
