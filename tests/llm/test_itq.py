@@ -40,12 +40,12 @@ def clustered(rng, n, width, labels=2, spread=0.03):
             for i in range(n)]
 
 
-@pytest.mark.parametrize("width,threshold,probe_limit,block", [(64, 0.98, 2048, 128), (12, 0.98, 2048, 3), (20, 0.9, 4, 128)])
-def test_finds_every_link(spark, width, threshold, probe_limit, block):
+@pytest.mark.parametrize("width,threshold,listing_limit,block", [(64, 0.98, 2048, 128), (12, 0.98, 2048, 3), (20, 0.9, 4, 128)])
+def test_finds_every_link(spark, width, threshold, listing_limit, block):
     rng = np.random.default_rng(width)
     rows = clustered(rng, 240, width, spread=0.12 if threshold < 0.95 else 0.08)
     rows += [(1000 + k, *rows[k][1:]) for k in range(20)]  # copies
-    got = itq.near_duplicates(spark.createDataFrame(rows, SCHEMA), threshold=threshold, probe_limit=probe_limit, block=block).collect()
+    got = itq.near_duplicates(spark.createDataFrame(rows, SCHEMA), threshold=threshold, listing_limit=listing_limit, block=block).collect()
     want = plain(rows, threshold)
     assert sum(n for _, n, _ in want) > 100
     assert sorted(map(tuple, got)) == sorted(want)
@@ -57,7 +57,7 @@ def test_flat_data_and_unseen_widths(spark):
     tight = [(100 + i, [1.0, 1.0, 1.0 + 0.001 * i] + [0.0] * 29, 1, "x", 1) for i in range(40)]
     other = [(200, [1.0, 2.0], 1, "x", 1), (201, [2.0, 4.0], 1, "x", 1), (202, [1.0, 2.0, 3.0], 1, "x", 1)]
     rows = flat + tight + other
-    got = itq.near_duplicates(spark.createDataFrame(rows, SCHEMA), sample=50, probe_limit=8).collect()
+    got = itq.near_duplicates(spark.createDataFrame(rows, SCHEMA), sample=50, listing_limit=8).collect()
     assert sorted(map(tuple, got)) == sorted(plain(rows, 0.98))
 
 

@@ -19,7 +19,7 @@ THRESHOLD = 0.98
 SAMPLE = 20_000
 ITERATIONS = 50
 MAX_BITS = 64
-PROBES = 2048
+LISTINGS = 2048
 BLOCK = 128
 _SLACK = 1e-6
 _BUCKET = ["label", "width", "ring", "code"]
@@ -75,42 +75,55 @@ def plain_codes(width: int, rows: int, max_bits: int = MAX_BITS) -> Codes:
     return Codes(np.zeros(width), np.eye(width)[:, :keep], max(1, round(keep / max(8.0, log2(max(2, rows))))))
 
 
-def signs(z: np.ndarray, codes: Codes) -> list[np.ndarray]:
-    """The bucket of each row in each table."""
-    cuts = codes.cuts
-    return [((z[:, a:b] >= 0) << np.arange(b - a)).sum(axis=1) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def probes(z: np.ndarray, codes: Codes, apart: float, limit: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each table the ``(row, flipped bits)`` to look up, and which rows would need more than ``limit`` in a table.
+def listed(z: np.ndarray, codes: Codes, apart: float, limit: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each table the ``(row, code)`` under which rows are listed, and which rows would be listed more than ``limit`` times in a table.
 
     Two vectors at squared distance ``apart`` at most are, in some table, at most ``apart / tables``
-    from each other. Where their signs differ there, each coordinate is at least its own
-    size away. So the flips worth a look are the sets of coordinates whose squares sum
-    to no more than that, and no pair is missed.
+    from each other. Take there, wherever their signs differ, the sign of the larger coordinate: that code is
+    their meeting place. A row has to flip only coordinates that are smaller than the other's, and
+    the two are at least twice that size away from each other. So a row is listed under
+    its own code with every set of coordinates flipped whose squares sum to a quarter of the
+    share, and no pair is missed.
     """
-    budget = apart / codes.tables + _SLACK
-    wide = np.zeros(len(z), bool)
+    budget = apart / codes.tables / 4 + _SLACK
+    many = np.zeros(len(z), bool)
     out, cuts = [], codes.cuts
     for a, b in zip(cuts, cuts[1:], strict=False):
         square = z[:, a:b] ** 2
         row, flips, total = np.arange(len(z)), np.zeros(len(z), np.int64), np.zeros(len(z))
         for bit in range(b - a):
             more = total + square[row, bit]
-            fits = (more <= budget) & ~wide[row]
+            fits = (more <= budget) & ~many[row]
             row, flips, total = (np.concatenate([x, y[fits]]) for x, y in ((row, row), (flips, flips | 1 << bit), (total, more)))
-            wide |= np.bincount(row, minlength=len(z)) > limit
-        out.append((row, flips))
-    return out, wide
+            many |= np.bincount(row, minlength=len(z)) > limit
+        out.append((row, _bits(z[:, a:b] >= 0)[row] ^ flips))
+    return out, many
 
 
-def _first_table(zx: np.ndarray, zy: np.ndarray, codes: Codes, apart: float) -> np.ndarray:
-    """For pairs of rows the first table in which the left one looks the right one up."""
+def _bits(flags: np.ndarray) -> np.ndarray:
+    return (flags.astype(np.uint64) << np.arange(flags.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _meeting(zx: np.ndarray, zy: np.ndarray, codes: Codes, apart: float) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of rows the first table in which they are near enough, and the code there under which both are listed."""
     budget = apart / codes.tables + _SLACK
-    square = np.where((zx >= 0) != (zy >= 0), zx**2, 0.0)
-    cuts = codes.cuts
-    sums = np.stack([square[:, a:b].sum(axis=1) for a, b in zip(cuts, cuts[1:], strict=False)], axis=1)
-    return np.argmax(sums <= budget, axis=1)
+    square = (zx - zy) ** 2
+    larger = np.where(np.abs(zx) > np.abs(zy), zx >= 0, np.where(np.abs(zx) < np.abs(zy), zy >= 0, (zx >= 0) | (zy >= 0)))
+    cuts = list(zip(codes.cuts, codes.cuts[1:], strict=False))
+    table = np.argmax(np.stack([square[:, a:b].sum(axis=1) for a, b in cuts], axis=1) <= budget, axis=1)
+    code = np.stack([_bits(larger[:, a:b]) for a, b in cuts], axis=1)
+    return table, code[np.arange(len(table)), table]
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Hamming check on all bits. ``sign`` has the signs, ``big`` marks coordinates of at least half the largest distance.
+
+    A differing bit adds a quarter of the largest squared distance if one side is big there, all of it if both are.
+    """
+    differ = F.col(f"{a}.sign").bitwiseXOR(F.col(f"{b}.sign"))
+    both = F.bit_count(differ.bitwiseAND(F.col(f"{a}.big")).bitwiseAND(F.col(f"{b}.big")))
+    one = F.bit_count(differ.bitwiseAND(F.col(f"{a}.big").bitwiseXOR(F.col(f"{b}.big"))))
+    return one + 4 * both <= 4
 
 
 def _usable(vector: str, kind: T.DataType) -> Column:
@@ -137,18 +150,19 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                    threshold: float = THRESHOLD, sample: int = SAMPLE, probe_limit: int = PROBES, block: int = BLOCK) -> DataFrame:
+                    threshold: float = THRESHOLD, sample: int = SAMPLE, listing_limit: int = LISTINGS, block: int = BLOCK) -> DataFrame:
     """``(id, n_links, component)`` per row: rows of one label are linked at a cosine of ``threshold`` or more.
 
     Equal vectors of a label are one class and are never paired. The rotation is
     fitted on at most ``sample`` classes, those with the smallest hash; every class is indexed. Which pairs are
-    found does not depend on the rotation (see ``probes``): all are, and the cosine of
-    the original vectors decides. A class that would need more than ``probe_limit`` probes in a
-    table is compared with its whole label instead.
+    found does not depend on the rotation (see ``listed``): all are, and the cosine of
+    the original vectors decides. Of those listed under a code, only those that pass the Hamming
+    check with another one are looked at. A class that would be listed more than ``listing_limit`` times in
+    a table is compared with its whole label instead.
 
-    Buckets and what looks them up are cut into blocks of about ``block`` classes; a task compares two
+    Buckets are cut into blocks of about ``block`` classes; a task compares two
     blocks by one matrix product and returns a count and a root for each class, never
-    pairs. Null labels, null or zero vectors and those with null or non-finite
+    pairs; a pair that meets in several buckets counts in one. Null labels, null or zero vectors and those with null or non-finite
     components have no links; vectors of different lengths have no cosine and are not linked; repeated rows count as
     other vectors; a null id is never the smallest unless there is no other.
     """
@@ -176,58 +190,66 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     some = pa.array(at[first:first + 1000])
                     cls = batch.column(0).take(some).to_numpy()
                     z = codes.project(unit_rows(_matrix(batch.column(2).take(some))))
-                    keys = signs(z, codes)
-                    looks, wide = probes(z, codes, apart, probe_limit)
-                    every = np.arange(len(cls))
-                    out = [(every, np.full(len(cls), -1), np.zeros(len(cls), np.int64), 0), (every[wide], np.full(wide.sum(), -1), np.zeros(wide.sum(), np.int64), 2)]
-                    for ring, (key, (row, flips)) in enumerate(zip(keys, looks, strict=True)):
-                        narrow = ~wide[row]
-                        row, flips = row[narrow], flips[narrow]
-                        out.append((every, np.full(len(cls), ring), key, 0))
-                        out.append((row, np.full(len(row), ring), key[row] ^ flips, np.where(flips == 0, 1, 2)))
-                    place = np.concatenate([o[0] for o in out])
-                    role = np.concatenate([np.broadcast_to(o[3], len(o[0])) for o in out])
+                    tables, many = listed(z, codes, apart, listing_limit)
+                    row, code, ring = [np.flatnonzero(many)], [np.zeros(many.sum(), np.int64)], [np.full(many.sum(), -1)]
+                    for number_, (rows_, codes_) in enumerate(tables):
+                        few = ~many[rows_]
+                        row.append(rows_[few])
+                        code.append(codes_[few])
+                        ring.append(np.full(few.sum(), number_))
+                    place = np.concatenate(row)
+                    sign, big = _bits(z >= 0), _bits(np.abs(z) > apart**0.5 / 2 * (1 + _SLACK) + _SLACK)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(cls[place]), pa.array(np.concatenate([o[1] for o in out]), pa.int32()),
-                        pa.array(np.concatenate([o[2] for o in out]), pa.int64()), pa.array(role, pa.int32())], ["cls", "ring", "code", "role"])
+                        pa.array(cls[place]), pa.array(np.concatenate(ring), pa.int32()), pa.array(np.concatenate(code)),
+                        pa.array(sign[place]), pa.array(big[place])], ["cls", "ring", "code", "sign", "big"])
 
-    keyed = classes.select("cls", "width", "vector").mapInArrow(coded, "cls bigint, ring int, code bigint, role int")
+    keyed = classes.select("cls", "width", "vector").mapInArrow(coded, "cls bigint, ring int, code bigint, sign bigint, big bigint")
     keyed = materialise(keyed.join(classes.select("cls", "label", "width"), "cls"), "vector-codes")
-    index, looks = keyed.filter("role = 0"), keyed.filter("role > 0")
-    sizes = index.groupBy(*_BUCKET).agg(F.count("*").alias("held"))
-    # A class that finds only itself under its own code has nothing to compare there.
-    looks = looks.join(sizes, _BUCKET).filter("role = 2 OR held > 1").select("cls", *_BUCKET)
-    asked = looks.groupBy(*_BUCKET).agg(F.count("*").alias("asking")).join(sizes, _BUCKET)
-    vector = classes.select("cls", "vector", "rows")
-
-    def blocks(members: DataFrame, size: str, name: str) -> DataFrame:
-        dealt = members.select("cls", *_BUCKET).join(asked, _BUCKET)
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col(size) / block)))
+    narrow = keyed.filter("ring >= 0")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _BUCKET]
+    met = narrow.alias("a").join(narrow.alias("b"), [*same, F.col("a.cls") != F.col("b.cls"), _may_link("a", "b")], "left_semi")
+    met = materialise(met.select("cls", *_BUCKET), "vector-met")
+    wide = keyed.filter("ring < 0").select("cls", *_BUCKET)
+    everyone = classes.select("cls", "label", "width", F.lit(-1).alias("ring"), F.lit(0).cast("bigint").alias("code"))
+    everyone = everyone.join(wide.select("label", "width").distinct(), ["label", "width"], "left_semi").select("cls", *_BUCKET)
+    asks = wide.select("cls", F.lit(True).alias("wide"))
+    vector = classes.join(asks, "cls", "left").select("cls", "vector", "rows", F.coalesce("wide", F.lit(False)).alias("wide"))
+
+    def blocks(members: DataFrame, name: str) -> DataFrame:
+        sizes = members.groupBy(*_BUCKET).agg(F.count("*").alias("size"))
+        dealt = members.join(sizes, _BUCKET).withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / block)))
         dealt = dealt.join(vector, "cls")
-        return dealt.groupBy(*_BUCKET, "block").agg(F.collect_list(F.struct("cls", "rows", "vector")).alias(name)).drop("block")
+        return dealt.groupBy(*_BUCKET, "block").agg(F.collect_list(F.struct("cls", "rows", "wide", "vector")).alias(name)).drop("block")
 
-    pairs = blocks(looks, "asking", "left").join(blocks(index, "held", "right"), _BUCKET).select("width", "ring", "left", "right")
+    pairs = blocks(met.union(wide), "left").join(blocks(met.union(everyone), "right"), _BUCKET).select("width", "ring", "code", "left", "right")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[np.ndarray] = []
             for k in range(batch.num_rows):
-                codes, ring = model(batch.column(0)[k].as_py()), batch.column(1)[k].as_py()
-                left, right = batch.column(2)[k].values, batch.column(3)[k].values
+                codes, ring, code = model(batch.column(0)[k].as_py()), batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                left, right = batch.column(3)[k].values, batch.column(4)[k].values
                 lc, rc = left.field(0).to_numpy(), right.field(0).to_numpy()
-                lu, ru = (unit_rows(_matrix(side.field(2).cast(pa.list_(number)))) for side in (left, right))
+                lu, ru = (unit_rows(_matrix(side.field(3).cast(pa.list_(number)))) for side in (left, right))
                 linked = (lu @ ru.T >= threshold) & (lc[:, None] != rc[None, :])
                 i, j = np.nonzero(linked)
                 if not len(i):
                     continue
+                near, far = _forest(linked)
+                backward = np.zeros(len(rc), np.int64)
                 if ring >= 0:
                     lz, rz = codes.project(lu), codes.project(ru)
-                    first = np.concatenate([_first_table(lz[i[s:s + 50_000]], rz[j[s:s + 50_000]], codes, apart) for s in range(0, len(i), 50_000)])
-                    i, j = i[first == ring], j[first == ring]
-                links = np.bincount(i, right.field(1).to_numpy()[j], len(lc)).astype(np.int64)
-                near, far = _forest(linked)
+                    here = np.zeros(len(i), bool)
+                    for s in range(0, len(i), 20_000):
+                        table, place = _meeting(lz[i[s:s + 20_000]], rz[j[s:s + 20_000]], codes, apart)
+                        here[s:s + 20_000] = (table == ring) & (place == code)
+                    i, j = i[here], j[here]
+                else:  # the right side meets these classes nowhere else, unless it asks here itself
+                    alone = ~right.field(2).to_numpy(zero_copy_only=False)[j]
+                    backward = np.bincount(j[alone], left.field(1).to_numpy()[i[alone]], len(rc)).astype(np.int64)
+                forward = np.bincount(i, right.field(1).to_numpy()[j], len(lc)).astype(np.int64)
                 both = np.concatenate([lc, rc])
-                out.append(np.stack([both, both[np.concatenate([near, far])], np.concatenate([links, np.zeros(len(rc), np.int64)])]))
+                out.append(np.stack([both, both[np.concatenate([near, far])], np.concatenate([forward, backward])]))
             a = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
             a = a[:, (a[0] != a[1]) | (a[2] > 0)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in a], ["cls", "root", "links"])
