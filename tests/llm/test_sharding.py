@@ -67,3 +67,21 @@ def test_query_is_native(spark):
     assert df.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     assert "Python" not in plan_of(df) and "Arrow" not in plan_of(df) and "Cartesian" not in plan_of(df)
     assert df.count() == 200 and df.filter("grown_shard is not null or law <> 'bytes'").count() == 0
+
+
+def test_whole_rows_are_written_in_slot_order(spark):
+    docs = read(spark, SF, "documents").withColumn("slot", F.lit("own"))
+    tables = sharding.write_shards(docs, shards=4, part_bytes=20_000)
+    got = [sharding.read_shard(tables, s).collect() for s in range(4)]
+    assert sharding.read_shard(tables, 0).schema.simpleString() == docs.schema.simpleString()
+    assert sorted(map(tuple, sum(got, []))) == sorted(map(tuple, docs.collect()))
+    label = {r.id: (r.shard, r.slot) for r in sharding.shard_rows(docs, shards=4).collect()}
+    assert all(label[r.doc_id] == (s, k) for s, rows in enumerate(got) for k, r in enumerate(rows))
+    files = sorted(tables.inputFiles())
+    assert len(files) > 8
+    at = {}
+    for f in files:
+        slots = [r.slot for r in spark.read.parquet(f).collect()]
+        first = at.get(f.split("/")[-2], 0)
+        assert slots == list(range(first, first + len(slots)))
+        at[f.split("/")[-2]] = first + len(slots)

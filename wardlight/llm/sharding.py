@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.session import materialise
+from wardlight.session import materialise, scratch_path
 
 SHARDS = 16
 TOLERANCE = 0.005
 PROBE_BITS = 10
 PIECE_ROWS = 50_000
+PIECE_BYTES = 8 << 20
+PART_BYTES = 64 << 20
+MAX_PARTS = 10_000
 WIDTH = 64
 LOWEST = -(1 << (WIDTH - 1))
 
@@ -117,31 +120,33 @@ def _at_or_above(cut: tuple[int, int]) -> Column:
     return (F.col("text_key") > text) | ((F.col("text_key") == text) & (F.col("id_key") >= own))
 
 
-def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
-               tolerance: float = TOLERANCE, probe_bits: int = PROBE_BITS, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """``(id, size, text_crc32, shard, slot)`` per row; shards have near equal sizes.
+def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, tolerance: float = TOLERANCE,
+                 probe_bits: int = PROBE_BITS, piece_rows: int = PIECE_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The sharded tables, written to the shared folder: ``row`` (all columns of ``docs`` as they are), ``slot`` and ``shard``.
 
     The rows are sorted by (XXH64 of the text, XXH64 of the id, id); a shard is a range of that order and
     ``slot`` a row's place in it, from 0. A size is the text's UTF-8 bytes plus 1. Equal
     texts stand side by side and in one shard, unless a cut between texts is too far
     from the target (see ``splitters``). A null text counts as empty, null ids come
-    first, repeated rows get slots of their own; of an empty table nothing is returned.
+    first, repeated rows get slots of their own; of an empty table nothing is written.
 
-    Only ids, hashes and sizes are moved, once: to pieces, ranges of the order that start
-    at the shard cuts and at fixed prefixes of the text hash. A text with more than a
+    Each shard is a folder ``shard=K``. Its files hold consecutive slots, in order, about ``part_bytes`` of text each (more if
+    that made over ``MAX_PARTS`` files). ``docs`` is read twice and must be the same rows both times: ids, hashes and sizes are
+    counted in pieces, ranges of the order that start at the shard cuts and at fixed prefixes of the
+    text hash; then the whole rows are moved once, to runs of pieces. A text with more than a
     thousandth of all rows is cut further by its id hash, so no piece holds a hot text.
     """
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = materialise(docs.select(
-        F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("text_key"), F.xxhash64(F.col(id_col)).alias("id_key")), "shard-keys")
-    count = rows.count()
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    keys = [F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_key"), F.xxhash64(F.col(f"`{id_col}`")).alias("id_key")]
+    rows = materialise(docs.select((F.octet_length(text) + 1).cast("long").alias("size"), *keys[1:]), "shard-keys")
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     cuts = splitters(rows, shards, tolerance, probe_bits)
     shard = F.lit(0)
     for cut in cuts:
         shard = shard + F.when(_at_or_above(cut), 1).otherwise(0)
 
-    bits = max(10, min(20, (count // piece_rows).bit_length()))
+    bits = max(10, min(20, max(count // piece_rows, total // PIECE_BYTES).bit_length()))
     hot = rows.groupBy("text_key").agg(F.count("*").alias("n")).filter(F.col("n") > max(100, count // 1000))
     hot = hot.groupBy(_prefix("text_key", bits).alias("range")).agg(F.collect_list("text_key").alias("hot"))
     marked = rows.withColumn("shard", shard.cast("int")).withColumn("range", _prefix("text_key", bits))
@@ -152,9 +157,41 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = marked.withColumn("within", F.when(is_hot, _prefix("id_key", bits)).otherwise(F.lit(0).cast("long"))).drop("hot")
 
     piece = ["shard", "range", "between", "within"]
+    key = F.struct("text_key", "id_key")
+    pieces = marked.groupBy(*piece).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min(key).alias("low"), F.max(key).alias("high"))
     before = Window.partitionBy("shard").orderBy("range", "between", "within").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = marked.groupBy(*piece).agg(F.count("*").alias("n"))
-    offsets = offsets.select(*piece, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*piece).orderBy("text_key", "id_key", "id")
-    out = marked.join(offsets, piece).withColumn("slot", F.col("offset") + F.row_number().over(inside) - 1)
-    return out.select("id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "text_key", "id_key")
+    upto = {c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "size")}
+    pieces = pieces.withColumns({"offset": upto["n"], "part": F.floor(upto["size"] / max(part_bytes, total // MAX_PARTS))})
+    parts = materialise(pieces.groupBy("shard", "part").agg(
+        F.min("offset").alias("offset"), F.min("low").alias("low"), F.max("high").alias("high")), "shard-parts")
+    most = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    # For each short prefix the parts that have keys there: at most 1024 more entries than parts.
+    near = parts.select(
+        F.explode(F.sequence(*[_prefix(f"{c}.text_key", PROBE_BITS) for c in ("low", "high")])).alias("prefix"),
+        F.struct("low", "high", "shard", "offset", (F.col("shard") * most + F.col("part")).cast("int").alias("number")).alias("part"))
+    near = near.groupBy("prefix").agg(F.collect_list("part").alias("parts"))
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys)
+    whole = whole.withColumn("prefix", _prefix("text_key", PROBE_BITS)).join(F.broadcast(near), "prefix")
+    whole = whole.withColumn("part", F.filter("parts", lambda p: key.between(p["low"], p["high"]))[0])
+    whole = whole.select("row", "id", "text_key", "id_key", "part.number", "part.shard", "part.offset")
+    inside = Window.partitionBy("number").orderBy("text_key", "id_key", "id")
+    placed = whole.repartitionById(shards * most, F.col("number")).withColumn("slot", F.col("offset") + F.row_number().over(inside) - 1)
+    placed = placed.select("row", F.col("slot").cast("long").alias("slot"), "shard").sortWithinPartitions("shard", "slot")
+    path = scratch_path(spark, "shards")
+    placed.write.partitionBy("shard").parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def read_shard(tables: DataFrame, shard: int) -> DataFrame:
+    """The rows of one shard in slot order, columns as they came."""
+    return tables.filter(F.col("shard") == shard).orderBy("slot").select("row.*")
+
+
+def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
+               tolerance: float = TOLERANCE, probe_bits: int = PROBE_BITS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``(id, size, text_crc32, shard, slot, text_key, id_key)`` of every row of the sharded tables (see ``write_shards``)."""
+    tables = write_shards(docs, id_col, text_col, shards, tolerance, probe_bits, piece_rows)
+    own, text = F.col(f"row.`{id_col}`"), F.coalesce(F.col(f"row.`{text_col}`").cast("binary"), F.lit(b""))
+    return tables.select(own.alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+                         "shard", "slot", F.xxhash64(text).alias("text_key"), F.xxhash64(own).alias("id_key"))
