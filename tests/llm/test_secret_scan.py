@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -68,3 +69,35 @@ def test_redaction_nulls_long_texts_and_clashing_names(spark, forest):
     want = [(1, text, len(text), "x"), *rows[1:5], (4, 'token = "[SECRET]"', 18, None)]
     assert got == sorted(want, key=str)
     assert secret_scan.scan(docs.limit(0), forest).count() == 0
+
+
+def test_long_runs_are_judged_in_all_their_parts(spark, forest, words):
+    rnd = random.Random(3)
+    chain = lambda joint: joint.join(rnd.choice(sorted(words.words)) for _ in range(60))
+    path, dots, key = chain("/"), chain("."), "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    blob = "".join(rnd.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(5000))
+    texts = [f"see {path}/v2/token={key} end", f"see {path}/token={key}/{dots}/9 end", f"{dots}.7.secret={key}", f"token={key}/{path}/9 end",
+             f"see {path}/v2 and {dots}.9 end", f'token = "{blob}" end', "-" * 400 + " " + "=" * 400]
+    want = [t.replace(key, "[SECRET]") for t in texts[:5]] + ['token = "[SECRET]" end', texts[6]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in secret_scan.redact(docs, forest).orderBy("doc_id").collect()] == want
+    for row in secret_scan.scan(docs, forest).collect():
+        spans = [(f.start, f.end) for f in row.findings]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_features_see_the_end_of_a_long_value(words):
+    ordinary, key = "ordinary/" * 40, "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    a, b = (secret_scan.features("", ordinary + end, "", None, words) for end in (key, "-" * len(key)))
+    assert all(a[secret_scan.FEATURES.index(k)] != b[secret_scan.FEATURES.index(k)] for k in ("distinct", "entropy", "changes", "share_2", "repeats"))
+
+
+def test_parts_cover_long_candidates():
+    rnd = random.Random(5)
+    for _ in range(200):
+        text = "".join(rnd.choice(["/", ".", "=", "a" * rnd.randint(1, 40), "b1" * rnd.randint(1, 150), "é" * rnd.randint(1, 40)]) for _ in range(60))
+        parts = secret_scan.parts(text, 0, len(text))
+        assert {x for a, b in parts for x in range(a, b)} == set(range(len(text)))
+        assert all(b - a <= secret_scan.LONGEST for a, b in parts)
+    parts = secret_scan.parts("a1" * 1000, 0, 2000)
+    assert all(any(a <= x and x + 64 <= b for a, b in parts) for x in range(1937))

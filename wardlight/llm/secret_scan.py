@@ -25,12 +25,18 @@ TREES = 60
 DEPTH = 9
 MARK = "[SECRET]"
 AROUND = 48
+SHORTEST = 12
+LONGEST = 256
+LOOK = 96
+STEP = 32
+_CHUNK = 4096
 
 # A run of key characters that is long and not only letters, or any value that is assigned to something.
 _RUN = re.compile(r"[A-Za-z0-9+/=_\-.~]{16,}")
 _ASSIGNED = re.compile(r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)"
                        r"[\"']?[ \t]{0,3}(?:[:=]|=>|is)[ \t]{0,3}[\"']?([^\s\"',;<>]{8,})")
 _WORD = re.compile(r"[A-Za-z]+")
+_SEGMENT = re.compile(r"[A-Za-z0-9_\-]+")
 _LEAD = "\"'`([{<"
 _TAIL = "\"'`)]}>.,;:!?"
 
@@ -107,21 +113,19 @@ _GROUPS = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z|\d+(
 def features(before: str, value: str, after: str, path: str | None, words: Words) -> list[float]:
     """Length, character transitions, dictionary coverage, path and neighbouring words of one candidate."""
     n = len(value)
-    head = value[:256]
-    kinds = [_kind(c) for c in head]
-    m = len(head)
-    shares = [kinds.count(k) / m for k in range(_KINDS)]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, m - 1)
-    entropy = -sum(c / m * log2(c / m) for c in (head.count(x) for x in set(head)))
+    kinds = [_kind(c) for c in value]
+    shares = [kinds.count(k) / n for k in range(_KINDS)]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
+    entropy = -sum(c / n * log2(c / n) for c in (value.count(x) for x in set(value)))
     letters = max((len(w) for w in _WORD.findall(value)), default=0)
     near_before = {w.lower() for w in _WORD.findall(before)[-5:]}
     near_after = {w.lower() for w in _WORD.findall(after)[:3]}
-    own = {w.lower() for w in _WORD.findall(head)}
+    own = {w.lower() for w in _WORD.findall(value)}
     tight = before.rstrip(" \t\"'")
     return [
-        log(n + 1), len(set(head)) / m, entropy, changes, *shares, float(bool(_HEX.match(value))), float(value.isdigit()),
-        float(value.isalpha()), letters / n, sum(a == b for a, b in zip(head, head[1:], strict=False)) / m, words.covered(head) / m,
-        words.likeness(head), value.count(".") / n, float("@" in value or after.startswith("@") or before.endswith("@")),
+        log(n + 1), len(set(value)) / n, entropy, changes, *shares, float(bool(_HEX.match(value))), float(value.isdigit()),
+        float(value.isalpha()), letters / n, sum(a == b for a, b in zip(value, value[1:], strict=False)) / n, words.covered(value) / n,
+        words.likeness(value), value.count(".") / n, float("@" in value or after.startswith("@") or before.endswith("@")),
         float("/" in before[-3:] or "://" in value), float(before.endswith(("<", "{", "[", "$"))), float(bool(_GROUPS.match(value))),
         float(tight.endswith(("=", ":", "=>"))), float(before.endswith(("\"", "'", "`"))),
         *(float(bool((near_before | own if k == "sample" else near_before) & near)) for k, near in _NEAR.items()),
@@ -143,7 +147,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
             cut = value.rfind("=", 0, max(0, end - start - 3))
             if cut > 0 and end - start - cut - 1 >= 8:
                 start += cut + 1
-            if end - start >= 12 and not text[start:end].isalpha():
+            if end - start >= SHORTEST and not text[start:end].isalpha():
                 spans.add((start, end))
     for m in _ASSIGNED.finditer(text):
         start, end = m.span(1)
@@ -160,6 +164,84 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _stretch(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping looks of at most ``LOOK`` characters over a stretch, from and to joints where there are some.
+
+    Looks start at most ``STEP`` apart wherever a segment is longer than that.
+    """
+    marks = {start, end}
+    for m in _SEGMENT.finditer(text, start, end):
+        marks.update(range(m.start(), m.end(), STEP))
+        marks.add(m.end())
+    for a, b in zip(at := sorted(marks), at[1:], strict=False):
+        marks.update(range(a + STEP, b, STEP))
+    bounds = sorted(marks)
+    looks, to, last = [], 0, start - STEP
+    for k, a in enumerate(bounds[:-1]):
+        while to + 1 < len(bounds) and bounds[to + 1] <= a + LOOK:
+            to += 1
+        # A start is left out only if the next one is still within a step of the last look.
+        if (k and bounds[k + 1] - last <= STEP) or (looks and looks[-1][1] == end):
+            continue
+        looks.append((a, bounds[to]))
+        last = a
+    return looks
+
+
+def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The spans that are judged for a candidate: itself, or if it has more than ``LONGEST`` characters its parts.
+
+    Long segments between joints (``/ . = +`` ...) are parts of their own; what lies between them, and a
+    segment that is too long itself, is covered by overlapping looks. Every character is in some part.
+    """
+    if end - start <= LONGEST:
+        return [(start, end)]
+    out, at = [], start
+    for m in _SEGMENT.finditer(text, start, end):
+        if SHORTEST <= m.end() - m.start() <= LONGEST and not m.group().isalpha():
+            if at < m.start():
+                out += _stretch(text, at, m.start())
+            out.append(m.span())
+            at = m.end()
+    return out + _stretch(text, at, end) if at < end else out
+
+
+def _settled(judged: list[tuple[int, int, float]], threshold: float) -> list[tuple[int, int, float]]:
+    """Spans that do not overlap: where judged ones do, each character has the highest probability of those
+    over it. Neighbours on the same side of the threshold are one span, and what lies between two
+    found ones belongs to them if it is too short to be a candidate."""
+    out: list[tuple[int, int, float]] = []
+    judged = sorted(judged)
+    first = 0
+    while first < len(judged):
+        last, reach = first + 1, judged[first][1]
+        while last < len(judged) and judged[last][0] <= reach:
+            reach = max(reach, judged[last][1])
+            last += 1
+        group, first = judged[first:last], last
+        cuts = sorted({x for a, b, _ in group for x in (a, b)})
+        cells: list[tuple[int, int, float]] = []
+        live, k = [], 0
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            while k < len(group) and group[k][0] <= a:
+                live.append(group[k])
+                k += 1
+            live = [x for x in live if x[1] > a]
+            p = max(x[2] for x in live)
+            if cells and (cells[-1][2] >= threshold) == (p >= threshold):
+                cells[-1] = (cells[-1][0], b, max(cells[-1][2], p))
+            else:
+                cells.append((a, b, p))
+        joined: list[tuple[int, int, float]] = []
+        for a, b, p in cells:
+            if p >= threshold and len(joined) > 1 and joined[-1][1] - joined[-1][0] < SHORTEST:
+                a, p = joined[-2][0], max(p, joined[-2][2])
+                del joined[-2:]
+            joined.append((a, b, p))
+        out += joined
+    return out
+
+
 def described(text: str, span: tuple[int, int], path: str | None, words: Words) -> list[float]:
     start, end = span
     return features(text[max(0, start - AROUND):start], text[start:end], text[end:end + AROUND], path, words)
@@ -290,25 +372,62 @@ def train(spark: SparkSession, words: Words, findings: list[tuple[str, int, int,
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("probability", pa.float64())]))
 
 
-def scan(docs: DataFrame, forest: Forest, carry: list[str] | None = None, text_col: str = "text", path_col: str | None = None) -> DataFrame:
+def judge(text: str, path: str | None, forest: Forest, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
+    """``(start, end, probability)`` of every finding of a text with long candidates, a bounded number of looks at a time.
+
+    A part of a long candidate is judged by what stands around it and by what stands around the candidate, and the higher one counts.
+    """
+    judged: list[tuple[int, int, float]] = []
+    spans: list[tuple[int, int]] = []
+    rows: list[list[float]] = []
+
+    def flush() -> None:
+        if rows:
+            judged.extend((*s, p) for s, p in zip(spans, forest.probability(np.array(rows)).tolist(), strict=True))
+            spans.clear()
+            rows.clear()
+
+    for start, end in candidates(text):
+        before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
+        for part in parts(text, start, end):
+            spans.append(part)
+            rows.append(described(text, part, path, forest.words))
+            if part != (start, end):
+                spans.append(part)
+                rows.append(features(before, text[part[0]:part[1]], after, path, forest.words))
+            if len(rows) >= _CHUNK:
+                flush()
+    flush()
+    return _settled(judged, threshold)
+
+
+def scan(docs: DataFrame, forest: Forest, carry: list[str] | None = None, text_col: str = "text", path_col: str | None = None,
+         threshold: float = THRESHOLD) -> DataFrame:
     """Per document ``row`` (the ``carry`` columns, by default all) and ``findings``: every candidate of the whole text.
 
     A finding has its span in characters, its value and the probability that it is a secret, in
-    order of the text; spans do not overlap. Null and empty texts have none. Nothing is shuffled.
+    order of the text; spans do not overlap. A candidate of more than ``LONGEST`` characters is judged in parts
+    (see ``parts``), and those that overlap on one side of ``threshold`` are one finding.
+    Null and empty texts have none. Nothing is shuffled.
     """
     carry = docs.columns if carry is None else carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners, spans, rows = [], [], []
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             paths = batch.column(2).to_pylist()
             for k, raw in enumerate(batch.column(1)):
                 text = raw.as_py().decode("utf-8", "replace")
-                for start, end in candidates(text):
+                spots = candidates(text)
+                if any(end - start > LONGEST for start, end in spots):
+                    found[k] = [{"start": a, "end": b, "value": text[a:b], "probability": p}
+                                for a, b, p in judge(text, paths[k], forest, threshold)]
+                    continue
+                for start, end in spots:
                     owners.append(k)
                     spans.append((start, end, text[start:end]))
                     rows.append(described(text, (start, end), paths[k], forest.words))
-            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             if rows:
                 for k, (start, end, value), p in zip(owners, spans, forest.probability(np.array(rows)).tolist(), strict=True):
                     found[k].append({"start": start, "end": end, "value": value, "probability": p})
@@ -327,7 +446,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_c
     Texts without a secret stay as they are, null texts too.
     """
     cols = docs.columns
-    found = scan(docs, forest, None, text_col, path_col)
+    found = scan(docs, forest, None, text_col, path_col, threshold)
     secret = F.filter("findings", lambda f: f["probability"] >= threshold)
     text = F.col(f"row.`{text_col}`")
     # Between two secrets the text is kept: pieces end where a secret starts.
