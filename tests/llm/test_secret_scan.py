@@ -101,3 +101,20 @@ def test_parts_cover_long_candidates():
         assert all(b - a <= secret_scan.LONGEST for a, b in parts)
     parts = secret_scan.parts("a1" * 1000, 0, 2000)
     assert all(any(a <= x and x + 64 <= b for a, b in parts) for x in range(1937))
+
+
+def test_every_part_between_signs_is_a_candidate():
+    one, two = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "Zk3x9Qw7Lm2Vt8Rb5Yp1Nc6H"
+    for text, want in [(f"{one}={two}", [one, two]), (f"{two}==.{one}", [f"{two}==", f".{one}"]), (f"id={one}={two}=", [one, f"{two}="]),
+                       (f"a={one}=b1={two}", [f"{one}=b1", two]), (f"{one}=ab", [f"{one}=ab"]), (f"x=y={one}", [one]),
+                       (f"first_name_1={one}", ["first_name_1", one]), (f"={one}==", [f"{one}=="]), ("=" * 20, ["=" * 20])]:
+        assert [f"see {text} end"[a:b] for a, b in secret_scan.candidates(f"see {text} end")] == want
+
+
+def test_both_keys_of_a_run_are_replaced(spark, forest):
+    one, two = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "Zk3x9Qw7Lm2Vt8Rb5Yp1Nc6H"
+    docs = spark.createDataFrame([(1, f"login access credential {two}={one} end")], "doc_id long, text string")
+    found = secret_scan.scan(docs, forest).first().findings
+    assert [f.value for f in found] == [two, one]
+    marked = secret_scan.redact(docs, forest, threshold=min(f.probability for f in found)).first().text
+    assert two not in marked and one not in marked

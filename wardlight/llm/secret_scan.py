@@ -35,6 +35,7 @@ _CHUNK = 4096
 _RUN = re.compile(r"[A-Za-z0-9+/=_\-.~]{16,}")
 _ASSIGNED = re.compile(r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)"
                        r"[\"']?[ \t]{0,3}(?:[:=]|=>|is)[ \t]{0,3}[\"']?([^\s\"',;<>]{8,})")
+_SIGNS = re.compile(r"=+")
 _WORD = re.compile(r"[A-Za-z]+")
 _SEGMENT = re.compile(r"[A-Za-z0-9_\-]+")
 _LEAD = "\"'`([{<"
@@ -134,21 +135,45 @@ def features(before: str, value: str, after: str, path: str | None, words: Words
     ]
 
 
+def _between_signs(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a run between ``=`` signs, so that "name=value" and "key=key" give each side.
+
+    Signs before a joint or at the end are padding of what stands before them. A part of fewer than 8
+    characters stays with the one before it; as the first it is a mere name and left out.
+    """
+    out: list[tuple[int, int]] = []
+    at = start
+    for m in _SIGNS.finditer(text, start, end):
+        pads = m.end() == end or text[m.end()] in ".-_~"
+        if m.start() > at:
+            out.append((at, m.end() if pads else m.start()))
+            at = m.end()
+        elif m.start() == start and not pads:
+            at = m.end()
+    if at < end:
+        out.append((at, end))
+    joined: list[tuple[int, int]] = []
+    for a, b in out:
+        if joined and b - a < 8:
+            joined[-1] = (joined[-1][0], b)
+        elif joined and joined[-1][1] - joined[-1][0] < 8:
+            joined[-1] = (a, b)
+        else:
+            joined.append((a, b))
+    return joined
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans that might be secrets: long runs that are not only letters, and values assigned to a telling name."""
     spans = set()
     for m in _RUN.finditer(text):
         value = m.group()
         if not value.isalpha():
-            start, end = m.start(), m.end()
-            while end > start and text[end - 1] in ".-_":
-                end -= 1
-            # "name=value" and "name.value" in one run: the assigned part is the candidate.
-            cut = value.rfind("=", 0, max(0, end - start - 3))
-            if cut > 0 and end - start - cut - 1 >= 8:
-                start += cut + 1
-            if end - start >= SHORTEST and not text[start:end].isalpha():
-                spans.add((start, end))
+            for start, end in _between_signs(text, m.start(), m.end()):
+                while end > start and text[end - 1] in ".-_":
+                    end -= 1
+                if end - start >= SHORTEST and not text[start:end].isalpha():
+                    spans.add((start, end))
     for m in _ASSIGNED.finditer(text):
         start, end = m.span(1)
         while start < end and text[start] in _LEAD:
