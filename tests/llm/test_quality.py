@@ -33,6 +33,31 @@ def test_features_of_any_text():
         assert len(row) == len(quality.FEATURES) and np.isfinite(row).all()
 
 
+def test_features_do_not_depend_on_the_piece(monkeypatch):
+    passage = b"".join(b"Word%d, and 12 of them\n" % (k % 700) for k in range(60_000))
+    texts = [passage, b"a b " * 400_000, "ä B b b\n\r c. ".encode() * 90_000, b"x" * 1_500_000, b" \n a", b"one", b"\n\nq q q\nq q q"]
+    cut = [quality.features(t) for t in texts]
+    monkeypatch.setattr(quality, "_PIECE", 1 << 30)
+    whole = [quality.features(t) for t in texts]
+    assert cut == whole and whole[0][quality.FEATURES.index("size")] == np.log1p(len(passage.split())) / 10
+    monkeypatch.setattr(quality, "_PIECE", 7)
+    assert [quality.features(t[:4000]) for t in texts[1:]] == [plain_features(t[:4000]) for t in texts[1:]]
+
+
+def plain_features(text):
+    words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
+    counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    n, pairs = max(1, len(words)), list(zip(words, words[1:]))
+    return [
+        *(counts[list(c)].sum() / len(text) for c in quality._CLASSES.values()), counts[128:].sum() / len(text),
+        sum(map(len, words)) / n / 10, sum(len(w) > 25 for w in words) / n, len(set(words)) / n ** 0.85,
+        sum(a == b for a, b in pairs) / n, sum(a == b for a, b in zip(words, words[2:])) / n,
+        1 - len(set(pairs)) / max(1, len(pairs)), 1 - len(set(lines)) / max(1, len(lines)),
+        np.log1p(n / max(1, len(lines))) / 5, np.log1p(n) / 10, sum(w.isupper() for w in words) / n,
+        sum(not w.isalpha() and w[:-1].isascii() and not w[:-1].isalnum() for w in words) / n,
+        sum(not quality._LETTERS.search(w) for w in words) / n]
+
+
 def test_held_out_accuracy_of_the_query(spark):
     rows = {r.doc_id: r for r in queries.QUERIES["op2_quality_classifier"](spark, SF).collect()}
     assert len(rows) == read(spark, SF, "documents").count()

@@ -24,38 +24,82 @@ _CLASSES = {
     "stop": b".,;:", "call": b"!?", "quote": b"'\"()-", "symbol": b"#$%&*+=<>^~@\\/_{}[]`", "bar": b"|", "line": b"\n",
     "control": bytes([*range(9), *range(11, 32), 127]),
 }
+_SPACE, _LINE = re.compile(rb"\s"), re.compile(rb"\n")
 _LETTERS = re.compile(rb"[A-Za-z\x80-\xff]")
 FEATURES = [*_CLASSES, "high", "word_length", "long_words", "distinct", "repeat_next", "repeat_second", "repeat_pair", "repeat_lines",
             "words_a_line", "size", "capital_words", "mixed_words", "bare_words"]
 
 
-def _piece_features(text: bytes) -> list[float]:
-    counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    size = max(1, len(text))
-    words = text.split()
-    n = max(1, len(words))
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    shares = [counts[list(c)].sum() / size for c in _CLASSES.values()]
-    pairs = list(zip(words, words[1:], strict=False))
-    return [
-        *shares, counts[128:].sum() / size, sum(map(len, words)) / n / 10, sum(len(w) > 25 for w in words) / n,
-        len(set(words)) / n ** 0.85, sum(map(eq, words, words[1:])) / n, sum(map(eq, words, words[2:])) / n,
-        1 - len(set(pairs)) / max(1, len(pairs)), 1 - len(set(lines)) / max(1, len(lines)),
-        np.log1p(n / max(1, len(lines))) / 5, np.log1p(n) / 10, sum(map(bytes.isupper, words)) / n,
-        sum(not w.isalpha() and w[:-1].isascii() and not w[:-1].isalnum() for w in words) / n,
-        sum(not _LETTERS.search(w) for w in words) / n,
-    ]
+class _Distinct:
+    """Number of distinct values over the pieces of a text, by their 64-bit hashes once there is more than one piece."""
+
+    def __init__(self):
+        self.first: set | None = None
+        self.hashes: list[np.ndarray] = []
+        self.merged = 0
+
+    def add(self, values: set) -> None:
+        if self.first is None:
+            self.first = values
+            return
+        for part in ([self.first, values] if not self.hashes else [values]):
+            self.hashes.append(np.fromiter(map(hash, part), np.int64, len(part)))
+        if sum(map(len, self.hashes)) > 2 * self.merged:
+            self.hashes = [np.unique(np.concatenate(self.hashes))]
+            self.merged = len(self.hashes[0])
+
+    def __len__(self) -> int:
+        if not self.hashes:
+            return len(self.first or ())
+        return len(np.unique(np.concatenate(self.hashes)))
+
+
+def _pieces(text: bytes, gap: re.Pattern) -> Iterator[bytes]:
+    """The text in pieces of about ``_PIECE`` bytes that end before a ``gap``."""
+    at = 0
+    while at < len(text):
+        cut = gap.search(text, at + _PIECE)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 def features(text: bytes) -> list[float]:
-    """Shares and ratios of a whole UTF-8 text. A very long one is read in pieces, weighted by their size."""
-    if len(text) <= _PIECE:
-        return _piece_features(text)
-    rows, sizes = [], []
+    """Shares and ratios of a whole UTF-8 text. A very long one is counted in pieces; the features are those of the whole."""
+    counts = np.zeros(256, np.int64)
     for at in range(0, len(text), _PIECE):
-        rows.append(_piece_features(text[at:at + _PIECE]))
-        sizes.append(min(_PIECE, len(text) - at))
-    return np.average(rows, axis=0, weights=sizes).tolist()
+        counts += np.bincount(np.frombuffer(text, np.uint8, min(_PIECE, len(text) - at), at), minlength=256)
+    size = max(1, len(text))
+    n = letters = long_words = follows = second = pairs = capital = mixed = bare = lines = 0
+    words_seen, pairs_seen, lines_seen = _Distinct(), _Distinct(), _Distinct()
+    carry: list[bytes] = []
+    for piece in _pieces(text, _SPACE):
+        words = piece.split()
+        joined = carry + words
+        pair = list(zip(joined[max(0, len(carry) - 1):], joined[max(1, len(carry)):], strict=False))
+        n += len(words)
+        letters += sum(map(len, words))
+        long_words += sum(len(w) > 25 for w in words)
+        words_seen.add(set(words))
+        follows += sum(a == b for a, b in pair)
+        second += sum(map(eq, joined, joined[2:]))
+        pairs += len(pair)
+        pairs_seen.add(set(pair))
+        capital += sum(map(bytes.isupper, words))
+        mixed += sum(not w.isalpha() and w[:-1].isascii() and not w[:-1].isalnum() for w in words)
+        bare += sum(not _LETTERS.search(w) for w in words)
+        carry = joined[-2:]
+    for piece in _pieces(text, _LINE):
+        found = [x for x in piece.split(b"\n") if x.strip()]
+        lines += len(found)
+        lines_seen.add(set(found))
+    n = max(1, n)
+    shares = [counts[list(c)].sum() / size for c in _CLASSES.values()]
+    return [
+        *shares, counts[128:].sum() / size, letters / n / 10, long_words / n, len(words_seen) / n ** 0.85, follows / n, second / n,
+        1 - len(pairs_seen) / max(1, pairs), 1 - len(lines_seen) / max(1, lines),
+        np.log1p(n / max(1, lines)) / 5, np.log1p(n) / 10, capital / n, mixed / n, bare / n,
+    ]
 
 
 def _basis(x: np.ndarray) -> np.ndarray:
