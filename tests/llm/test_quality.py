@@ -87,3 +87,18 @@ def test_nulls_repeats_and_empty_tables(spark):
     none = quality.train(docs.limit(0), labels.limit(0))
     assert none.score(np.zeros((1, len(quality.FEATURES))))[0] == pytest.approx(0.5)
     assert quality.score(docs.limit(0), none).count() == 0
+
+
+def test_a_repeated_id_is_one_text_of_the_sample(spark, monkeypatch):
+    rows = [(k, f"Some good words, number {k}.") for k in range(20)]
+    hot = [(1, rows[1][1])] * 400 + [(2, f"other text {k}") for k in range(200)]
+    labels = spark.createDataFrame([(k, 1) for k in range(10)], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(quality, "fit_model", lambda p, u: sizes.append((len(p), len(u))) or (p, u))
+    table = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    plain = quality.train(table(rows), labels)
+    repeated = quality.train(table(rows + hot).repartition(4), labels)
+    again = quality.train(table(hot[::-1] + rows).repartition(3), labels)
+    assert sizes[0] == sizes[1] == sizes[2] and 0 < sizes[0][0] < sizes[0][1] <= 20
+    assert (repeated[0] == again[0]).all() and (repeated[1] == again[1]).all()
+    assert (plain[0] != repeated[0]).any(axis=1).sum() <= 1

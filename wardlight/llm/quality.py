@@ -186,17 +186,22 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the documents named by a bounded table ``(id, trusted)``, and whether they are trusted."""
+def _sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Features of the documents named by a bounded table ``(id)``, one row for each id, in order of its hash.
+
+    Of an id that several rows share the text with the smallest hash counts.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["trusted", "x"])
+            rows = [features(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["key", "hash", "x"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes")).join(F.broadcast(ids), "id")
-    found = rows.select("trusted", "bytes").mapInArrow(run, "trusted boolean, x array<double>").collect()
-    x = np.array([r.x for r in found], float).reshape(-1, len(FEATURES))
-    return x, np.array([r.trusted for r in found], bool)
+    rows = rows.select(F.struct("id").alias("key"), F.xxhash64("bytes").alias("hash"), "bytes")
+    found = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, hash long, x array<double>")
+    # Partial aggregates leave at most one row of an id in each task.
+    found = found.groupBy("key.id").agg(F.min_by("x", "hash").alias("x")).select(F.xxhash64("id").alias("place"), "x").collect()
+    return np.array([r.x for r in sorted(found, key=lambda r: (r.place, r.x))], float).reshape(-1, len(FEATURES))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
@@ -206,16 +211,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Held-out ids (see ``held_out``) are in neither set. Label 0 is not used. The unlabelled set is
     drawn from all other documents, marked or not, as the risk asks for. Both are
     bounded samples, those with the smallest hash of the id; a label of a repeated id
-    is trusted if every label of it is 1, null ids are left out.
+    is trusted if every label of it is 1, null ids are left out. Rows that share an id are one text of the sample.
     """
     marks = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).alias("label")).filter("id is not null")
     good = marks.groupBy("id").agg(F.min(F.coalesce(F.col("label") == 1, F.lit(False))).alias("good")).filter("good")
     ids = docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull() & ~held_out("id")).distinct()
     trusted = ids.join(good.select("id"), "id").orderBy(F.xxhash64("id"), "id").limit(max_positive)
     drawn = ids.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_unlabelled)
-    px, _ = _sample_features(docs, trusted.withColumn("trusted", F.lit(True)), id_col, text_col)
-    ux, _ = _sample_features(docs, drawn.withColumn("trusted", F.lit(False)), id_col, text_col)
-    return fit_model(px, ux)
+    return fit_model(*(_sample_features(docs, sample, id_col, text_col) for sample in (trusted, drawn)))
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
