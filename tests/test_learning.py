@@ -283,3 +283,9 @@ def test_report_ends_with_the_attribution(data, model, tmp_path):
     assert report["attribution"].orderBy(F.desc("importance")).first()["feature"] == "a"
     with pytest.raises(ValueError):
         explain.permutation_attribution(model, data, FEATURES, ["id"], rows=10**6)
+
+
+def test_the_registered_search_draws_all_trials():
+    from wardlight.catalog import learning
+
+    assert learning.TRIALS == len(t.sample_trials()) == 50
