@@ -58,6 +58,15 @@ def test_only_clean_rows_stay_with_their_columns(spark):
     assert suffixes.decontaminate(docs, items.limit(0)).count() == 3
 
 
+def test_items_that_share_a_passage_are_all_located(spark):
+    items = spark.createDataFrame([(1, "x one two three four"), (2, "one two three y"), (3, "two three four z"), (4, "one two three")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a one two three four b one two three y")], "doc_id long, text string")
+    got = suffixes.overlaps(docs, items, window=3).first()
+    want = {("1", 1, 1, 4), ("1", 1, 6, 3), ("2", 0, 1, 3), ("2", 0, 6, 4), ("3", 0, 2, 3), ("4", 0, 1, 3), ("4", 0, 6, 3)}
+    assert {tuple(m) for m in got.matches} == want and len(got.matches) == 7 and got["items"] == ["1", "2", "3", "4"]
+
+
 def test_long_texts_are_read_in_pieces():
     text = (b"Alpha beta " * 450_000) + b"one two three " + b"z" * 5_000_000
     block = suffixes._Suffixes(["n"], [b"alpha beta one two three"], 13)

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: suffix arrays over shards of documents, searched with every benchmark suffix."""
+"""Benchmark decontamination: suffix arrays over shards of documents, searched with every benchmark window."""
 
 from __future__ import annotations
 
@@ -112,18 +112,31 @@ class _Suffixes:
         offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         return np.repeat(found, sizes), at[array[np.repeat(left[found], sizes) + offsets]]
 
-    def longest(self, windows: list[int], doc: np.ndarray, at: int) -> tuple[int, int, int]:
-        """(words, item, start in the item) of the longest verbatim match at a place where ``windows`` match."""
-        best = (0, 0, 0)
-        for w in windows:
-            for item, start in self.starts[w]:
-                a, b = self.items[item][start:], doc[at:]
-                n = min(len(a), len(b))
-                other = np.flatnonzero(a[:n] != b[:n])
-                n = int(other[0]) if len(other) else n
-                if n > best[0]:
-                    best = (n, item, start)
-        return best
+    def matches(self, windows: np.ndarray, places: np.ndarray, doc: np.ndarray) -> list[dict]:
+        """For each item the longest verbatim match at each place, in ascending order, that reaches beyond those before it."""
+        out, covered, k = [], {}, 0
+        windows, places = windows.tolist(), places.tolist()
+        while k < len(places):
+            at, best = places[k], {}
+            while k < len(places) and places[k] == at:
+                reach = at + int(self.lengths[windows[k]])
+                for item, start in self.starts[windows[k]]:
+                    if reach > covered.get(item, 0):
+                        n = self._common(item, start, doc, at)
+                        if n > best.get(item, (0, 0))[0]:
+                            best[item] = (n, start)
+                k += 1
+            for item, (n, start) in best.items():
+                out.append({"item_id": self.names[item], "item_start": start, "doc_start": at, "words": n})
+                covered[item] = at + n
+        return out
+
+    def _common(self, item: int, start: int, doc: np.ndarray, at: int) -> int:
+        """Words that an item and a document share from these places on."""
+        a = self.items[item][start:]
+        b = doc[at:at + len(a)]
+        other = np.flatnonzero(a[:len(b)] != b)
+        return int(other[0]) if len(other) else len(b)
 
 
 def _keys(matrix: np.ndarray) -> np.ndarray:
@@ -168,14 +181,7 @@ def _shard(texts: list[bytes], blocks: Iterator[_Suffixes]) -> tuple[list[int],
         for w, p in zip(np.split(window, cuts), np.split(place, cuts), strict=True):
             d = int(np.searchsorted(starts, p[0], "right") - 1)
             names[d].update(block.names[item] for k in np.unique(w).tolist() for item, _ in block.starts[k])
-            covered = 0
-            reach = p - starts[d] + block.lengths[w]
-            for k in range(len(p)):
-                if reach[k] > covered:
-                    at = int(p[k] - starts[d])
-                    n, item, start = block.longest(w[p == p[k]].tolist(), docs[d], at)
-                    spans[d].append({"item_id": block.names[item], "item_start": start, "doc_start": at, "words": n})
-                    covered = at + n
+            spans[d] += block.matches(w, p - starts[d], docs[d])
     if hits is None:
         return [len(words_of(t)) for t in texts], [0] * len(texts), names, spans
     inside = np.cumsum(hits)[:-1] > 0
@@ -191,13 +197,14 @@ def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", carry: l
 
     Per document: ``row`` (the ``carry`` columns, by default all), ``n_words``, ``n_hit`` (words inside an occurrence of
     a window), ``items`` (distinct ids of items with an occurring window, sorted as
-    strings), ``matches`` (the longest match at each place where one starts that reaches
-    beyond those before it, with item, place in the item, place in the document,
+    strings), ``matches`` (for each item the longest match at each place where one starts that reaches
+    beyond those of the item before it, with item, place in the item, place in the document,
     words) and ``contaminated``: ``n_hit > 0`` and ``hit_share * n_hit >= n_words``.
 
     Documents are cut into shards of ``shard_bytes`` where they lie; nothing is shuffled.
-    Each shard's suffix array is searched with all suffixes of the benchmark, which tasks
-    read from the shared folder in blocks of ``block_items``. Null texts have no words;
+    Each shard's suffix array holds the places whose first words open a window, in order of ``window`` words, and is searched with
+    all distinct windows of the benchmark (of an item with fewer words, the whole item), which tasks
+    read from the shared folder in blocks of ``block_items``. Matches shorter than that are not looked for. Null texts have no words;
     an item without words has no window; windows of an item with a null id count
     but it is not listed; repeated rows are separate rows.
     """
