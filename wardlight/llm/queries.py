@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import itq, merges, packing, quality, secret_scan, sharding, simhash, suffixes, vbyte, warc
+from wardlight.llm import itq, merges, packing, phrases, quality, secret_scan, sharding, simhash, suffixes, vbyte, warc
 from wardlight.llm.common import read
 from wardlight.llm.tokens import public_tokenizer
 from wardlight.session import materialise
@@ -117,3 +117,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = itq.near_duplicates(read(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
                         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+@query("op13_substring_dedup", r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, r, unnest(range(1, len(ws) - 48)) AS s, ws FROM d WHERE len(ws) >= 50),
+k AS (SELECT doc_id, r, s, md5(array_to_string(ws[s:s + 49], ' ')) AS h FROM w),
+gone AS (SELECT r, s FROM (SELECT r, s, doc_id > min(doc_id) OVER (PARTITION BY h) AS again FROM k) WHERE again),
+p AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM d),
+c AS (SELECT p.r, p.place, p.word, max(gone.s) OVER (PARTITION BY p.r ORDER BY p.place ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS removed
+  FROM p LEFT JOIN gone ON gone.r = p.r AND gone.s = p.place),
+t AS (SELECT r, count(*) FILTER (WHERE removed) AS n, string_agg(word, ' ' ORDER BY place) FILTER (WHERE NOT removed) AS kept FROM c GROUP BY r)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(t.n, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.r = d.r
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = phrases.remove_repeats(read(spark, sf_dir, "documents"))
+    return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
