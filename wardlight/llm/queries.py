@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import itq, merges, packing, phrases, quality, secret_scan, sharding, simhash, suffixes, vbyte, warc
+from wardlight.llm import itq, merges, packing, phrases, quality, secret_scan, sharding, simhash, suffixes, vbyte, warc, zfast
 from wardlight.llm.common import read
 from wardlight.llm.tokens import public_tokenizer
 from wardlight.session import materialise
@@ -133,3 +133,37 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(t.n, 0)::BIGINT AS n_rem
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = phrases.remove_repeats(read(spark, sf_dir, "documents"))
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+_TURN = "md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+
+
+@query("op12_conversation_prefix_trie", rf"""
+WITH o AS (SELECT conv_id, {_TURN} AS sym, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN}) AS place FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+    lambda s, z: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384::BIGINT) ELSE s // 2 END)), 4294967295::BIGINT) % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+t AS (
+  SELECT i.conv_id, 0 AS part, o.place, sym, words FROM i JOIN o ON o.conv_id = i.conv_id - i.conv_id % 20 AND o.place <= i.h
+  UNION ALL SELECT i.conv_id, 1, o.place, sym, words FROM i JOIN o ON o.conv_id = i.conv_id AND o.place > i.h),
+s AS (SELECT conv_id, row_number() OVER w AS d, words, md5(string_agg(sym, '') OVER w) AS k FROM t
+  WINDOW w AS (PARTITION BY conv_id ORDER BY part, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT conv_id, d, words, k FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM i),
+u AS (SELECT conv_id, d, words, k, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up, lead(k) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS ends FROM m),
+n AS (SELECT k, any_value(d) AS d, any_value(words) AS words, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ending FROM u GROUP BY k),
+c AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT a.k, b.k AS other FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.d >= a.d),
+g AS (SELECT below.k, count(*) FILTER (WHERE c.k IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM below JOIN n ON n.k = below.other LEFT JOIN c ON c.k = below.other GROUP BY below.k)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, g.n_leaves,
+  g.saved_tokens::BIGINT AS saved_tokens, sha256(n.ending) AS ends_sha256
+FROM n JOIN g ON g.k = n.k LEFT JOIN c ON c.k = n.k LEFT JOIN n p ON p.k = n.up
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = zfast.with_shared_openings(zfast.conversations(read(spark, sf_dir, "conversations")))
+    convs = materialise(zfast.with_prefixes(convs), "conversations")
+    trie = zfast.prefix_trie(convs).join(zfast.end_digests(convs), "h", "left")
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", F.col("n_children").cast("long").alias("n_children"), "n_leaves", "saved_tokens",
+                       F.coalesce("digest", F.lit(zfast.NO_ENDS)).alias("ends_sha256"))
