@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import itq, merges, packing, phrases, quality, secret_scan, sharding, simhash, suffixes, vbyte, warc, zfast
+from wardlight.llm import itq, merges, packing, phrases, quality, secret_scan, sharding, simhash, slots, suffixes, vbyte, warc, zfast
 from wardlight.llm.common import read
 from wardlight.llm.tokens import public_tokenizer
 from wardlight.session import materialise
@@ -167,3 +167,20 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     trie = zfast.prefix_trie(convs).join(zfast.end_digests(convs), "h", "left")
     return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", F.col("n_children").cast("long").alias("n_children"), "n_leaves", "saved_tokens",
                        F.coalesce("digest", F.lit(zfast.NO_ENDS)).alias("ends_sha256"))
+
+
+@query("op11_hard_negative_mining", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return slots.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), anchors="vec_id % 100 = 0")
