@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.tokens import ragged, slices
-from wardlight.session import materialise
+from wardlight.session import materialise, remove, scratch_path
 
 WINDOW = 50
-PHRASE = 12
+PHRASE = 8
 SHARD_PHRASES = 20_000
 STREAM_WORDS = 1 << 22
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95], np.uint64)  # odd, 5 modulo 8: of full order
@@ -181,27 +181,30 @@ def _route(placed: DataFrame, window: int, phrase: int) -> DataFrame:
     return placed.select("doc_id", "t", "z", "found").mapInArrow(run, _STREAMED)
 
 
-_LOCATED = "a bigint, c1 bigint, c2 bigint, doc_id bigint, t bigint, start int, number int, hashes binary"
+_LOCATED = "a bigint, c bigint, doc_id bigint, t bigint, start int, number int, hashes binary"
 
 
 def _locate(streams: DataFrame, window: int, phrase: int) -> DataFrame:
     """Every occurrence of a phrase, with the windows that it is the first phrase of.
 
     Rows arrive by shard and stream, phrases first. The automaton of a shard is compiled when its first
-    stretch comes and finds its phrases at all their places. ``a`` is the phrase, ``c1, c2`` the words its windows
-    cover, ``start`` and ``number`` the windows; their hashes come once for each such run of words in a task.
+    stretch comes and finds its phrases at all their places. ``a`` is the phrase and ``c`` the words its windows
+    cover, hashed over different bases; ``start`` and ``number`` are the windows, whose hashes come once for each such run of words in a task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, expand = _Rolling(), zstandard.ZstdDecompressor()
         at, automaton, ready, seen = None, None, False, set()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        names = [c.split()[0] for c in _LOCATED.split(", ")]
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for row in batch.to_pylist():
-                if (row["shard"], row["salt"]) != at:
-                    at, ready, seen = (row["shard"], row["salt"]), False, set()
+            out: list[list] = [[] for _ in range(7)]
+            shards, salts, types, docs, texts, starts = (batch.column(k).to_pylist() for k in range(6))
+            for row, part in enumerate(batch.column(6)):
+                if (shards[row], salts[row]) != at:
+                    at, ready, seen = (shards[row], salts[row]), False, set()
                     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-                if not row["kind"]:
-                    for key in np.frombuffer(row["part"], "<u4").reshape(-1, phrase).tolist():
+                if not types[row]:
+                    for key in np.frombuffer(part.as_py(), "<u4").reshape(-1, phrase).tolist():
                         automaton.add_word(tuple(key))
                     continue
                 if not ready:
@@ -209,50 +212,46 @@ def _locate(streams: DataFrame, window: int, phrase: int) -> DataFrame:
                     ready = True
                 if not len(automaton):
                     continue
-                values = np.frombuffer(expand.decompress(row["part"]), np.uint64)
-                ends = [e for e, _ in automaton.iter(tuple((values & _NARROW).tolist()))]
-                place = np.array(ends, np.int64) - phrase + 1
+                values = np.frombuffer(expand.decompress(part.as_py()), np.uint64)
+                place = np.array([e for e, _ in automaton.iter(tuple((values & _NARROW).tolist()))], np.int64) - phrase + 1
                 low = np.maximum(np.append(-1, place[:-1]) + 1, np.maximum(place + phrase - window, 0))
                 high = np.minimum(place, len(values) - window)
                 keep = low <= high
-                place, low, high = place[keep], low[keep], high[keep]
+                place, low, number = place[keep], low[keep], (high - low + 1)[keep]
                 if not len(place):
                     continue
                 rolling.over(values)
-                covered = high - low + window
+                covered = number + window - 1
                 lead = ((place - low) * 4096 + covered).astype(np.uint64)
-                c1, c2 = (_mixed(rolling.hashes(b, low, covered) + lead).view(np.int64).tolist() for b in (0, 1))
-                a = rolling.hashes(0, place, phrase).view(np.int64).tolist()
-                number = high - low + 1
-                every = rolling.hashes(1, ragged(low, number), window).astype("<u8").tobytes()
-                upto = (np.cumsum(number) - number).tolist()
-                for k, (x, y, n) in enumerate(zip(c1, c2, number.tolist(), strict=True)):
-                    fresh = (x, y) not in seen
-                    if fresh:
-                        seen.add((x, y))
-                    for column, value in zip(out, (a[k], x, y, row["doc_id"], row["t"], row["start"] + int(low[k]), n,
-                                                   every[8 * upto[k]:8 * (upto[k] + n)] if fresh else None), strict=True):
-                        column.append(value)
+                c = _mixed(rolling.hashes(1, low, covered) + lead).view(np.int64)
+                fresh = np.array([x not in seen and not seen.add(x) for x in c.tolist()])
+                every = rolling.hashes(1, ragged(low[fresh], number[fresh]), window).astype("<u8").tobytes()
+                upto = 8 * np.cumsum(np.append(0, number[fresh]))
+                hashes = np.full(len(place), None, object)
+                hashes[fresh] = [every[x:y] for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                same = (np.full(len(place), v, np.int64) for v in (docs[row], texts[row]))
+                for column, value in zip(out, (rolling.hashes(0, place, phrase).view(np.int64), c, *same, starts[row] + low, number, hashes), strict=True):
+                    column.append(value)
             if out[0]:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [c.split()[0] for c in _LOCATED.split(", ")])
+                yield pa.RecordBatch.from_arrays([
+                    *[pa.array(np.concatenate(c), k) for c, k in zip(out, kinds, strict=False)], pa.array(np.concatenate(out[6]), pa.binary())], names)
 
     return streams.mapInArrow(run, _LOCATED)
 
 
 def _opened(rows: DataFrame) -> DataFrame:
-    """``(a, c1, c2, first, h, place)``: the windows of each run of words, from their packed hashes."""
+    """``(a, c, first, h, place)``: the windows of each run of words, from their packed hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.frombuffer(h.as_py(), np.int64) for h in batch.column(4)]
+            packed = [np.frombuffer(h.as_py(), np.int64) for h in batch.column(3)]
             sizes = np.array([len(h) for h in packed], np.int64)
             take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             if len(take):
                 yield pa.RecordBatch.from_arrays([
-                    *[batch.column(k).take(take) for k in range(4)], pa.array(np.concatenate(packed)),
-                    pa.array(ragged(np.zeros(len(sizes), np.int64), sizes).astype(np.int32))], ["a", "c1", "c2", "first", "h", "place"])
+                    *[batch.column(k).take(take) for k in range(3)], pa.array(np.concatenate(packed)),
+                    pa.array(ragged(np.zeros(len(sizes), np.int64), sizes).astype(np.int32))], ["a", "c", "first", "h", "place"])
 
-    return rows.select("a", "c1", "c2", "first", "hashes").mapInArrow(run, "a bigint, c1 bigint, c2 bigint, first bigint, h bigint, place int")
+    return rows.select("a", "c", "first", "hashes").mapInArrow(run, "a bigint, c bigint, first bigint, h bigint, place int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_phrases: int = SHARD_PHRASES,
@@ -265,14 +264,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     it, and occurrences of a phrase whose windows cover the same words are decided at once, by the smallest id among
     them. Only where a phrase occurs amid different words are single windows compared, once for each run of words.
     """
-    sample = materialise(_sample_phrases(docs, window, phrase), "phrases")
+    spark = docs.sparkSession
+    early, late = scratch_path(spark, "phrases"), scratch_path(spark, "streams")
+    sample = materialise(_sample_phrases(docs, window, phrase), "sample", early)
     recurring = sample.groupBy("a").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
-    recurring = materialise(recurring, "recurring")
+    recurring = materialise(recurring, "recurring", early)
     shards = max(1, -(-recurring.count() // shard_phrases))
     recurring = recurring.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int"))
     found = sample.join(recurring, "a").groupBy("doc_id").agg(
         F.collect_set(F.struct("place", "shard", (F.col("doc_id") == F.col("owner")).alias("own"))).alias("found"))
-    routed = materialise(_route(_squeezed(docs).join(found, "doc_id"), window, phrase), "routed")
+    routed = materialise(_route(_squeezed(docs).join(found, "doc_id"), window, phrase), "routed", late)
+    remove(spark, early)
 
     # Streams of bounded length: a shard whose phrases are in a third of all documents is dealt over many, each with its phrases.
     load = routed.filter("kind = 1").groupBy("shard").agg(F.ceil(F.sum("words") / F.lit(stream_words)).cast("int").alias("salts"))
@@ -280,16 +282,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
         F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("salts") - 1))
         .otherwise(F.array(F.pmod(F.xxhash64("doc_id", "t", "start"), F.col("salts")).cast("int"))))).drop("salts")
     streams = streams.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    streams = streams.select("shard", "salt", "kind", "doc_id", "t", "start", "part")
     located = materialise(_locate(streams, window, phrase), "located")
+    remove(spark, late)
 
-    key = ["a", "c1", "c2"]
+    key = ["a", "c"]
     runs = materialise(located.groupBy(*key).agg(F.min("doc_id").alias("first")), "runs")
     unlike = runs.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-    single = _opened(located.filter("hashes IS NOT NULL").select(*key, "hashes").join(runs.join(unlike, "a"), key)).dropDuplicates([*key, "place"])
-    single = materialise(single, "windows")
+    packed = located.filter("hashes IS NOT NULL").select(*key, "hashes").join(runs.join(unlike, "a"), key).dropDuplicates(key)
+    single = materialise(_opened(packed), "windows")
     least = single.groupBy("a", "h").agg(F.min("first").alias("least"))
     seen = single.join(least, ["a", "h"]).filter("least < first").groupBy(*key).agg(F.collect_list("place").alias("places"))
-    decided = located.select(*key, "doc_id", "t", "start", "number").join(runs.join(seen, key, "left"), key).filter("doc_id > first OR places IS NOT NULL")
+    # Written first, so that the join with all occurrences is one whose hot side can be split.
+    known = materialise(runs.join(seen, key, "left"), "known")
+    decided = located.select(*key, "doc_id", "t", "start", "number").join(known, key).filter("doc_id > first OR places IS NOT NULL")
     each = F.when(F.col("doc_id") > F.col("first"), F.array(F.struct("start", "number"))).otherwise(
         F.transform("places", lambda p: F.struct((F.col("start") + p).alias("start"), F.lit(1).alias("number"))))
     return decided.select("doc_id", "t", each.alias("runs")).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("runs")).alias("runs"))
