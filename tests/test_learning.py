@@ -82,11 +82,11 @@ def test_weights(spark):
 def test_default_models_have_the_published_settings():
     models = t.default_models()
     assert models["logistic"].params == {"c": 0.1, "maxIter": 1000} and models["logistic"].scaled
-    assert models["forest"].params == {"numTrees": 300, "maxDepth": 8}
-    assert models["boosting_a"].params["maxDepth"] == 5 and models["boosting_a"].weighting == "ratio"
-    assert models["boosting_b"].params == {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6}
-    assert t.bootstrap_model().params["maxIter"] == 100
-    assert t.estimator(models["logistic"], 50, "y").getRegParam() == pytest.approx(0.2)
+    assert models["forest"].params == {"trees": 300, "max_depth": 8} and t.growth(models["forest"], 51).node_columns == 7
+    assert models["boosting_a"].params["max_depth"] == 5 and models["boosting_a"].weighting == "ratio"
+    assert models["boosting_b"].params == {"trees": 300, "learning_rate": 0.05, "max_depth": 6, "max_leaves": 31, "min_rows": 20}
+    assert t.bootstrap_model().params["trees"] == 100
+    assert t.logistic(models["logistic"], 50, "y").getRegParam() == pytest.approx(0.2)
 
 
 def test_logistic_learns_and_survives_saving(data, model, tmp_path):
@@ -101,8 +101,8 @@ def test_logistic_learns_and_survives_saving(data, model, tmp_path):
 def test_every_kind_of_model_fits(data):
     specs = t.default_models()
     small = {
-        "forest": specs["forest"].with_params(numTrees=5), "boosting_a": specs["boosting_a"].with_params(maxIter=3),
-        "boosting_b": specs["boosting_b"].with_params(maxIter=3), "bootstrap": t.bootstrap_model(True).with_params(maxIter=3)}
+        "forest": specs["forest"].with_params(trees=5), "boosting_a": specs["boosting_a"].with_params(trees=3),
+        "boosting_b": specs["boosting_b"].with_params(trees=3), "bootstrap": t.bootstrap_model(True).with_params(trees=3)}
     board = t.evaluate_all(t.fit_all(small, data, FEATURES), data).collect()
     assert len(board) == 4 and all(r["auc"] > 0.8 for r in board)
     assert [r["auc"] for r in board] == sorted((r["auc"] for r in board), reverse=True)
@@ -111,13 +111,25 @@ def test_every_kind_of_model_fits(data):
 def test_cross_validation_and_search(data):
     row = t.cross_validate({"logistic": t.default_models()["logistic"]}, data, FEATURES, ["id"], folds=3).first()
     assert 0.8 < row["mean"] <= 1 and row["std"] >= 0
-    trials = t.sample_trials(2)
-    assert trials == t.sample_trials(2) and len(t.sample_trials()) == 50
-    assert all(100 <= x["maxIter"] <= 500 and 0.01 <= x["stepSize"] <= 0.2 and 3 <= x["maxDepth"] <= 9 for x in t.sample_trials())
-    quick = [{**x, "maxIter": 2, "maxDepth": d} for x, d in zip(trials, (1, 3))]
-    table, best = t.search(data, FEATURES, ["id"], quick, folds=2)
-    means = [r["mean"] for r in table.collect()]
-    assert len(means) == 2 and means[0] >= means[1] and best in quick
+    specs = {"forest": t.default_models()["forest"].with_params(trees=6), "boosting": t.default_models()["boosting_b"].with_params(trees=5)}
+    folds = t.cross_validated(specs, data, FEATURES, ["id"], folds=3)
+    blocks = t.cross_validated(specs, data, FEATURES, ["id"], folds=3, block_rows=250)  # many blocks, the same trees
+    assert sorted(map(tuple, folds.collect())) == sorted(map(tuple, blocks.collect())) and folds.count() == 6
+    assert folds.agg(F.min("auc")).first()[0] > 0.8
+
+
+QUICK = {**t.RANGES, "trees": t.proposals.Range(1, 3, whole=True)}
+
+
+def test_search(data):
+    table, best = t.search(data, FEATURES, ["id"], 7, folds=2, startup=3, batch=2, ranges=QUICK)
+    rows = table.collect()
+    means = [r["mean"] for r in rows]
+    assert len(rows) == 7 and means == sorted(means, reverse=True) and best == {n: rows[0][n] for n in QUICK}
+    assert sorted(r["trial"] for r in rows if r["log_ratio"] is None) == [0, 1, 2]
+    assert all(x.low <= r[n] <= x.high for r in rows for n, x in QUICK.items())
+    again = t.search(data, FEATURES, ["id"], 7, folds=2, startup=3, batch=2, ranges=QUICK)[0].collect()
+    assert again == rows
     model, report = t.refit_best(best, t.fit(t.default_models()["logistic"], data, FEATURES), data, data, FEATURES)
     row = report.first()
     assert row["improvement"] == pytest.approx((row["tuned_auc"] - row["baseline_auc"]) * 100)
@@ -132,7 +144,7 @@ def test_challenger_must_be_strictly_better(data, model, tmp_path):
     row = metrics.first()
     assert kept is None and row["status"] == "no_improvement" and not row["model_saved"] and row["training_samples"] == 960
     assert not (tmp_path / "new").exists()
-    weak = t.fit(t.bootstrap_model().with_params(maxIter=1, maxDepth=1), train, ["b"])
+    weak = t.fit(t.bootstrap_model().with_params(trees=1, max_depth=1), train, ["b"])
     kept, metrics = t.retrain(data, weak, FEATURES, "id", ["id"], "2024-01-01 00:00:00", spec=spec, save_to=str(tmp_path / "new"))
     assert kept is not None and metrics.first()["status"] == "improved" and (tmp_path / "new").exists()
     writers.append_metrics(metrics, str(tmp_path / "history"))
@@ -144,8 +156,9 @@ def test_attribution(data, model):
     assert top[0]["feature"] == "a" and len(top) == 2 and top[0]["importance"] > top[1]["importance"]
     moved = {r["feature"]: r["importance"] for r in explain.permutation_attribution(model, data, FEATURES, ["id"], rows=300).collect()}
     assert moved["a"] > moved["b"] and moved["c"] == pytest.approx(0.0)
-    forest = t.fit(t.default_models()["forest"].with_params(numTrees=3), data, FEATURES)
+    forest = t.fit(t.default_models()["forest"].with_params(trees=3), data, FEATURES)
     assert explain.split_importance(forest, FEATURES, data).first()["feature"] == "a"
+    assert explain.attribution(forest, data, data, FEATURES, ["id"]).first()["feature"] == "a"
     with pytest.raises(TypeError):
         explain.linear_attribution(forest, data, data, FEATURES, ["id"])
 
@@ -162,7 +175,7 @@ def test_scoring_jobs(spark, data, model):
 
 
 def test_training_and_evaluation_jobs(data, tmp_path):
-    specs = {"logistic": t.default_models()["logistic"], "forest": t.default_models()["forest"].with_params(numTrees=3)}
+    specs = {"logistic": t.default_models()["logistic"], "forest": t.default_models()["forest"].with_params(trees=3)}
     result = jobs.training_job(data, ["id"], specs, folds=2, save_to=str(tmp_path / "models"))
     assert result.best in specs and result.cross_validation.count() == 2
     assert (tmp_path / "models" / "forest").exists()
@@ -219,18 +232,18 @@ def test_unknown_features_count_as_zero(spark, data):
     zeros = gaps.fillna(0.0, subset=["a"]).withColumn("b", F.nanvl("b", F.lit(0.0)))
     for name in ("logistic", "boosting_b"):
         spec = t.default_models()[name]
-        spec = spec.with_params(maxIter=3) if name != "logistic" else spec
+        spec = spec.with_params(trees=3) if name != "logistic" else spec
         assert t.model_auc(t.fit(spec, gaps, FEATURES), gaps) == pytest.approx(t.model_auc(t.fit(spec, zeros, FEATURES), zeros))
     assert t.cross_validate({"l": t.default_models()["logistic"]}, gaps, FEATURES, ["id"], folds=2).first()["mean"] > 0.8
-    assert t.search(gaps, FEATURES, ["id"], [{"maxIter": 1, "maxDepth": 1, "stepSize": 0.1}], folds=2)[0].count() == 1
-    champion = t.fit(t.bootstrap_model().with_params(maxIter=1), gaps, FEATURES)
+    assert t.search(gaps, FEATURES, ["id"], 1, folds=2, ranges=QUICK)[0].count() == 1
+    champion = t.fit(t.bootstrap_model().with_params(trees=1), gaps, FEATURES)
     assert t.retrain(gaps, champion, FEATURES, "id", ["id"], "2024-01-01 00:00:00", spec=t.default_models()["logistic"])[1].count() == 1
 
 
 def test_a_fold_fit_knows_its_own_rows(data, monkeypatch):
     seen = []
-    real = t.estimator
-    monkeypatch.setattr(t, "estimator", lambda spec, rows, label: seen.append(rows) or real(spec, rows, label))
+    real = t.logistic
+    monkeypatch.setattr(t, "logistic", lambda spec, rows, label: seen.append(rows) or real(spec, rows, label))
     t.cross_validate({"l": t.default_models()["logistic"]}, data, FEATURES, ["id"], folds=4)
     assert sorted(seen) and all(abs(n - 900) <= 2 for n in seen)
 
@@ -246,7 +259,7 @@ def test_one_class_cannot_be_compared(data, model):
 def test_learning_job_keeps_its_metrics(spark, data, tmp_path):
     outcomes = spark.range(60).select(
         F.lit("p").alias("patient_id"), (F.col("id") / 60.0).alias("predicted_risk"), (F.col("id") < 30).cast("int").alias("actually_readmitted"))
-    weak = t.fit(t.bootstrap_model().with_params(maxIter=1, maxDepth=1), data, ["b"])
+    weak = t.fit(t.bootstrap_model().with_params(trees=1, max_depth=1), data, ["b"])
     where = dict(metrics_path=str(tmp_path / "metrics"), save_to=str(tmp_path / "challenger"), spec=t.default_models()["logistic"])
     report, metrics = jobs.learning_job(outcomes, data, weak, FEATURES, "id", ["id"], "2024-01-01 00:00:00", **where)
     assert report.first()["status"] == "drift_detected" and metrics.first()["status"] == "improved" and (tmp_path / "challenger").exists()
@@ -288,4 +301,4 @@ def test_report_ends_with_the_attribution(data, model, tmp_path):
 def test_the_registered_search_draws_all_trials():
     from wardlight.catalog import learning
 
-    assert learning.TRIALS == len(t.sample_trials()) == 50
+    assert learning.TRIALS == 50 and len(t.RANGES) == 9

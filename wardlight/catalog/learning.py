@@ -14,7 +14,7 @@ from wardlight.functions import fixed
 from wardlight.functions.scalars import round_half_even
 from wardlight.operators import encounters, evaluation
 from wardlight.operators.linear import LinearScorer
-from wardlight.plans import explain, jobs, training
+from wardlight.plans import ensembles, explain, jobs, training
 from wardlight.session import materialise, scratch_path
 from wardlight.sources.readers import read_metrics, stream_requests
 from wardlight.streaming import discharge, feedback
@@ -87,22 +87,35 @@ def mean_absolute_features(spark, d):
 
 # -- fitted models ----------------------------------------------------------------
 # SQL cannot say what a fitted model answers, but it knows the rows of each part, how
-# many trees, folds and trials there are, and that a figure must equal its recount.
-# All runs use the settings of default_models(), bootstrap_model() and sample_trials().
+# many trees, folds and trials there are, that a figure must equal its recount, and how
+# well one feature does by itself: ``signal`` is the label, turned round where the id is
+# divisible by 5. A model that finds it cannot score far below its area.
+# All runs use the settings of default_models(), bootstrap_model() and RANGES.
 
-TRIALS = 50  # of the search, as in the reference; the drawn values stay as they are
+TRIALS = 50  # of the search, as in the reference
+SIGNAL = "signal"
+NEAR = 0.05  # sampling error of an area on the smallest tables
 
 
 def prepared(spark, d):
     """Training table, feature names, train and test rows."""
     features, stats = enc.features_table(spark, d)
-    data = materialise(features, "encounter-features")
+    turned = F.when(F.col("encounter_id") % 5 == 0, 1 - F.col(fixed.LABEL)).otherwise(F.col(fixed.LABEL))
+    data = materialise(features.withColumn(SIGNAL, turned), "encounter-features")
     names = [c for c in data.columns if c not in NOT_FEATURES]
     train, test = training.stratified_split(data, IDS)
     return data, names, train, test, stats
 
 
-_PARTS = enc._STEPS + """,
+def signal_area(data):
+    """The area of the signal alone, over all rows."""
+    return evaluation.auc_value(data, SIGNAL, fixed.LABEL)
+
+
+_SIGNALS = enc._STEPS + f""",
+turned AS (SELECT readmitted_30d AS label, CASE WHEN encounter_id % 5 = 0 THEN 1 - readmitted_30d ELSE readmitted_30d END AS signal FROM stayed),
+known AS (SELECT {r('(avg(signal) FILTER (WHERE label = 1) + avg(1 - signal) FILTER (WHERE label = 0)) / 2')} AS signal_auc FROM turned)"""
+_PARTS = _SIGNALS + """,
 sizes AS (SELECT readmitted_30d AS label, count(*) AS n, sum(count(*)) OVER () AS total FROM stayed GROUP BY 1),
 shares AS (SELECT *, ceil(total * 0.2) AS tests, n * ceil(total * 0.2) / total AS exact FROM sizes),
 given AS (SELECT *, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC) <= tests - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS k FROM shares),
@@ -112,22 +125,27 @@ parts AS (SELECT (sum(n) - sum(k))::BIGINT AS train_rows, sum(k)::BIGINT AS test
 
 
 def _facts_sql(name, trees):
-    return _PARTS + f"SELECT '{name}' AS model, {trees} AS trees, *, TRUE AS auc_is_its_recount FROM parts"
+    return _PARTS + f"SELECT '{name}' AS model, {trees} AS trees, parts.*, TRUE AS auc_is_its_recount, signal_auc, TRUE AS finds_signal FROM parts, known"
+
+
+def _area(data):
+    return F.lit(signal_area(data))
 
 
 def _facts(spark, name, spec, d):
-    """What was fitted, on which rows, and whether its area on the test rows equals a recount by Spark's own evaluator."""
-    _, names, train, test, _ = prepared(spark, d)
+    """What was fitted, on which rows, whether its area on the test rows equals a recount by Spark's own evaluator and is not below that of one feature."""
+    data, names, train, test, _ = prepared(spark, d)
     n0, n1 = training.class_ratio(train, fixed.LABEL)
-    model = training.fit(spec, train, names, sizes=(n0, n1))
-    trees = 0 if spec.kind == "logistic" else model.stages[-1].getNumTrees
+    model = training.fit(spec, train, names, sizes=(n0, n1), ids=IDS)
+    trees = 0 if spec.kind == "logistic" else model.getNumTrees
     t0, t1 = training.class_ratio(test, fixed.LABEL)
-    recount = BinaryClassificationEvaluator(labelCol=fixed.LABEL, numBins=0).evaluate(model.transform(test))
+    recount = BinaryClassificationEvaluator(labelCol=fixed.LABEL, rawPredictionCol="probability", numBins=0).evaluate(model.transform(test))
     board = training.evaluate_all({name: model}, test)
-    same = F.abs(F.col("auc") - F.lit(recount)) < 1e-9
+    same, area = F.abs(F.col("auc") - F.lit(recount)) < 1e-9, _area(data)
     return board.select(
         "model", F.lit(trees).alias("trees"), F.lit(n0 + n1).cast("long").alias("train_rows"), F.lit(t0 + t1).cast("long").alias("test_rows"),
-        F.lit(n1).cast("long").alias("train_positives"), F.lit(t1).cast("long").alias("test_positives"), same.alias("auc_is_its_recount"))
+        F.lit(n1).cast("long").alias("train_positives"), F.lit(t1).cast("long").alias("test_positives"), same.alias("auc_is_its_recount"),
+        round_half_even(area, 4).alias("signal_auc"), (F.col("auc") > area - NEAR).alias("finds_signal"))
 
 
 def _train(spark, d, name):
@@ -159,16 +177,18 @@ def train_bootstrap(spark, d):
     return _facts(spark, "bootstrap", training.bootstrap_model(), d)
 
 
-@query("SELECT unnest(['logistic', 'forest', 'boosting_a', 'boosting_b']) AS model, 5 AS folds, TRUE AS is_a_share, TRUE AS std_is_its_recount")
+@query(_SIGNALS + """ SELECT unnest(['logistic', 'forest', 'boosting_a', 'boosting_b']) AS model, 5 AS folds, signal_auc, TRUE AS finds_signal, TRUE AS is_a_share,
+  TRUE AS std_is_its_recount FROM known""", enc.ENC)
 def cross_validate(spark, d):
-    """All four models in five folds; mean and deviation against the fold areas themselves."""
-    _, names, train, _, _ = prepared(spark, d)
+    """All four models in five folds; mean and deviation against the fold areas themselves and the area of the signal."""
+    data, names, train, _, _ = prepared(spark, d)
     scores = training.cross_validated(training.default_models(), train, names, IDS)
     board = evaluation.mean_and_spread(scores, ["model"])
-    recount = scores.groupBy("model").agg(F.count("*").cast("int").alias("folds"), F.avg(F.col("auc") * F.col("auc")).alias("square"))
-    spread = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+    recount = scores.groupBy("model").agg(F.count("auc").cast("int").alias("folds"), F.avg(F.col("auc") * F.col("auc")).alias("square"))
+    spread, area = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0))), _area(data)
     return board.join(recount, "model").select(
-        "model", "folds", F.col("mean").between(0.0, 1.0).alias("is_a_share"), (F.abs(F.col("std") - spread) < 1e-6).alias("std_is_its_recount"))
+        "model", "folds", round_half_even(area, 4).alias("signal_auc"), (F.col("mean") > area - NEAR).alias("finds_signal"),
+        F.col("mean").between(0.0, 1.0).alias("is_a_share"), (F.abs(F.col("std") - spread) < 1e-6).alias("std_is_its_recount"))
 
 
 _searched: dict[tuple[str, str], tuple] = {}
@@ -178,29 +198,34 @@ def _search(spark, d):
     """The search over a folder's tables; its two queries in one session share one run."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _searched:
-        _, names, train, test, _ = prepared(spark, d)
-        trials = training.sample_trials(TRIALS)
-        _searched[key] = (names, train, test, trials, *training.search(train, names, IDS, trials))
+        data, names, train, test, _ = prepared(spark, d)
+        _searched[key] = (data, names, train, test, *training.search(train, names, IDS, TRIALS))
     return _searched[key]
 
 
-@query(f"SELECT t::INTEGER AS trial, TRUE AS drawn_values_kept, TRUE AS is_a_share FROM range({TRIALS}) r(t)")
+@query(_SIGNALS + f" SELECT t::INTEGER AS trial, t < 10 AS drawn_at_random, TRUE AS in_all_ranges, signal_auc, TRUE AS finds_signal FROM range({TRIALS}) r(t), known", enc.ENC)
 def random_search(spark, d):
-    _, _, _, trials, board, _ = _search(spark, d)
-    drawn = spark.createDataFrame([(i, t["maxIter"], t["stepSize"], t["maxDepth"]) for i, t in enumerate(trials)], "trial int, i int, s double, d int")
-    same = (F.col("maxIter") == F.col("i")) & (F.col("stepSize") == F.col("s")) & (F.col("maxDepth") == F.col("d"))
-    return board.join(drawn, "trial").select("trial", same.alias("drawn_values_kept"), F.col("mean").between(0.0, 1.0).alias("is_a_share"))
+    """The search: ten trials drawn at random, the others proposed from their scores, each in five folds."""
+    data, _, _, _, board, _ = _search(spark, d)
+    inside = F.lit(True)
+    for n, x in training.RANGES.items():
+        inside = inside & F.col(n).between(x.low, x.high)
+    area = _area(data)
+    return board.select("trial", F.col("log_ratio").isNull().alias("drawn_at_random"), inside.alias("in_all_ranges"),
+                        round_half_even(area, 4).alias("signal_auc"), (F.col("mean") > area - NEAR).alias("finds_signal"))
 
 
-@query("SELECT TRUE AS best_has_the_highest_mean, TRUE AS improvement_is_the_difference")
+@query(_PARTS + "SELECT TRUE AS best_has_the_highest_mean, TRUE AS improvement_is_the_difference, signal_auc, TRUE AS finds_signal, train_rows FROM parts, known", enc.ENC)
 def refit_best(spark, d):
-    names, train, test, trials, board, best = _search(spark, d)
-    baseline = training.fit(training.default_models()["logistic"], train, names)
-    report = training.refit_best(best, baseline, train, test, names)[1]
-    first = board.orderBy(F.desc("mean"), "trial").first()["trial"]
-    gain = (F.col("tuned_auc") - F.col("baseline_auc")) * 100
-    return report.select(F.lit(trials[first] == best).alias("best_has_the_highest_mean"),
-                         (F.abs(F.col("improvement") - gain) < 1e-9).alias("improvement_is_the_difference"))
+    data, names, train, test, board, best = _search(spark, d)
+    baseline = training.fit(training.retrain_model(), train, names, ids=IDS)
+    model, report = training.refit_best(best, baseline, train, test, names, ids=IDS)
+    first = board.orderBy(F.desc("mean"), "trial").first()
+    gain, area = (F.col("tuned_auc") - F.col("baseline_auc")) * 100, _area(data)
+    return report.select(
+        F.lit(all(first[n] == v for n, v in best.items()) and model.getNumTrees == first["trees"]).alias("best_has_the_highest_mean"),
+        (F.abs(F.col("improvement") - gain) < 1e-9).alias("improvement_is_the_difference"), round_half_even(area, 4).alias("signal_auc"),
+        (F.col("tuned_auc") > area - NEAR).alias("finds_signal"), F.lit(train.count()).cast("long").alias("train_rows"))
 
 
 def _quick(spark, d):
@@ -241,52 +266,109 @@ def learning_run(spark, d):
                          F.lit(history["metrics_rows"]).cast("long").alias("metrics_rows"))
 
 
-@query()
-def attribution_linear(spark, d):
-    _, names, train, test, _, model = _quick(spark, d)
-    return explain.linear_attribution(model, train, test, names, IDS)
-
-
-_RANKED = "SELECT 10::BIGINT AS rows, 10::BIGINT AS features, TRUE AS in_order, TRUE AS known_features"
+_RANKED = f"SELECT 10::BIGINT AS rows, 10::BIGINT AS features, TRUE AS in_order, TRUE AS known_features, '{SIGNAL}' AS first"
 
 
 def _ranked(top, names):
-    """How many features a top list holds, whether they are in order and all among the model's."""
+    """How many features a top list holds, whether they are in order and all among the model's, and which is the first."""
     listed = [(i, r["feature"], r["importance"]) for i, r in enumerate(top.collect())]
     return top.sparkSession.createDataFrame(listed, "place int, feature string, importance double").agg(
         F.count("*").alias("rows"), F.count_distinct("feature").alias("features"),
-        F.lit(all(a[2] >= b[2] for a, b in zip(listed, listed[1:]))).alias("in_order"), F.bool_and(F.col("feature").isin(names)).alias("known_features"))
+        F.lit(all(a[2] >= b[2] for a, b in zip(listed, listed[1:]))).alias("in_order"), F.bool_and(F.col("feature").isin(names)).alias("known_features"),
+        F.min_by("feature", "place").alias("first"))
+
+
+@query(_RANKED)
+def attribution_linear(spark, d):
+    _, names, train, test, _, model = _quick(spark, d)
+    return _ranked(explain.linear_attribution(model, train, test, names, IDS), names)
 
 
 @query(_RANKED)
 def attribution_permutation(spark, d):
     _, names, train, test, _ = prepared(spark, d)
-    model = training.fit(training.default_models()["boosting_b"], train, names)
+    model = training.fit(training.default_models()["boosting_b"], train, names, ids=IDS)
     return _ranked(explain.permutation_attribution(model, test, names, IDS), names)
 
 
 @query(_RANKED)
 def attribution_splits(spark, d):
     _, names, train, _, _ = prepared(spark, d)
-    return _ranked(explain.split_importance(training.fit(training.default_models()["forest"], train, names), names, train), names)
+    return _ranked(explain.split_importance(training.fit(training.default_models()["forest"], train, names, ids=IDS), names, train), names)
+
+
+_SHAPLEY = _PARTS + f"SELECT least(1000, test_rows)::BIGINT AS rows, TRUE AS parts_add_up, 10::BIGINT AS listed, '{SIGNAL}' AS first FROM parts"
+
+
+def _shapley(spark, d, name):
+    """Contributions of a sample: their sums with the base value against the margins, and the ten features with the largest mean."""
+    _, names, train, test, _ = prepared(spark, d)
+    model = training.fit(training.default_models()[name], train, names, ids=IDS)
+    found = materialise(ensembles.contributions(model, evaluation.evaluation_sample(test, IDS), names, keep=IDS), "contributions")
+    top = _ranked(evaluation.top_features(evaluation.mean_absolute(found, names), 10), names).first()
+    off = F.abs(sum((F.col(f"`{n}`") for n in names), F.col("base_value")) - F.col("margin"))
+    return found.agg(F.count("*").alias("rows"), (F.max(off) < 1e-9).alias("parts_add_up"),
+                     F.lit(top["rows"]).cast("long").alias("listed"), F.lit(top["first"]).alias("first"))
 
 
-@query()
+@query(_SHAPLEY, enc.ENC)
+def attribution_boosting(spark, d):
+    return _shapley(spark, d, "boosting_b")
+
+
+@query(_SHAPLEY, enc.ENC)
+def attribution_forest(spark, d):
+    return _shapley(spark, d, "forest")
+
+
+_EDGE = 1e-4  # probabilities come rounded to four places, decisions and bands are taken before
+
+
+def _follows(p, outcome, edges):
+    """Whether an outcome is the one of its rounded probability; near an edge both neighbours are."""
+    ok = F.lit(False)
+    for low, high, value in edges:
+        ok = ok | (p.between(low - _EDGE, high + _EDGE) & (outcome == value))
+    return F.bool_and(F.coalesce(ok, F.lit(False)))
+
+
+_CUT_BANDS = [(0.0, 0.3, "Low"), (0.3, 0.6, "Medium"), (0.6, 1.0, "High")]
+_SCORE_FACTS = _SIGNALS + """ SELECT count(*) AS rows, sum(label)::BIGINT AS positives, TRUE AS decisions_follow, TRUE AS bands_follow, any_value(signal_auc) AS signal_auc,
+  TRUE AS finds_signal FROM turned, known"""
+
+
+def _score_facts(data, scored):
+    p = F.col("readmission_probability")
+    area, found = signal_area(data), evaluation.auc_value(scored, "readmission_probability", "actual")
+    return scored.agg(
+        F.count(p).alias("rows"), F.sum("actual").alias("positives"), _follows(p, F.col("predicted_readmission"), [(0.0, 0.369, 0), (0.369, 1.0, 1)]).alias("decisions_follow"),
+        _follows(p, F.col("risk_level"), _CUT_BANDS).alias("bands_follow"), round_half_even(F.lit(area), 4).alias("signal_auc"), F.lit(found > area - NEAR).alias("finds_signal"))
+
+
+@query(_SCORE_FACTS, enc.ENC)
 def batch_score(spark, d):
+    """Batch scores of a fitted model: rows, decisions and bands that follow from the probability, and an area that finds the signal."""
     data, names, _, _, _, model = _quick(spark, d)
-    return jobs.score_features(model, data, names, keep=IDS)
+    return _score_facts(data, materialise(jobs.score_features(model, data, names, keep=IDS), "scores"))
 
 
-@query()
+@query(enc._STEPS + " SELECT count(*) AS rows, sum(readmitted_30d)::BIGINT AS positives, TRUE AS decisions_follow, TRUE AS bands_follow, count(DISTINCT encounter_id) AS encounters FROM stayed", enc.ENC)
 def score_raw(spark, d):
+    """Raw encounter rows through cleaning, features and a fitted model; the signal is not among them and counts as 0."""
     _, names, _, _, stats, model = _quick(spark, d)
-    return jobs.score_raw(model, enc.raw(spark, d), names, stats, order=enc.ORDER, keep=IDS)
+    scored = jobs.score_raw(model, enc.raw(spark, d), names, stats, order=enc.ORDER, keep=IDS)
+    p = F.col("readmission_probability")
+    return scored.agg(
+        F.count(p).alias("rows"), F.sum("actual").alias("positives"), _follows(p, F.col("predicted_readmission"), [(0.0, 0.369, 0), (0.369, 1.0, 1)]).alias("decisions_follow"),
+        _follows(p, F.col("risk_level"), _CUT_BANDS).alias("bands_follow"), F.count_distinct("encounter_id").alias("encounters"))
 
 
-@query()
+@query(enc._STEPS + " SELECT count(*) AS total_scored, TRUE AS bands_add_up, TRUE AS mean_is_a_share FROM stayed", enc.ENC)
 def daily_score(spark, d):
     data, names, _, _, _, model = _quick(spark, d)
-    return jobs.daily_job(model, data, names)
+    bands = F.col("high_risk") + F.col("medium_risk") + F.col("low_risk")
+    return jobs.daily_job(model, data, names).select(
+        "total_scored", (bands == F.col("total_scored")).alias("bands_add_up"), F.col("avg_risk").between(0.0, 1.0).alias("mean_is_a_share"))
 
 
 def requests(spark, d):
@@ -304,24 +386,45 @@ def requests(spark, d):
     )
 
 
-@query()
+_LEFT_BANDS = [(0.0, 0.3, "Low"), (0.3, 0.6, "Medium"), (0.6, 1.0, "High")]
+
+
+def _response_facts(scored, *more):
+    p = F.col("readmission_probability")
+    percent = F.abs(F.regexp_extract("readmission_percentage", r"[0-9.]+", 0).try_cast("double") - p * 100) < 0.06
+    return scored.agg(
+        F.count(p).alias("rows"), F.count_distinct("patient_id").alias("patients"), F.bool_and(percent).alias("percentages_follow"),
+        _follows(p, F.col("predicted_readmission"), [(0.0, 0.369, False), (0.369, 1.0, True)]).alias("decisions_follow"),
+        _follows(p, F.col("risk_level"), _LEFT_BANDS).alias("bands_follow"), *more)
+
+
+_FOLLOW = "TRUE AS percentages_follow, TRUE AS decisions_follow, TRUE AS bands_follow"
+_ASKED = f"SELECT count(*) AS rows, count(DISTINCT CASE WHEN o_orderkey % 10 <> 0 THEN cast(o_custkey AS VARCHAR) ELSE 'UNKNOWN' END) AS patients, {_FOLLOW}"
+
+
+@query(_ASKED + ", TRUE AS advised FROM orders")
 def score_requests(spark, d):
     _, names, _, _, _, model = _quick(spark, d)
-    scored = jobs.score_requests(model, requests(spark, d), names)
-    return scored.withColumn("recommendations", F.array_join("recommendations", " | "))
+    return _response_facts(jobs.score_requests(model, requests(spark, d), names), F.bool_and(F.size("recommendations") > 0).alias("advised"))
 
 
-@query()
+@query(sco._FHIR + f" SELECT count(*) AS rows, count(DISTINCT pid) AS patients, {_FOLLOW} FROM j")
 def score_fhir(spark, d):
     _, names, _, _, _, model = _quick(spark, d)
-    return jobs.score_patients(model, sco.fhir_features(spark, d), names)
+    return _response_facts(jobs.score_patients(model, sco.fhir_features(spark, d), names))
 
 
-@query()
+@query(_PARTS + """, one AS (SELECT test_rows - test_positives AS n0, test_positives AS n1, signal_auc FROM parts, known)
+SELECT unnest(['0', '1']) AS class, unnest([n0, n1])::BIGINT AS support, TRUE AS f1_follows, signal_auc, TRUE AS finds_signal FROM one""", enc.ENC)
 def evaluation_report(spark, d):
-    _, names, _, test, _, model = _quick(spark, d)
+    """Support of each class in the report, F1 from its precision and recall, and the area."""
+    data, names, _, test, _, model = _quick(spark, d)
     report = jobs.evaluation_job(model, test, scratch_path(spark, "evaluation"), features=names, ids=IDS)
-    return report["classification_report"]
+    both = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    area, found = signal_area(data), report["roc_auc"].first()["auc"]
+    return report["classification_report"].filter(F.col("class").isin("0", "1")).select(
+        "class", F.col("support").cast("long").alias("support"), (F.abs(F.col("f1") - F.coalesce(both, F.lit(0.0))) < 1e-9).alias("f1_follows"),
+        round_half_even(F.lit(area), 4).alias("signal_auc"), F.lit(found > area - NEAR).alias("finds_signal"))
 
 
 # -- the same jobs with given coefficients, which SQL can follow --------------------
@@ -487,7 +590,7 @@ def stream_outcomes(spark, d):
     )
 
 
-@query()
+@query(_ASKED + " FROM orders")
 def stream_discharge(spark, d):
     """A fitted model over a stream of discharge requests."""
     _, names, _, _, _, model = _quick(spark, d)
@@ -495,4 +598,4 @@ def stream_discharge(spark, d):
     requests(spark, d).write.json(f"{base}/in")
     scored = discharge.score_events(stream_requests(spark, f"{base}/in"), model, names)
     discharge.run_stream(scored, f"{base}/scores", f"{base}/alerts", f"{base}/checkpoint", once=True).awaitTermination()
-    return spark.read.parquet(f"{base}/scores").drop("query", "batch", "scored_at", "scored_day")
+    return _response_facts(spark.read.parquet(f"{base}/scores"))

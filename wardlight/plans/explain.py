@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from wardlight.operators.evaluation import evaluation_sample, grouped_auc, mean_
 from wardlight.operators.linear import LinearScorer
 from wardlight.operators.ordering import row_hash
 from wardlight.operators.scoring import with_probability
+from wardlight.plans.ensembles import TreeScorer, contributions
 from wardlight.plans.training import fit_scaling, numbers, scale
 from wardlight.session import materialise
 
@@ -33,7 +34,7 @@ def linear_attribution(
         means = {f: (m, 1.0) for f, (m, _) in fit_scaling(numbers(train, features), features).items()}
         parts = scale(numbers(sample, features), means).select(*[(F.col(f"`{f}`") * F.lit(w)).alias(f) for f, w in weights.items()])
         return top_features(mean_absolute(parts, features), top)
-    stage = model.stages[-1]
+    stage = model.stages[-1] if isinstance(model, PipelineModel) else model
     if not isinstance(stage, LogisticRegressionModel):
         raise TypeError("linear attribution needs a logistic model")
     # The model works on scaled columns; scaling with the same figures centres them.
@@ -74,7 +75,30 @@ def permutation_attribution(
     return top_features(df.sparkSession.createDataFrame(losses, "feature string, importance double"), top)
 
 
-def split_importance(model: PipelineModel, features: Sequence[str], df: DataFrame, top: int = 10) -> DataFrame:
+def tree_attribution(
+    model: Transformer, df: DataFrame, features: Sequence[str], ids: Sequence[str], rows: int | None = SAMPLE_ROWS, top: int = 10,
+) -> DataFrame:
+    """Exact Shapley contributions along the paths of a tree model, as a mean of absolute values over a sample (``rows=None``: all rows)."""
+    sample = df if rows is None else evaluation_sample(df, ids, rows)
+    return top_features(mean_absolute(contributions(model, sample, features), features), top)
+
+
+def attribution(
+    model: Transformer, train: DataFrame, df: DataFrame, features: Sequence[str], ids: Sequence[str], label: str = fixed.LABEL,
+    rows: int = SAMPLE_ROWS, top: int = 10,
+) -> DataFrame:
+    """The features that drive a model: exact for tree and linear models, by permutation for any other."""
+    last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    if isinstance(last, (TreeScorer, RandomForestClassificationModel, GBTClassificationModel)):
+        return tree_attribution(model, df, features, ids, rows, top)
+    if isinstance(last, (LinearScorer, LogisticRegressionModel)):
+        return linear_attribution(model, train, df, features, ids, rows, top)
+    return permutation_attribution(model, df, features, ids, label, rows, top)
+
+
+def split_importance(model: Transformer, features: Sequence[str], df: DataFrame, top: int = 10) -> DataFrame:
     """Importances a tree model has gathered while it was trained."""
-    values = [(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray())]
+    last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    found = last.importances() if isinstance(last, TreeScorer) else dict(zip(features, last.featureImportances.toArray()))
+    values = [(f, float(found[f])) for f in features]
     return top_features(df.sparkSession.createDataFrame(values, "feature string, importance double"), top)

@@ -97,7 +97,7 @@ def training_job(
         sizes = training.class_ratio(train, label)
         validated = training.cross_validate(specs, train, names, ids, label, folds, sizes=sizes)
         validated = features.sparkSession.createDataFrame(validated.collect(), validated.schema)  # a row per model
-        models = training.fit_all(specs, train, names, label, sizes)
+        models = training.fit_all(specs, train, names, label, sizes, ids)
         board = training.evaluate_all(models, test, label)
         if save_to:
             for name, model in models.items():
@@ -182,7 +182,9 @@ def evaluation_job(
         scores = evaluation.kept_scores(scored, "p", label, folder)
         tables = _report(scores)
         if features:
-            tables["attribution"] = explain.permutation_attribution(model, test, features, ids, label, sample)
+            if not 0 < sample <= explain.MOST_SAMPLE_ROWS:
+                raise ValueError(f"an attribution sample has at most {explain.MOST_SAMPLE_ROWS} rows")
+            tables["attribution"] = explain.attribution(model, test, test, features, ids, label, sample)
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{output}/{name}")
     return {name: spark.read.parquet(f"{output}/{name}") for name in tables}

@@ -1,9 +1,9 @@
-"""Training jobs on Spark ML: split, scale, fit, cross-validate, search, retrain."""
+"""Training jobs: split, scale, fit, cross-validate, tune, retrain. Logistic models are Spark's, trees are grown by ``plans.trees``."""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from math import ceil, sqrt
 from multiprocessing.pool import ThreadPool
@@ -11,7 +11,7 @@ from statistics import fmean, pstdev
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.stat import Summarizer
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from wardlight.functions import fixed
 from wardlight.operators.cleaning import as_number
-from wardlight.operators.evaluation import auc_value, mean_and_spread
+from wardlight.operators.evaluation import auc_value, grouped_auc, mean_and_spread
 from wardlight.operators.ordering import at_most, first_positions, hash_cutoffs, row_hash
 from wardlight.operators.scoring import with_probability
-from wardlight.session import ensure_checkpoint_dir
+from wardlight.plans import proposals, trees
+from wardlight.plans.ensembles import Ensemble, TreeScorer
+from wardlight.session import materialise, workspace
 
 SEED = 42
 WEIGHT = "_weight"
@@ -130,17 +132,19 @@ def class_ratio(df: DataFrame, label: str) -> tuple[int, int]:
     return row["n0"], row["n1"]
 
 
-def weighted(df: DataFrame, label: str, scheme: str, sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Add the row weight of a scheme: ``balanced``, ``ratio`` (positives n0/n1) or ``none``."""
-    n0, n1 = sizes or class_ratio(df, label)
-    if scheme == "none" or not n0 or not n1:
-        return df.withColumn(WEIGHT, F.lit(1.0))
-    if scheme == "balanced":
-        zero, one = (n0 + n1) / (2 * n0), (n0 + n1) / (2 * n1)
-    elif scheme == "ratio":
-        zero, one = 1.0, n0 / n1
-    else:
+def class_weight(scheme: str, sizes: tuple[int, int]) -> tuple[float, float]:
+    """Weights of the two classes: ``balanced``, ``ratio`` (positives n0/n1) or ``none``."""
+    n0, n1 = sizes
+    if scheme not in ("none", "balanced", "ratio"):
         raise ValueError(scheme)
+    if scheme == "none" or not n0 or not n1:
+        return 1.0, 1.0
+    return ((n0 + n1) / (2 * n0), (n0 + n1) / (2 * n1)) if scheme == "balanced" else (1.0, n0 / n1)
+
+
+def weighted(df: DataFrame, label: str, scheme: str, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Add the row weight of a scheme."""
+    zero, one = class_weight(scheme, sizes or class_ratio(df, label))
     return df.withColumn(WEIGHT, F.when(F.col(label) == 1, F.lit(one)).otherwise(F.lit(zero)))
 
 
@@ -163,10 +167,11 @@ def default_models() -> dict[str, ModelSpec]:
     """The four models that are trained and compared."""
     return {
         "logistic": ModelSpec("logistic", "balanced", {"c": 0.1, "maxIter": 1000}, scaled=True),
-        "forest": ModelSpec("forest", "balanced", {"numTrees": 300, "maxDepth": 8}),
+        "forest": ModelSpec("forest", "balanced", {"trees": 300, "max_depth": 8}),
         "boosting_a": ModelSpec("boosting", "ratio", {
-            "maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}),
-        "boosting_b": ModelSpec("boosting", "balanced", {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6}),
+            "trees": 300, "learning_rate": 0.05, "max_depth": 5, "subsample": 0.8, "columns": 0.8, "lam": 1.0, "min_curvature": 1.0}),
+        "boosting_b": ModelSpec("boosting", "balanced", {
+            "trees": 300, "learning_rate": 0.05, "max_depth": 6, "max_leaves": 31, "min_rows": 20}),
     }
 
 
@@ -176,20 +181,23 @@ def retrain_model() -> ModelSpec:
 
 def bootstrap_model(balanced: bool = False) -> ModelSpec:
     """The quick model a fresh installation starts with."""
-    return ModelSpec("boosting", "balanced" if balanced else "none", {"maxIter": 100, "stepSize": 0.05, "maxDepth": 3})
+    return ModelSpec("boosting", "balanced" if balanced else "none", {"trees": 100, "learning_rate": 0.05, "max_depth": 3})
 
 
-def estimator(spec: ModelSpec, rows: int, label: str):
-    common = {"featuresCol": "features", "labelCol": label, "weightCol": WEIGHT}
+def logistic(spec: ModelSpec, rows: int, label: str) -> LogisticRegression:
     params = dict(spec.params)
-    if spec.kind == "logistic":
-        # The penalty is stated per data set; Spark's is per unit of weight.
-        strength = 1.0 / (params.pop("c") * rows)
-        return LogisticRegression(**common, regParam=strength, elasticNetParam=0.0, standardization=False, **params)
-    if spec.kind == "forest":
-        return RandomForestClassifier(**common, seed=SEED, **params)
+    # The penalty is stated per data set; Spark's is per unit of weight.
+    strength = 1.0 / (params.pop("c") * rows)
+    return LogisticRegression(featuresCol="features", labelCol=label, weightCol=WEIGHT, regParam=strength, elasticNetParam=0.0,
+                              standardization=False, **params)
+
+
+def growth(spec: ModelSpec, features: int) -> trees.Growth:
+    """How a tree model grows. A forest looks at the root of the number of features at each node."""
     if spec.kind == "boosting":
-        return GBTClassifier(**common, seed=SEED, **params)
+        return trees.Growth(**spec.params)
+    if spec.kind == "forest":
+        return trees.Growth(**{"forest": True, "min_curvature": 0.0, "node_columns": max(1, int(sqrt(features))), **spec.params})
     raise ValueError(spec.kind)
 
 
@@ -200,33 +208,53 @@ def _inputs(spec: ModelSpec, df: DataFrame, features: Sequence[str]) -> list:
 
 
 def compact(df: DataFrame, rows: int) -> DataFrame:
-    """As few partitions as ``rows`` need: every level of every tree is a job over all of them."""
+    """As few partitions as ``rows`` need: every step of a fit is a job over all of them."""
     return df.coalesce(max(1, -(-rows // PARTITION_ROWS)))
 
 
+def _tree_table(df: DataFrame, features: Sequence[str], ids: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
+    return numbers(df, features, dict.fromkeys([label, *ids, *keep]))
+
+
 def fit(
-    spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str = fixed.LABEL, sizes: tuple[int, int] | None = None
-) -> PipelineModel:
-    """Fit one model. The pipeline makes numbers of its features (0 where unknown) and holds its own scaling,
-    learned on ``train``. ``sizes`` are the rows of both classes, where the caller knows them."""
-    ensure_checkpoint_dir(train.sparkSession)
+    spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str = fixed.LABEL, sizes: tuple[int, int] | None = None,
+    ids: Sequence[str] = (), block_rows: int = trees.BLOCK_ROWS,
+) -> PipelineModel | TreeScorer:
+    """Fit one model. It makes numbers of its features (0 where unknown) and holds its own scaling,
+    learned on ``train``. ``sizes`` are the rows of both classes, where the caller knows them. Which rows a tree
+    sees is drawn by the hash of their ``ids``, without any by that of their features."""
     n0, n1 = sizes or class_ratio(train, label)
+    if spec.kind != "logistic":
+        how = growth(spec, len(features))
+        table = _tree_table(train, features, ids, label)
+        layout = trees.fit_layout(table, features)
+        with workspace(train.sparkSession, "fit") as folder:
+            blocks, number = trees.to_blocks(table, layout, label, ids or features, block_rows=block_rows, rows=n0 + n1, folder=folder)
+            found = trees.grow({"model": trees.Fit(how, class_weight(spec.weighting, (n0, n1)))}, blocks, number, layout, folder=folder)
+        return _scorer(found.trees["model"], how, features)
     data = weighted(train.select(label, *[f"`{f}`" for f in features]), label, spec.weighting, (n0, n1))
     inputs = _inputs(spec, train, features)
     assembled = Pipeline(stages=inputs).fit(data).transform(data).select(label, WEIGHT, "features")
     kept = compact(assembled, n0 + n1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return PipelineModel(stages=[*inputs, estimator(spec, n0 + n1, label).fit(kept)])
+        return PipelineModel(stages=[*inputs, logistic(spec, n0 + n1, label).fit(kept)])
     finally:
         kept.unpersist()
 
 
+def _scorer(grown: list[trees.Tree], how: trees.Growth, features: Sequence[str]) -> TreeScorer:
+    if how.forest:
+        for t in grown:
+            t.value = t.value / len(grown)
+    return TreeScorer(Ensemble(list(features), grown, how.forest))
+
+
 def fit_all(
     specs: Mapping[str, ModelSpec], train: DataFrame, features: Sequence[str], label: str = fixed.LABEL,
-    sizes: tuple[int, int] | None = None,
-) -> dict[str, PipelineModel]:
+    sizes: tuple[int, int] | None = None, ids: Sequence[str] = (),
+) -> dict[str, PipelineModel | TreeScorer]:
     sizes = sizes or class_ratio(train, label)
-    return {name: fit(spec, train, features, label, sizes) for name, spec in specs.items()}
+    return {name: fit(spec, train, features, label, sizes, ids) for name, spec in specs.items()}
 
 
 def model_auc(model: PipelineModel, df: DataFrame, label: str = fixed.LABEL) -> float | None:
@@ -243,10 +271,9 @@ def evaluate_all(models: Mapping[str, PipelineModel], test: DataFrame, label: st
 # -- cross-validation and search ----------------------------------------------
 
 def fold_scores(
-    spec: ModelSpec, maps: Sequence[Mapping[str, object]], prepared: DataFrame, rows: int, label: str, folds: int,
-    parallelism: int | None = None,
-) -> list[tuple[int, int, float]]:
-    """``(map, fold, AUC)`` of every parameter map on every fold.
+    spec: ModelSpec, prepared: DataFrame, rows: int, label: str, folds: int, parallelism: int | None = None,
+) -> list[tuple[int, float]]:
+    """``(fold, AUC)`` of a logistic model on every fold.
 
     Folds are filters on the numbered rows, so no row leaves the JVM; the rows
     are kept once for all fits. A fit knows the rows of its own training part.
@@ -255,36 +282,71 @@ def fold_scores(
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
     kept = compact(prepared.select(label, WEIGHT, FOLD, "features"), rows).persist(StorageLevel.MEMORY_AND_DISK)
     room = prepared.sparkSession.sparkContext.defaultParallelism // max(1, -(-rows // PARTITION_ROWS))
-    side_by_side = parallelism or max(2, min(room, folds * len(maps)))
     held = {r[FOLD]: r["count"] for r in kept.groupBy(FOLD).count().collect()}
 
-    def score(task: tuple[int, int]) -> tuple[int, int, float]:
-        number, fold = task
-        part = rows - held.get(fold, 0)
-        model = estimator(spec.with_params(**maps[number]), part, label).fit(kept.where(F.col(FOLD) != fold))
-        return number, fold, evaluator.evaluate(model.transform(kept.where(F.col(FOLD) == fold)))
+    def score(fold: int) -> tuple[int, float]:
+        model = logistic(spec, rows - held.get(fold, 0), label).fit(kept.where(F.col(FOLD) != fold))
+        return fold, evaluator.evaluate(model.transform(kept.where(F.col(FOLD) == fold)))
 
     try:
-        with ThreadPool(side_by_side) as pool:
-            tasks = [(number, fold) for number in range(len(maps)) for fold in range(folds)]
-            return pool.map(inheritable_thread_target(prepared.sparkSession)(score), tasks)
+        with ThreadPool(parallelism or max(2, min(room, folds))) as pool:
+            return pool.map(inheritable_thread_target(prepared.sparkSession)(score), range(folds))
     finally:
         kept.unpersist()
 
 
+@dataclass
+class FoldedTrees:
+    """Training rows with their folds, binned once; tree models are grown on all folds together."""
+
+    blocks: DataFrame
+    number: int
+    layout: trees.Layout
+    sizes: tuple[int, int]
+    folds: int
+    folder: str
+
+    def areas(self, specs: Mapping[str, ModelSpec]) -> dict[str, list[float | None]]:
+        """Fold AUCs of each model, in order of the folds."""
+        fits = {f"{fold} {name}": trees.Fit(growth(spec, len(self.layout.features)), class_weight(spec.weighting, self.sizes), fold)
+                for name, spec in specs.items() for fold in range(self.folds)}
+        scored = trees.grow(fits, self.blocks, self.number, self.layout, True, self.folder).scores
+        found = {r["model"]: r["auc"] for r in grouped_auc(scored, ["model"], folder=self.folder).collect()}  # one row for each model and fold
+        return {name: [found.get(f"{fold} {name}") for fold in range(self.folds)] for name in specs}
+
+
+@contextmanager
+def folded_trees(
+    train: DataFrame, features: Sequence[str], ids: Sequence[str], label: str = fixed.LABEL, folds: int = 5,
+    sizes: tuple[int, int] | None = None, block_rows: int = trees.BLOCK_ROWS,
+) -> Iterator[FoldedTrees]:
+    sizes = sizes or class_ratio(train, label)
+    with workspace(train.sparkSession, "folds") as folder:
+        table = materialise(_tree_table(stratified_folds(train, ids, label, folds), features, ids, label, [FOLD]), "rows", folder)
+        layout = trees.fit_layout(table, features)
+        blocks, number = trees.to_blocks(table, layout, label, ids, FOLD, block_rows, sum(sizes), folder)
+        yield FoldedTrees(blocks, number, layout, sizes, folds, folder)
+
+
 def cross_validated(
     specs: Mapping[str, ModelSpec], train: DataFrame, features: Sequence[str], ids: Sequence[str],
     label: str = fixed.LABEL, folds: int = 5, parallelism: int | None = None, sizes: tuple[int, int] | None = None,
+    block_rows: int = trees.BLOCK_ROWS,
 ) -> DataFrame:
-    """Fold AUCs of each model."""
-    ensure_checkpoint_dir(train.sparkSession)
+    """Fold AUCs of each model. All tree models grow on all folds together."""
     n0, n1 = sizes or class_ratio(train, label)
-    numbered = stratified_folds(train, ids, label, folds)
+    grown = {name: spec for name, spec in specs.items() if spec.kind != "logistic"}
     rows = []
+    if grown:
+        with folded_trees(train, features, ids, label, folds, (n0, n1), block_rows) as prepared:
+            areas = prepared.areas(grown)
+        rows += [(name, fold, auc) for name, own in areas.items() for fold, auc in enumerate(own)]
+    numbered = stratified_folds(train, ids, label, folds)
     for name, spec in specs.items():
-        prepared = weighted(numbered, label, spec.weighting, (n0, n1))
-        prepared = Pipeline(stages=_inputs(spec, train, features)).fit(prepared).transform(prepared)
-        rows += [(name, fold, auc) for _, fold, auc in fold_scores(spec, [{}], prepared, n0 + n1, label, folds, parallelism)]
+        if name not in grown:
+            prepared = weighted(numbered, label, spec.weighting, (n0, n1))
+            prepared = Pipeline(stages=_inputs(spec, train, features)).fit(prepared).transform(prepared)
+            rows += [(name, fold, auc) for fold, auc in fold_scores(spec, prepared, n0 + n1, label, folds, parallelism)]
     return train.sparkSession.createDataFrame(rows, "model string, fold int, auc double")
 
 
@@ -296,57 +358,50 @@ def cross_validate(
     return mean_and_spread(cross_validated(specs, train, features, ids, label, folds, parallelism, sizes), ["model"])
 
 
-def sample_trials(trials: int = 50, seed: int = SEED) -> list[dict[str, object]]:
-    """Random boosting parameters in the tuned ranges.
-
-    Leaf count and the two penalty terms have no counterpart in Spark's boosting.
-    """
-    draw = random.Random(seed)
-
-    def log_uniform(low: float, high: float) -> float:
-        return low * (high / low) ** draw.random()
-
-    return [
-        {
-            "maxIter": draw.randint(100, 500),
-            "stepSize": log_uniform(0.01, 0.2),
-            "maxDepth": draw.randint(3, 9),
-            "minInstancesPerNode": draw.randint(10, 100),
-            "subsamplingRate": draw.uniform(0.5, 1.0),
-            "featureSubsetStrategy": f"{draw.uniform(0.5, 1.0):.4f}",
-        }
-        for _ in range(trials)
-    ]
+# The tuned ranges.
+RANGES = {
+    "trees": proposals.Range(100, 500, whole=True), "learning_rate": proposals.Range(0.01, 0.2, log=True),
+    "max_depth": proposals.Range(3, 9, whole=True), "max_leaves": proposals.Range(20, 150, whole=True),
+    "min_rows": proposals.Range(10, 100, whole=True), "subsample": proposals.Range(0.5, 1.0), "columns": proposals.Range(0.5, 1.0),
+    "alpha": proposals.Range(1e-4, 10.0, log=True), "lam": proposals.Range(1e-4, 10.0, log=True),
+}
+TRIALS_SCHEMA = "trial int, mean double, std double, log_ratio double, " + ", ".join(f"{n} {'int' if x.whole else 'double'}" for n, x in RANGES.items())
 
 
 def search(
-    train: DataFrame, features: Sequence[str], ids: Sequence[str], trials: Sequence[Mapping[str, object]],
-    label: str = fixed.LABEL, folds: int = 5, parallelism: int | None = None, sizes: tuple[int, int] | None = None,
+    train: DataFrame, features: Sequence[str], ids: Sequence[str], trials: int = 50, label: str = fixed.LABEL, folds: int = 5,
+    sizes: tuple[int, int] | None = None, startup: int = 10, batch: int = 10, seed: int = SEED,
+    ranges: Mapping[str, proposals.Range] = RANGES, block_rows: int = trees.BLOCK_ROWS,
 ) -> tuple[DataFrame, dict[str, object]]:
-    """Fold AUC of every trial, best first, and the best parameters."""
-    ensure_checkpoint_dir(train.sparkSession)
-    spec = ModelSpec("boosting", "balanced", {})
-    n0, n1 = sizes or class_ratio(train, label)
-    prepared = weighted(stratified_folds(train, ids, label, folds), label, spec.weighting, (n0, n1))
-    prepared = Pipeline(stages=_inputs(spec, train, features)).fit(prepared).transform(prepared)
-    scores = fold_scores(spec, trials, prepared, n0 + n1, label, folds, parallelism)
+    """Fold AUC of every trial, best first, and the best parameters.
+
+    The first ``startup`` trials are drawn at random, later ones proposed from what the earlier ones scored, ``batch`` at a
+    time; the trials of a batch and all folds grow together. ``log_ratio`` says how much denser good trials lie than others at
+    a proposal, null for the drawn ones. Rows with one class score no trial.
+    """
+    study = proposals.Study(ranges, seed, startup)
+    tried: list[tuple[dict, float | None, list]] = []
+    with folded_trees(train, features, ids, label, folds, sizes, block_rows) as prepared:
+        while len(tried) < trials:
+            asked = study.propose(min(startup - len(tried) if len(tried) < startup else batch, trials - len(tried)))
+            areas = prepared.areas({str(k): ModelSpec("boosting", "balanced", a.values) for k, a in enumerate(asked)})
+            for k, a in enumerate(asked):
+                known = [x for x in areas[str(k)] if x is not None]
+                study.learn(a.values, fmean(known) if known else 0.0)
+                tried.append((a.values, a.log_ratio, known))
     rows = []
-    for i, t in enumerate(trials):
-        own = [auc for number, _, auc in scores if number == i]
-        rows.append((i, fmean(own), pstdev(own), int(t["maxIter"]), float(t["stepSize"]), int(t["maxDepth"])))
-    rows.sort(key=lambda r: (-r[1], r[0]))
-    table = train.sparkSession.createDataFrame(
-        rows, "trial int, mean double, std double, maxIter int, stepSize double, maxDepth int"
-    )
-    return table, dict(trials[rows[0][0]])
+    for i, (values, ratio, known) in enumerate(tried):
+        rows.append((i, fmean(known) if known else None, pstdev(known) if known else None, ratio, *[values[n] for n in ranges]))
+    rows.sort(key=lambda r: (-(r[1] or 0.0), r[0]))
+    return train.sparkSession.createDataFrame(rows, TRIALS_SCHEMA), dict(tried[rows[0][0]][0])
 
 
 def refit_best(
-    best: Mapping[str, object], baseline: PipelineModel, train: DataFrame, test: DataFrame, features: Sequence[str],
-    label: str = fixed.LABEL,
-) -> tuple[PipelineModel, DataFrame]:
+    best: Mapping[str, object], baseline: PipelineModel | TreeScorer, train: DataFrame, test: DataFrame, features: Sequence[str],
+    label: str = fixed.LABEL, ids: Sequence[str] = (),
+) -> tuple[PipelineModel | TreeScorer, DataFrame]:
     """Fit the best trial on all training rows and compare it with a baseline; no gain is stated where test rows have one class."""
-    model = fit(ModelSpec("boosting", "balanced", best), train, features, label)
+    model = fit(ModelSpec("boosting", "balanced", best), train, features, label, ids=ids)
     tuned, base = model_auc(model, test, label), model_auc(baseline, test, label)
     gain = None if tuned is None or base is None else (tuned - base) * 100
     report = test.sparkSession.createDataFrame(
@@ -358,7 +413,7 @@ def refit_best(
 # -- retraining ---------------------------------------------------------------
 
 def retrain(
-    df: DataFrame, current: PipelineModel, features: Sequence[str], order: str, ids: Sequence[str], retrained_at: str,
+    df: DataFrame, current: PipelineModel | TreeScorer, features: Sequence[str], order: str, ids: Sequence[str], retrained_at: str,
     label: str = fixed.LABEL, spec: ModelSpec | None = None, save_to: str | None = None,
 ) -> tuple[PipelineModel | None, DataFrame]:
     """Champion and challenger on the last fifth of the rows.
@@ -370,7 +425,7 @@ def retrain(
     from pyspark.sql import Row
 
     train, held = positional_split(df, order, ids)
-    challenger = fit(spec or retrain_model(), train, features, label)
+    challenger = fit(spec or retrain_model(), train, features, label, ids=ids)
     before, after = model_auc(current, held, label), model_auc(challenger, held, label)
     known = before is not None and after is not None
     improved = known and after > before

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlight.plans.ensembles import load_scorer
 from wardlight.sources import schemas
 
 
@@ -52,10 +53,15 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").parquet(path)
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model: Transformer, path: str) -> str:
     model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> Transformer:
+    """A saved pipeline, or a saved tree scorer, which is known by its table of nodes."""
+    spark = SparkSession.active()
+    nodes = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/nodes")
+    if nodes.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(nodes):
+        return load_scorer(spark, path)
     return PipelineModel.load(path)
