@@ -31,8 +31,19 @@ def test_ids_are_those_of_the_library(spark):
         assert got == [library(t) for t in texts]
 
 
+def test_every_known_sign_is_treated_as_the_library_does():
+    signs = [chr(c) for c in range(0x21, 0x450) if tokens._KNOWN.fullmatch(chr(c))]
+    assert len(signs) > 500
+    enc = tokens.Encoder(FILE)
+    texts = [t for c in signs for t in (f"a{c}", f" {c}1", f"7{c}.", f"{c}'{c}", f"'s{c} 've{c}")]
+    flat, lengths = enc.ids(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [library(t) for t in texts]
+    enc.forget()
+    assert enc.ids(pa.array(texts))[0].tolist() == flat.tolist()
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from(list("ab.,'s1 \n\t\xa0　\x01|<>é")), max_size=30), min_size=1, max_size=4))
+@given(st.lists(st.text(st.sampled_from(list("ab.,'s1tveldm²½ßΩжẞ中٣ª \n\t\xa0　\x01|<>é")), max_size=30), min_size=1, max_size=4))
 def test_cuts_do_not_change_ids(texts):
     flat, lengths = tokens.encoder(FILE).ids(pa.array(texts))
     assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [library(t) for t in texts]

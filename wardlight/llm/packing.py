@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.tokens import encoder, slices
+from wardlight.llm.tokens import ENCODED_BYTES, encoder, slices
 from wardlight.session import materialise
 
 TOKENS = 2048
@@ -63,7 +63,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int
         encode = encoder(tokenizer)
         for batch in batches:
             texts = batch.column(1)
-            for first, number in slices(texts):
+            for first, number in slices(texts, ENCODED_BYTES):
                 flat, lengths = encode.ids(texts.slice(first, number))
                 ends = np.cumsum(lengths)
                 docs_, loss_from = batch.column(0).slice(first, number).to_pylist(), batch.column(2).slice(first, number).to_pylist()
@@ -78,6 +78,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.binary())],
                     ["doc_id", "start", "length", "loss", "doc_tokens", "ids"])
+        encode.forget()
 
     bears = F.col(loss_col).cast("bigint") if loss_col else F.lit(None).cast("bigint")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), bears.alias("bears"))

@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,15 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 8 << 20
 CACHED = 250_000
+PIECES = 50_000
+ENCODED_BYTES = 16 << 20
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = "\x01"
+# Letters that every version of the Unicode tables knows as such, and the signs of ASCII: pieces of these alone are parted
+# as the byte-level pre-tokenizer parts them. Any other piece goes through the whole library.
+_KNOWN = re.compile(" ?[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f]+")
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ {_LETTER}0-9]+")
 _PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 
 
@@ -31,6 +40,16 @@ def public_tokenizer(name: str) -> str:
         return f.read()
 
 
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself where it is visible, else the next one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class Pieces:
     """Cuts texts for one tokenizer, given as the content of its JSON file."""
 
@@ -117,12 +136,27 @@ class Encoder:
 
         self.library = Tokenizer.from_str(tokenizer)
         self.pieces = Pieces(tokenizer)
-        self.cache = Cache()
+        self.cache, self.parts = Cache(PIECES), Cache()
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as bytes. Pieces that a line break keeps apart go to the library in one string."""
+        """Ids of each piece as bytes, where its parts are known from those of the parts."""
+        known = [p not in self.pieces.special and _KNOWN.fullmatch(p) is not None for p in pieces]
+        parts = [_PARTS.findall(p) for p, k in zip(pieces, known, strict=True) if k]
+        distinct = list(dict.fromkeys(chain.from_iterable(parts)))
+        ids = dict(zip(distinct, self.parts.values(distinct, self._merge), strict=True))
+        joined = iter([ids[x[0]] if len(x) == 1 else b"".join([ids[y] for y in x]) for x in parts])
+        rest = iter(self._through([p for p, k in zip(pieces, known, strict=True) if not k]))
+        return [next(joined) if k else next(rest) for k in known]
+
+    def _merge(self, parts: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens, by the library's model alone."""
+        tokens = self.library.model.tokenize
+        return [array("I", [t.id for t in tokens(p.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes() for p in parts]
+
+    def _through(self, pieces: list[str]) -> list[bytes]:
+        """Ids by the whole library. Pieces that a line break keeps apart go there in one string."""
         out: list = [None] * len(pieces)
         apart = [k for k, p in enumerate(pieces) if self.line is not None and self._alone(p)]
         for at in range(0, len(apart), 10_000):
@@ -138,6 +172,11 @@ class Encoder:
             out[k] = np.array(e.ids, np.uint32).tobytes()
         return out
 
+    def forget(self) -> None:
+        """Drop what was kept, so that a worker that is used again holds no more than its tables between tasks."""
+        self.cache, self.parts = Cache(PIECES), Cache()
+        pa.default_memory_pool().release_unused()
+
     def _alone(self, piece: str) -> bool:
         if not piece or "\n" in piece or piece[-1].isspace() or piece in self.pieces.special:
             return False

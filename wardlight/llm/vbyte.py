@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.llm.files import locate
-from wardlight.llm.tokens import encoder, slices
+from wardlight.llm.tokens import ENCODED_BYTES, encoder, slices
 from wardlight.session import materialise, scratch_path
 
 MAGIC = b"VBT1"
@@ -75,12 +75,13 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
         encode_texts, squeeze = encoder(tokenizer), zstandard.ZstdCompressor(3)
         for batch in batches:
             texts = batch.column(1)
-            for first, number in slices(texts):
+            for first, number in slices(texts, ENCODED_BYTES):
                 flat, lengths = encode_texts.ids(texts.slice(first, number))
                 ends = np.cumsum(lengths)
                 rows = [squeeze.compress(_narrow(np.append(flat[e - n:e], end_id)))
                         for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, number), pa.array(rows, pa.binary())], ["doc_id", "ids"])
+        encode_texts.forget()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids binary")
