@@ -17,7 +17,7 @@ from wardlight.operators.linear import LinearScorer
 from wardlight.plans import ensembles, explain, jobs, training
 from wardlight.session import materialise, scratch_path
 from wardlight.sources.readers import read_metrics, stream_requests
-from wardlight.streaming import discharge, feedback
+from wardlight.streaming import discharge, feedback, running
 
 SCORES = ("fx_scores",)
 IDS = ["encounter_id"]
@@ -599,3 +599,57 @@ def stream_discharge(spark, d):
     scored = discharge.score_events(stream_requests(spark, f"{base}/in"), model, names)
     discharge.run_stream(scored, f"{base}/scores", f"{base}/alerts", f"{base}/checkpoint", once=True).awaitTermination()
     return _response_facts(spark.read.parquet(f"{base}/scores"))
+
+
+# -- streams with state ------------------------------------------------------------
+
+
+def _arriving(spark, rows, order, files=4):
+    """Rows as a stream that brings them in several batches, in ranges of a column."""
+    path = scratch_path(spark, "arriving")
+    rows.repartitionByRange(files, order).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(sco._DRIFT + f"""SELECT 'boosting_tuned' AS model, CASE WHEN drifted THEN 'drift_detected' ELSE 'no_drift' END AS status, n AS outcomes_count, NULL::INTEGER AS min_required,
+  NULL::VARCHAR AS message, {r('auc')} AS current_auc, 0.6812::DOUBLE AS baseline_auc, drifted AS drift_detected,
+  CASE WHEN drifted THEN 'Retrain model immediately' ELSE 'Model performing well' END AS recommendation FROM drift""", ("fx_outcomes",))
+def running_drift(spark, d):
+    """Drift after the last of several batches of outcomes, from state alone."""
+    base = scratch_path(spark, "drift")
+    arriving = _arriving(spark, sco.outcomes(spark, d).withColumn("recorded_at", F.col("recorded_at").cast("timestamp")), "recorded_at")
+    running.run_drift(arriving, f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
+    reports = spark.read.parquet(f"{base}/out/reports")
+    return reports.filter(F.col("batch") == reports.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+@query("""sent AS (SELECT 'P' || patient_id AS patient_id, scored_at FROM fx_scores WHERE row_id % 2 = 0),
+met AS (SELECT s.patient_id, s.scored_at, o.actually_readmitted, o.recorded_at FROM sent s LEFT JOIN fx_outcomes o ON o.patient_id = s.patient_id
+  AND o.recorded_at >= s.scored_at AND o.recorded_at <= s.scored_at + INTERVAL 6 HOURS)
+SELECT patient_id, count(*) AS rows, count(DISTINCT scored_at) AS discharges, count(recorded_at) AS outcomes, coalesce(sum(actually_readmitted), 0)::BIGINT AS readmitted
+FROM met GROUP BY patient_id""", ("fx_scores", "fx_outcomes"))
+def outcomes_meet_predictions(spark, d):
+    """Scored discharges and the outcomes of the six hours after them, joined as two streams; a last row on each side lets the time pass."""
+    base = scratch_path(spark, "met")
+    sent = sco.scores(spark, d).filter("row_id % 2 = 0").select(F.concat(F.lit("P"), F.col("patient_id").cast("string")).alias("patient_id"), "p", F.col("scored_at").cast("timestamp").alias("scored_at"))
+    told = sco.outcomes(spark, d).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    late = F.lit("2100-01-01").cast("timestamp")
+    for name, rows, time in (("sent", sent, "scored_at"), ("told", told, "recorded_at")):
+        end = rows.limit(1).withColumns({"patient_id": F.lit("end"), time: late})
+        rows.unionByName(end).repartitionByRange(3, time).write.parquet(f"{base}/{name}")
+    read = lambda name, rows: spark.readStream.schema(rows.schema).parquet(f"{base}/{name}")
+    met = running.meet_outcomes(read("sent", sent), read("told", told), "6 hours")
+    met.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.parquet(f"{base}/out").filter("patient_id <> 'end'").groupBy("patient_id").agg(
+        F.count("*").alias("rows"), F.count_distinct("scored_at").alias("discharges"), F.count("recorded_at").alias("outcomes"),
+        F.coalesce(F.sum("actually_readmitted"), F.lit(0)).alias("readmitted"))
+
+
+@query("""SELECT row_id, patient_id, position FROM (SELECT row_id, patient_id,
+  row_number() OVER (PARTITION BY patient_id ORDER BY scored_at DESC, row_id DESC)::INTEGER AS position FROM fx_scores) WHERE position <= 10""", SCORES)
+def running_histories(spark, d):
+    """The ten newest rows of each patient, kept by state over several batches."""
+    base = scratch_path(spark, "histories")
+    rows = sco.scores(spark, d).select("row_id", "patient_id", F.col("scored_at").cast("timestamp").alias("scored_at"))
+    running.run_history(_arriving(spark, rows, "row_id"), f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
+    return running.latest_histories(spark.read.parquet(f"{base}/out")).select("row_id", "patient_id", "position")

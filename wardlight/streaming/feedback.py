@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,10 +52,18 @@ def drift_report(outcomes: DataFrame, min_outcomes: int = fixed.MIN_OUTCOMES, dr
     scores = kept_scores(outcomes, "predicted_risk", "actually_readmitted")
     rated = roc_auc(scores).select(
         F.lit(scores.rows).cast("long").alias("outcomes_count"), F.coalesce("auc", F.lit(0.5)).alias("auc"))
+    return judged(rated, min_outcomes, drift_auc)
+
+
+def judged(
+    rated: DataFrame, min_outcomes: int = fixed.MIN_OUTCOMES, drift_auc: float = fixed.DRIFT_AUC, keep: Sequence[str] = (),
+) -> DataFrame:
+    """What ``(outcomes_count, auc)`` say about drift, beside the ``keep`` columns."""
     n, auc = F.col("outcomes_count"), F.col("auc")
     enough = n >= min_outcomes
     drift = auc < drift_auc
     return rated.select(
+        *keep,
         F.when(~enough, "insufficient_data").when(drift, "drift_detected").otherwise("no_drift").alias("status"),
         n,
         F.when(~enough, F.lit(min_outcomes)).alias("min_required"),
