@@ -1,6 +1,6 @@
 """Registered queries. Importing the package fills the registry."""
 
-from wardlight.catalog import encounters, hospital, learning, scoring
+from wardlight.catalog import encounters, growing, hospital, learning, scoring
 from wardlight.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "encounters", "hospital", "learning", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "encounters", "growing", "hospital", "learning", "scoring"]

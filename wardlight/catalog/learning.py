@@ -347,9 +347,9 @@ def _score_facts(data, scored):
 
 @query(_SCORE_FACTS, enc.ENC)
 def batch_score(spark, d):
-    """Batch scores of a fitted model: rows, decisions and bands that follow from the probability, and an area that finds the signal."""
+    """Batch scores of a fitted model, written and read back: rows, decisions and bands that follow from the probability, and an area that finds the signal."""
     data, names, _, _, _, model = _quick(spark, d)
-    return _score_facts(data, materialise(jobs.score_features(model, data, names, keep=IDS), "scores"))
+    return _score_facts(data, jobs.prediction_job(model, data, names, scratch_path(spark, "predictions"), keep=IDS))
 
 
 @query(enc._STEPS + " SELECT count(*) AS rows, sum(readmitted_30d)::BIGINT AS positives, TRUE AS decisions_follow, TRUE AS bands_follow, count(DISTINCT encounter_id) AS encounters FROM stayed", enc.ENC)

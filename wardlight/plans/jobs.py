@@ -136,6 +136,16 @@ def score_features(
     return scored.select(*columns)
 
 
+def prediction_job(
+    model: Transformer, features: DataFrame, contract: Sequence[str], output: str, keep: Sequence[str] = (),
+    label: str = fixed.LABEL, threshold: float = fixed.DECISION_THRESHOLD, kind: str = "parquet",
+) -> DataFrame:
+    """Score processed features, write the predictions and return the written table."""
+    writers.write_predictions(score_features(model, features, contract, keep, threshold, label), output, kind)
+    written = features.sparkSession.read.option("header", True) if kind == "csv" else features.sparkSession.read
+    return written.format(kind).load(output)
+
+
 def score_raw(
     model: Transformer, raw: DataFrame, contract: Sequence[str], stats: EncounterStats,
     order: Sequence[str | Column] = ("encounter_id",), keep: Sequence[str] = (), threshold: float = fixed.DECISION_THRESHOLD,

@@ -1,4 +1,4 @@
-"""Input and output schemas. Reading never infers types."""
+"""Input and output schemas. Readers take types from here; ``sources.inference`` is for files without a schema."""
 
 _ID, _TEXT, _INT, _NUM = "long", "string", "int", "double"
 
