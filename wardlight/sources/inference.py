@@ -29,19 +29,21 @@ def inferred_types(df: DataFrame, dates: bool = True, missing: Sequence[str] = (
     the values that each type can hold. Columns that are no text keep their type.
     """
     text = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
-    known = tokens_to_null(df.select(*[f"`{c}`" for c in text]))
-    known = known.replace(list(missing), None) if missing and text else known
-    counts = []
-    for i, c in enumerate(text):
-        value = F.col(f"`{c}`")
-        whole = F.when(value.rlike(WHOLE), F.trim(value)).try_cast("bigint")
-        counts += [F.count(value).alias(f"n{i}"), F.count(whole).alias(f"bigint{i}"), F.count(lenient_double(value)).alias(f"double{i}"),
-                   F.count(F.when(value.rlike(DAY), lenient_date(value))).alias(f"date{i}"), F.count(_time(value)).alias(f"timestamp{i}")]
-    row = known.agg(*counts).first() if text else None  # one row
+    found = {}
+    if text:
+        # One row for each cell: the counts of all columns are one small expression.
+        cells = tokens_to_null(df.select(*[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(text)]).unpivot([], [str(i) for i in range(len(text))], "at", "value"))
+        cells = cells.replace(list(missing), None, ["value"]) if missing else cells
+        value = F.col("value")
+        counted = cells.groupBy("at").agg(
+            F.count(value).alias("n"), F.count(F.when(value.rlike(WHOLE), F.trim(value)).try_cast("bigint")).alias("bigint"),
+            F.count(lenient_double(value)).alias("double"), F.count(F.when(value.rlike(DAY), lenient_date(value))).alias("date"),
+            F.count(_time(value)).alias("timestamp"))
+        found = {int(r["at"]): r for r in counted.collect()}  # one row for each column
     out = {f.name: f.dataType.simpleString() for f in df.schema}
     for i, c in enumerate(text):
-        n = row[f"n{i}"]
-        fits = [k for k in LATTICE[:-1] if n and row[f"{k}{i}"] == n and (dates or k not in ("date", "timestamp"))]
+        row = found.get(i)
+        fits = [k for k in LATTICE[:-1] if row and row["n"] and row[k] == row["n"] and (dates or k not in ("date", "timestamp"))]
         out[c] = fits[0] if fits else "string"
     return out
 
