@@ -38,8 +38,6 @@ def test_every_known_sign_is_treated_as_the_library_does():
     texts = [t for c in signs for t in (f"a{c}", f" {c}1", f"7{c}.", f"{c}'{c}", f"'s{c} 've{c}")]
     flat, lengths = enc.ids(pa.array(texts))
     assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [library(t) for t in texts]
-    enc.forget()
-    assert enc.ids(pa.array(texts))[0].tolist() == flat.tolist()
 
 
 @settings(max_examples=150, deadline=None)

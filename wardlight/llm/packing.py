@@ -78,7 +78,6 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.binary())],
                     ["doc_id", "start", "length", "loss", "doc_tokens", "ids"])
-        encode.forget()
 
     bears = F.col(loss_col).cast("bigint") if loss_col else F.lit(None).cast("bigint")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), bears.alias("bears"))

@@ -12,7 +12,6 @@ import os
 import re
 from array import array
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,6 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 8 << 20
 CACHED = 250_000
-PIECES = 50_000
 ENCODED_BYTES = 16 << 20
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = "\x01"
@@ -127,6 +125,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+class _Merged(dict):
+    """Ids of single pre-tokens as bytes, by the library's model alone."""
+
+    def __init__(self, tokenize: Callable):
+        self.tokenize = tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        tokens = self.tokenize(part.encode().decode("latin-1").translate(_BYTE_SIGNS))
+        value = self[part] = array("I", [t.id for t in tokens]).tobytes()
+        return value
+
+
 class Encoder:
     """Ids by the tokenizers library, special tokens inside texts as it treats them, none added."""
 
@@ -136,24 +146,23 @@ class Encoder:
 
         self.library = Tokenizer.from_str(tokenizer)
         self.pieces = Pieces(tokenizer)
-        self.cache, self.parts = Cache(PIECES), Cache()
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as bytes, where its parts are known from those of the parts."""
-        known = [p not in self.pieces.special and _KNOWN.fullmatch(p) is not None for p in pieces]
-        parts = [_PARTS.findall(p) for p, k in zip(pieces, known, strict=True) if k]
-        distinct = list(dict.fromkeys(chain.from_iterable(parts)))
-        ids = dict(zip(distinct, self.parts.values(distinct, self._merge), strict=True))
-        joined = iter([ids[x[0]] if len(x) == 1 else b"".join([ids[y] for y in x]) for x in parts])
-        rest = iter(self._through([p for p, k in zip(pieces, known, strict=True) if not k]))
-        return [next(joined) if k else next(rest) for k in known]
-
-    def _merge(self, parts: list[str]) -> list[bytes]:
-        """Ids of single pre-tokens, by the library's model alone."""
-        tokens = self.library.model.tokenize
-        return [array("I", [t.id for t in tokens(p.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes() for p in parts]
+        special, odd, match, split = set(self.pieces.special), [], _KNOWN.fullmatch, _PARTS.findall
+        out: list = [None] * len(pieces)
+        ids = _Merged(self.library.model.tokenize)
+        for k, p in enumerate(pieces):
+            if match(p) is None or p in special:
+                odd.append(k)
+            else:
+                parts = split(p)
+                out[k] = ids[p] if len(parts) == 1 else b"".join([ids[x] for x in parts])
+        for k, v in zip(odd, self._through([pieces[k] for k in odd]), strict=True):
+            out[k] = v
+        return out
 
     def _through(self, pieces: list[str]) -> list[bytes]:
         """Ids by the whole library. Pieces that a line break keeps apart go there in one string."""
@@ -172,11 +181,6 @@ class Encoder:
             out[k] = np.array(e.ids, np.uint32).tobytes()
         return out
 
-    def forget(self) -> None:
-        """Drop what was kept, so that a worker that is used again holds no more than its tables between tasks."""
-        self.cache, self.parts = Cache(PIECES), Cache()
-        pa.default_memory_pool().release_unused()
-
     def _alone(self, piece: str) -> bool:
         if not piece or "\n" in piece or piece[-1].isspace() or piece in self.pieces.special:
             return False
@@ -185,7 +189,7 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of each text."""
         distinct, index, ends = self.pieces.cut(texts)
-        values = self.cache.values(distinct, self._encode)
+        values = self._encode(distinct)
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         flat = np.frombuffer(b"".join(values), np.uint32)
         sizes = lengths[index]

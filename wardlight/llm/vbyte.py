@@ -81,7 +81,6 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
                 rows = [squeeze.compress(_narrow(np.append(flat[e - n:e], end_id)))
                         for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, number), pa.array(rows, pa.binary())], ["doc_id", "ids"])
-        encode_texts.forget()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids binary")
