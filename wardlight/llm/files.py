@@ -9,11 +9,18 @@ from urllib.parse import unquote
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full address of a path as Spark resolves it: a bare one lies in the cluster's default file system, not on each machine."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return target.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
 
 
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a ``file:``, ``hdfs:``, ``s3:`` ... address; a bare path is a mounted one."""
+    """File system and path of a ``file:``, ``hdfs:``, ``s3:`` ... address; tasks get addresses that are ``qualified``."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), unquote("/" + uri[len("file:"):].lstrip("/"))
     if "://" not in uri:

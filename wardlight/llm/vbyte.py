@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.files import locate
+from wardlight.llm.files import locate, qualified
 from wardlight.llm.tokens import ENCODED_BYTES, encoder, slices
 from wardlight.session import materialise, scratch_path
 
@@ -123,7 +123,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     is one file, written under a name of its own by each attempt of a task, and only files in the manifest count.
     """
     spark = docs.sparkSession
-    folder = folder or scratch_path(spark, "token-files")
+    folder = qualified(spark, folder or scratch_path(spark, "token-files"))
     tokens = materialise(tokenise(docs, tokenizer, end_id, id_col, text_col), "tokens")
     counts = sorted((-r.n, r.id) for r in frequencies(tokens).collect())
     by_rank = [i for _, i in counts]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import text_bytes
-from wardlight.llm.files import locate, table_files
+from wardlight.llm.files import locate, qualified, table_files
 from wardlight.session import materialise, scratch_path
 
 MIN_REVISIT = 100
@@ -121,14 +121,20 @@ def marked_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Of pages with equal payloads of at least ``min_revisit`` bytes the smallest id is the
     response. Rows that repeat that id are responses too; a null id is never the
     smallest unless there is no other, and then all are responses.
+
+    Only ids and digests are grouped. What comes back to the pages is one narrow row for each revisit, by
+    id and digest, so the pages of one payload share no key, and where revisits are few Spark broadcasts
+    them by its own size check and no payload moves.
     """
     payload = text_bytes(html_col)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"),
                         F.sha2(payload, 256).alias("digest"))
-    same = rows.select("page_id", "digest", F.octet_length("payload").alias("n")).filter(F.col("n") >= min_revisit)
-    same = same.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("digest", "first")
-    out = rows.join(same, "digest", "left")
-    return out.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+    long = rows.filter(F.octet_length("payload") >= min_revisit).select("page_id", F.unhex("digest").alias("hash"))
+    ids = materialise(long.groupBy("hash", "page_id").agg(F.count("*").alias("rows")), "payload-ids")
+    first = ids.groupBy("hash").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("hash", "refers_to")
+    again = ids.join(first, "hash").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    again = materialise(again.select(F.col("page_id").alias("again_id"), "hash", "refers_to"), "revisits")
+    return rows.join(again, (F.unhex("digest") == F.col("hash")) & F.col("page_id").eqNullSafe(F.col("again_id")), "left").drop("hash", "again_id")
 
 
 def write_archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -142,7 +148,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     own for each attempt of a task, and only files named by the tables count.
     """
     spark = pages.sparkSession
-    folder = (folder or scratch_path(spark, "warc")).rstrip("/")
+    folder = qualified(spark, folder or scratch_path(spark, "warc")).rstrip("/")
     capture = [("page_id", pa.int64()), ("sort_key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("kind", pa.string())]
     block = [("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())]
 
