@@ -1,4 +1,5 @@
 import random
+import time
 
 from tests.llm.test_tokens import FILE, LIBRARY, ODD, library
 from wardlight.llm import merges, queries
@@ -15,6 +16,23 @@ def test_symbols_left_of_pre_tokens():
     assert got.tolist() == [len(library(w)) for w in words] + [0]
 
 
+def test_one_by_one_and_together_leave_the_same_symbols():
+    rnd, count = random.Random(3), merges.Merges(FILE)
+    for letters in ("ab", "aé日х", "etaoinshr", "abcdefghijklmnopqrstuvwxyz"):
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 200))) for _ in range(60)]
+        raw = [w.encode() for w in words]
+        assert count.counts(raw, long=0).tolist() == count.counts(raw).tolist() == [len(library(w)) for w in words]
+
+
+def test_a_long_run_of_many_letters():
+    rnd = random.Random(5)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ACGT", "x"):
+        word = "".join(rnd.choice(letters) for _ in range(1_000_000))
+        start = time.process_time()
+        assert merges.Merges(FILE).counts([word.encode()]).tolist() == [len(library(word))]
+        assert time.process_time() - start < 15
+
+
 def test_nulls_long_and_odd_texts(spark):
     rows = [(k, t) for k, t in enumerate(ODD)] + [(None, "a"), (7, None), (7, None), (8, "x" * 20_000), (9, "word " * 100_000)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n_tokens string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from wardlight.llm.tokens import Cache, Pieces, slices
 
 LIMIT = 512
+LONG = 2048
+BAND = 64
 # Fixed value: how byte-level tokenizers of this family split text before merging.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,7 +49,101 @@ class Merges:
         self.split = regex.compile(PRE_TOKENS)
         self.cache = Cache()
 
-    def counts(self, pre_tokens: list[bytes]) -> np.ndarray:
+    def counts(self, pre_tokens: list[bytes], long: int = LONG) -> np.ndarray:
+        """Symbols that are left of each pre-token.
+
+        Up to ``long`` bytes they are held together, so that a round serves them all; a
+        longer one has so many rounds that each must touch its own places only. Both
+        merge every place of the lowest rank at once and leave the same symbols.
+        """
+        out = np.zeros(len(pre_tokens), np.int64)
+        short = [k for k, p in enumerate(pre_tokens) if len(p) <= long]
+        out[short] = self._together([pre_tokens[k] for k in short])
+        for k, p in enumerate(pre_tokens):
+            if len(p) > long:
+                out[k] = self._alone(p)
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left * self.base + right
+        found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[found] == keys, self.ranks[found], self.none)
+
+    def _alone(self, pre_token: bytes) -> int:
+        """Symbols that are left of one pre-token, its places kept by rank.
+
+        Symbols form a chain. Places wait in bands of ``BAND`` ranks; the lowest band is
+        opened, its places are sorted by rank, and each round takes those of the lowest one. Only the pairs
+        next to a merged place get a new rank, and wait under it.
+        """
+        n = len(pre_token)
+        # Place n is the end of the chain and stands before its start, too; it pairs with nothing.
+        symbols = np.append(self.first[np.frombuffer(pre_token, np.uint8)], self.base)
+        after = np.append(np.arange(1, n + 1), n)
+        before = np.append(np.arange(-1, n - 1), n)
+        before[0] = n
+        rank = np.full(n + 1, self.none)
+        rank[:n - 1] = self._ranks(symbols[:n - 1], symbols[1:n])
+        bands: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            band = rank[places] // BAND
+            order = np.argsort(band, kind="stable")
+            band, places = band[order], places[order]
+            cuts = np.flatnonzero(band[1:] != band[:-1]) + 1
+            firsts = [0, *cuts.tolist()]
+            for first, end, b in zip(firsts, [*firsts[1:], len(places)], band[firsts].tolist(), strict=True):
+                if b not in bands:
+                    bands[b] = []
+                    heappush(waiting, b)
+                bands[b].append(places[first:end])
+
+        known = np.flatnonzero(rank < self.none)
+        if len(known):
+            put(known)
+        while waiting:
+            band = heappop(waiting)
+            held = np.concatenate(bands.pop(band))
+            while len(held):
+                here = rank[held]
+                held = held[(here // BAND == band) & (here < self.none)]  # the others have merged or wait elsewhere
+                if not len(held):
+                    break
+                here = rank[held]
+                least = here.min()
+                places = np.unique(held[here == least])
+                held = held[here != least]
+                # Neighbouring places of one pair overlap: every second one of a run, from its first.
+                opens = np.append(True, after[places[:-1]] != places[1:])
+                at = np.arange(len(places))
+                places = places[(at - np.maximum.accumulate(np.where(opens, at, 0))) % 2 == 0]
+                gone = after[places]
+                nexts = after[gone]
+                symbols[places] = self.merged[least]
+                rank[gone] = self.none
+                n -= len(places)
+                after[places] = nexts
+                before[nexts] = places
+                before[-1] = after[-1] = len(rank) - 1
+                changed = np.concatenate([places, before[places]])
+                changed = changed[changed != len(rank) - 1]
+                new = self._ranks(symbols[changed], symbols[after[changed]])
+                rank[changed] = new
+                changed = changed[new < self.none]
+                new = rank[changed] // BAND
+                lower = bool((new < band).any())
+                if len(changed):
+                    held = np.concatenate([held, changed[new == band]])
+                    if (new != band).any():
+                        put(changed[new != band])
+                if lower:  # a pair of a lower band first
+                    break
+            if len(held):
+                put(held)
+        return n
+
+    def _together(self, pre_tokens: list[bytes]) -> np.ndarray:
         """Symbols that are left of each pre-token.
 
         All are held as one flat array of symbols. In each round every sequence looks up
@@ -61,9 +158,7 @@ class Merges:
         symbols = self.first[np.frombuffer(b"".join(pre_tokens), np.uint8)]
         while len(owner):
             ends = np.cumsum(sizes)
-            keys = symbols[:-1] * self.base + symbols[1:]
-            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            rank = np.append(np.where(self.keys[found] == keys, self.ranks[found], self.none), self.none)
+            rank = np.append(self._ranks(symbols[:-1], symbols[1:]), self.none)
             rank[ends - 1] = self.none  # no pair across two sequences
             least = np.minimum.reduceat(rank, ends - sizes)
             chosen = (rank == np.repeat(least, sizes)) & (rank < self.none)
