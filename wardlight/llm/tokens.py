@@ -2,7 +2,8 @@
 
 A byte-level pre-tokenizer never joins what stands before a space or line break that
 follows a visible character with what stands after it. Texts are cut there, and each
-distinct piece of a batch goes through the tokenizer once.
+distinct piece of a batch goes through the tokenizer once. Texts of well-known characters are parted
+as the pre-tokenizer does, and each distinct part is merged once.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ CACHED = 250_000
 ENCODED_BYTES = 16 << 20
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = "\x01"
-# Letters that every version of the Unicode tables knows as such, and the signs of ASCII: pieces of these alone are parted
-# as the byte-level pre-tokenizer parts them. Any other piece goes through the whole library.
-_KNOWN = re.compile(" ?[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f]+")
+# Letters that every version of the Unicode tables knows as such. Texts of these, the signs of ASCII and plain white space are parted
+# as the byte-level pre-tokenizer parts them. Any other text goes through the whole library.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f"
-_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ {_LETTER}0-9]+")
+_OTHER = "[^\\t-\\r -~" + _LETTER.removeprefix("A-Za-z") + "]"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\t-\r {_LETTER}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_BREAK = re.compile(r"(?<=[!-~])(?= [!-~])")
+_RUN = 1 << 18
+_KEPT = 64
 _PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 
 
@@ -48,6 +52,11 @@ def _byte_signs() -> dict[int, int]:
 _BYTE_SIGNS = _byte_signs()
 
 
+def _literal(text: str) -> str:
+    """A pattern for exactly this text."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
 class Pieces:
     """Cuts texts for one tokenizer, given as the content of its JSON file."""
 
@@ -126,14 +135,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class _Merged(dict):
-    """Ids of single pre-tokens as bytes, by the library's model alone."""
+    """Ids of single pre-tokens as bytes, by the library's model alone; long ones are not kept."""
 
     def __init__(self, tokenize: Callable):
         self.tokenize = tokenize
 
     def __missing__(self, part: str) -> bytes:
         tokens = self.tokenize(part.encode().decode("latin-1").translate(_BYTE_SIGNS))
-        value = self[part] = array("I", [t.id for t in tokens]).tobytes()
+        value = array("I", [t.id for t in tokens]).tobytes()
+        if len(part) <= _KEPT:
+            self[part] = value
         return value
 
 
@@ -149,20 +160,17 @@ class Encoder:
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as bytes, where its parts are known from those of the parts."""
-        special, odd, match, split = set(self.pieces.special), [], _KNOWN.fullmatch, _PARTS.findall
-        out: list = [None] * len(pieces)
-        ids = _Merged(self.library.model.tokenize)
-        for k, p in enumerate(pieces):
-            if match(p) is None or p in special:
-                odd.append(k)
-            else:
-                parts = split(p)
-                out[k] = ids[p] if len(parts) == 1 else b"".join([ids[x] for x in parts])
-        for k, v in zip(odd, self._through([pieces[k] for k in odd]), strict=True):
-            out[k] = v
-        return out
+    def _by_parts(self, text: str, ids: _Merged) -> bytes:
+        """Ids of a text of known characters, in runs that end between two pre-tokens."""
+        if len(text) <= _RUN:
+            return b"".join(map(ids.__getitem__, _PARTS.findall(text)))
+        out, at = [], 0
+        while at < len(text):
+            end = _BREAK.search(text, at + _RUN)
+            run = text[at:end.start() if end else len(text)]
+            out.append(b"".join(map(ids.__getitem__, _PARTS.findall(run))))
+            at += len(run)
+        return b"".join(out)
 
     def _through(self, pieces: list[str]) -> list[bytes]:
         """Ids by the whole library. Pieces that a line break keeps apart go there in one string."""
@@ -186,17 +194,26 @@ class Encoder:
             return False
         return not piece[0].isspace() or (piece[0] == " " and len(piece) > 1 and not piece[1].isspace())
 
+    def _by_pieces(self, texts: pa.Array) -> list[bytes]:
+        distinct, index, ends = self.pieces.cut(texts)
+        values = self._through(distinct)
+        index, starts = index.tolist(), np.concatenate([[0], ends[:-1]]).tolist()
+        return [b"".join([values[k] for k in index[a:b]]) for a, b in zip(starts, ends.tolist(), strict=True)]
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of each text."""
-        distinct, index, ends = self.pieces.cut(texts)
-        values = self._encode(distinct)
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        upto = np.concatenate([[0], np.cumsum(lengths[index])])
-        # Joined as they stand: a gather by places would need three times the room.
-        held = np.empty(len(values), object)
-        held[:] = values
-        ids = np.frombuffer(b"".join(held[index].tolist()), np.uint32)
-        return ids, np.diff(np.concatenate([[0], upto[ends]]))
+        odd = pc.match_substring_regex(texts, "|".join([_OTHER, *map(_literal, self.pieces.special)]))
+        merged = _Merged(self.library.model.tokenize)
+        out: list = []
+        for text, other in zip(texts, odd.to_pylist(), strict=True):
+            out.append(None if other else self._by_parts(text.as_py(), merged))
+            if len(merged) > CACHED:
+                merged.clear()
+        if None in out:
+            rest = iter(self._by_pieces(texts.filter(odd)))
+            out = [next(rest) if v is None else v for v in out]
+        lengths = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        return np.frombuffer(b"".join(out), np.uint32), lengths
 
 
 _encoders: dict[str, Encoder] = {}
