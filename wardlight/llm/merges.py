@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import frugal
 from wardlight.llm.tokens import Cache, Pieces, slices
 
 LIMIT = 512
@@ -224,5 +225,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     text = F.coalesce(text_col, F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
+    found = rows.mapInArrow(frugal(run), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)

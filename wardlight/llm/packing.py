@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import frugal
 from wardlight.llm.tokens import encoder, slices
 from wardlight.session import materialise
 
@@ -81,7 +82,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int
 
     bears = F.col(loss_col).cast("bigint") if loss_col else F.lit(None).cast("bigint")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), bears.alias("bears"))
-    return rows.mapInArrow(run, "doc_id bigint, start bigint, length bigint, loss bigint, doc_tokens bigint, ids binary")
+    return rows.mapInArrow(frugal(run), "doc_id bigint, start bigint, length bigint, loss bigint, doc_tokens bigint, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = TOKENS, max_segments: int = SEGMENTS,

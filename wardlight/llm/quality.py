@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import text_bytes
+from wardlight.llm.common import frugal, text_bytes
 
 THRESHOLD = 0.7
 MAX_POSITIVE = 20_000
@@ -198,7 +198,7 @@ def _sample_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str
 
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes")).join(F.broadcast(ids), "id")
     rows = rows.select(F.struct("id").alias("key"), F.xxhash64("bytes").alias("hash"), "bytes")
-    found = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, hash long, x array<double>")
+    found = rows.mapInArrow(frugal(run), f"key {rows.schema['key'].dataType.simpleString()}, hash long, x array<double>")
     # Partial aggregates leave at most one row of an id in each task.
     found = found.groupBy("key.id").agg(F.min_by("x", "hash").alias("x")).select(F.xxhash64("id").alias("place"), "x").collect()
     return np.array([r.x for r in sorted(found, key=lambda r: (r.place, r.x))], float).reshape(-1, len(FEATURES))
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(raw), pa.float64())], ["row", "score"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), text_bytes(text_col).alias("bytes"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(frugal(run), f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

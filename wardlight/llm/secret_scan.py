@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import text_bytes
+from wardlight.llm.common import frugal, text_bytes
 from wardlight.session import scratch_path
 
 THRESHOLD = 0.5
@@ -460,7 +460,7 @@ def scan(docs: DataFrame, forest: Forest, carry: list[str] | None = None, text_c
 
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), text_bytes(text_col).alias("bytes"), path.alias("path"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, "
+    return rows.mapInArrow(frugal(run), f"row {rows.schema['row'].dataType.simpleString()}, "
                                 "findings array<struct<start: bigint, end: bigint, value: string, probability: double>>")
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import components, text_bytes
+from wardlight.llm.common import components, frugal, text_bytes
 from wardlight.session import materialise
 
 BITS = 64
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["id", "hash", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), text_bytes(text_col).alias("bytes"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, fp bigint")
+    return rows.mapInArrow(frugal(run), f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, fp bigint")
 
 
 def _signed(value: int) -> int:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import text_bytes
+from wardlight.llm.common import frugal, text_bytes
 from wardlight.llm.files import read_blocks, table_files
 from wardlight.session import materialise
 
@@ -231,7 +231,7 @@ def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", carry: l
                 at += len(texts)
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), text_bytes(text_col).alias("bytes"))
-    found = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_words bigint, n_hit bigint, "
+    found = rows.mapInArrow(frugal(run), f"row {rows.schema['row'].dataType.simpleString()}, n_words bigint, n_hit bigint, "
                                  f"items array<string>, matches {_MATCH}")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words")))
 

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import frugal
 from wardlight.llm.files import locate, qualified
 from wardlight.llm.tokens import ENCODED_BYTES, encoder, slices
 from wardlight.session import materialise, scratch_path
@@ -83,7 +84,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, number), pa.array(rows, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, ids binary")
+    return rows.mapInArrow(frugal(run), "doc_id bigint, ids binary")
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -109,7 +110,7 @@ def frequencies(tokens: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(frugal(run), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id",
@@ -166,7 +167,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
                                          ["part", "file", "at", "size", "within", "count"])
 
     ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    blocks = ordered.select("doc_id", "ids").mapInArrow(run, "part bigint, file string, at bigint, size bigint, within bigint, count bigint")
+    blocks = ordered.select("doc_id", "ids").mapInArrow(frugal(run), "part bigint, file string, at bigint, size bigint, within bigint, count bigint")
     blocks = materialise(blocks, "token-blocks")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     offsets = blocks.groupBy("part").agg(F.sum("count").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -192,5 +193,5 @@ def read_tokens(manifest: DataFrame, by_rank: list[int]) -> DataFrame:
                     pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     blocks = manifest.repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4)
-    return blocks.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return blocks.mapInArrow(frugal(run), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
