@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -39,31 +40,32 @@ class _Suffixes:
     def __init__(self, names: list[str | None], texts: list[bytes], window: int):
         self.vocabulary: dict[bytes, int] = {}
         self.names = names
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int64)
-                      for t in texts]
-        lengths = [min(window, len(i)) for i in self.items]
+        items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int64) for t in texts]
+        self.words = np.concatenate(items) if items else np.zeros(0, np.int64)
+        self.ends = np.cumsum([len(i) for i in items], dtype=np.int64)
+        lengths = [min(window, len(i)) for i in items]
         self.width = max(lengths, default=0)
         self.shortest = min((n for n in lengths if n), default=0)
         if not self.width:
             return
-        starts = [(k, s) for k, n in enumerate(lengths) if n for s in range(len(self.items[k]) - n + 1)]
+        starts = np.array([(k, s, n) for k, n in enumerate(lengths) if n for s in range(len(items[k]) - n + 1)], np.int64)
         matrix = np.zeros((len(starts), self.width), ">u4")
-        for row, (k, s) in enumerate(starts):
-            part = self.items[k][s:s + lengths[k]]
-            matrix[row, :len(part)] = part
+        for row, (k, s, n) in enumerate(starts.tolist()):
+            matrix[row, :n] = items[k][s:s + n]
         keys = _keys(matrix)
         order = np.argsort(keys, kind="stable")
         first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
         rows = order[first]
         self.low = keys[rows]
-        self.lengths = np.array([lengths[starts[r][0]] for r in rows])
+        self.lengths = starts[rows, 2]
         top = matrix[rows]
         top[np.arange(self.width) >= self.lengths[:, None]] = 0xFFFFFFFF
         self.high = _keys(top)
-        groups = np.split(order, np.flatnonzero(first)[1:])
-        self.starts = [[starts[r] for r in g] for g in groups]
+        self.starts = starts[order, :2]
+        self.groups = np.append(np.flatnonzero(first), len(order))
         self.opening = min(3, self.shortest)
-        self.openings = np.unique(self._open(matrix[:, :self.opening].astype(np.int64)))
+        self.opens = self._open(matrix[rows, :self.opening].astype(np.int64))
+        self.openings = np.unique(self.opens)
 
     def _open(self, columns: np.ndarray) -> np.ndarray:
         """One number for the first words of each row (up to three of at most 2^21 ids)."""
@@ -72,17 +74,13 @@ class _Suffixes:
             out = (out << 21) | (columns[:, c] & 0x1FFFFF)
         return out
 
-    def encode(self, text: bytes) -> np.ndarray:
-        """Word ids of a document, read in pieces that end between words."""
-        parts, at = [], 0
-        while at < len(text):
-            end = at + _PIECE
-            while end < len(text) and _SEPARATORS[text[end] | 0x20 if 0x41 <= text[end] <= 0x5A else text[end]] != 0x20:
-                end += 1
-            words = words_of(text[at:end])
-            parts.append(np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words)))
-            at = end
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    def encode(self, distinct: list[bytes]) -> np.ndarray:
+        """Word ids of a shard's distinct words."""
+        return np.fromiter(map(self.vocabulary.get, distinct, repeat(0)), np.int64, len(distinct))
+
+    def starts_of(self, window: int) -> list[list[int]]:
+        """Items and places in them where a window starts."""
+        return self.starts[self.groups[window]:self.groups[window + 1]].tolist()
 
     def search(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ``(window, position)`` with the window's words at that position of a shard.
@@ -98,7 +96,9 @@ class _Suffixes:
         unknown = np.where(ids == 0, places, len(ids))
         stop = np.minimum(np.minimum.accumulate(unknown[::-1])[::-1], ends)
         at = places[stop - places >= self.shortest]
-        at = at[np.isin(self._open(ids[at[:, None] + np.arange(self.opening)]), self.openings)]
+        opens = self._open(ids[at[:, None] + np.arange(self.opening)])
+        known = np.isin(opens, self.openings)
+        at, opens = at[known], opens[known]
         if not len(at):
             return none, none
         reach = at[:, None] + np.arange(self.width)
@@ -106,11 +106,12 @@ class _Suffixes:
         keys = _keys(columns.astype(">u4"))
         array = np.argsort(keys, kind="stable")
         keys = keys[array]
-        left, right = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
+        near = np.flatnonzero(np.isin(self.opens, opens))  # no other window opens anywhere in the shard
+        left, right = np.searchsorted(keys, self.low[near], "left"), np.searchsorted(keys, self.high[near], "right")
         found = np.flatnonzero(right > left)
         sizes = (right - left)[found]
         offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return np.repeat(found, sizes), at[array[np.repeat(left[found], sizes) + offsets]]
+        return np.repeat(near[found], sizes), at[array[np.repeat(left[found], sizes) + offsets]]
 
     def matches(self, windows: np.ndarray, places: np.ndarray, doc: np.ndarray) -> list[dict]:
         """For each item the longest verbatim match at each place, in ascending order, that reaches beyond those before it."""
@@ -120,7 +121,7 @@ class _Suffixes:
             at, best = places[k], {}
             while k < len(places) and places[k] == at:
                 reach = at + int(self.lengths[windows[k]])
-                for item, start in self.starts[windows[k]]:
+                for item, start in self.starts_of(windows[k]):
                     if reach > covered.get(item, 0):
                         n = self._common(item, start, doc, at)
                         if n > best.get(item, (0, 0))[0]:
@@ -133,7 +134,7 @@ class _Suffixes:
 
     def _common(self, item: int, start: int, doc: np.ndarray, at: int) -> int:
         """Words that an item and a document share from these places on."""
-        a = self.items[item][start:]
+        a = self.words[start + (self.ends[item - 1] if item else 0):self.ends[item]]
         b = doc[at:at + len(a)]
         other = np.flatnonzero(a[:len(b)] != b)
         return int(other[0]) if len(other) else len(b)
@@ -143,33 +144,62 @@ def _keys(matrix: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(matrix).view(f"S{matrix.shape[1] * 4}").ravel()
 
 
-def _blocks(uris: list[str], window: int, block_items: int, held: list) -> Iterator[_Suffixes]:
+def _build(items: DataFrame, window: int, block_items: int) -> DataFrame:
+    """The benchmark in blocks of about ``block_items`` items, their windows sorted once: a written table with one row per block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, pa.schema([("name", pa.string()), ("bytes", pa.binary())]))
+        if rows.num_rows:
+            block = _Suffixes(rows.column(0).to_pylist(), rows.column(1).to_pylist(), window)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, 5)], pa.binary())], ["block"])
+
+    parts = max(1, -(-items.count() // block_items))
+    return materialise(items.repartition(parts).mapInArrow(frugal(run), "block binary"), "benchmark-blocks")
+
+
+def _blocks(uris: list[str], held: list) -> Iterator[_Suffixes]:
     """The benchmark block by block; a benchmark of a single block stays in memory for the next shard."""
     if held:
         yield from held
         return
     blocks = 0
-    for batch in read_blocks(uris, block_items):
-        if batch.num_rows:
-            blocks += 1
-            block = _Suffixes(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window)
-            yield block
+    for batch in read_blocks(uris, 1):
+        blocks += 1
+        block = pickle.loads(batch.column(0)[0].as_py())
+        yield block
     if blocks == 1:
         held.append(block)
 
 
+def _parse(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, list[int]]:
+    """Distinct words of a shard, the number of the word at each place, words of each text; texts are read in pieces that end between words."""
+    numbers: dict[bytes, int] = {}
+    parts, counts = [], []
+    for text in texts:
+        at, count = 0, 0
+        while at < len(text):
+            end = at + _PIECE
+            while end < len(text) and _SEPARATORS[text[end] | 0x20 if 0x41 <= text[end] <= 0x5A else text[end]] != 0x20:
+                end += 1
+            words = words_of(text[at:end])
+            for w in set(words).difference(numbers):
+                numbers[w] = len(numbers)
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            at, count = end, count + len(words)
+        counts.append(count)
+    return list(numbers), np.concatenate(parts) if parts else np.zeros(0, np.int64), counts
+
+
 def _shard(texts: list[bytes], blocks: Iterator[_Suffixes]) -> tuple[list[int], list[int], list[set], list[list[dict]]]:
     """For each text: words, words inside matches, names of matching items, longest matches."""
-    counts, hits = [], None
     names: list[set] = [set() for _ in texts]
     spans: list[list[dict]] = [[] for _ in texts]
+    distinct, words, counts = _parse(texts)
+    starts = np.cumsum(counts) - counts
+    stops = np.repeat(starts + counts, counts)
+    hits = np.zeros(len(words) + 1, np.int64)
     for block in blocks:
-        docs = [block.encode(t) for t in texts]
-        counts = [len(d) for d in docs]
-        ids = np.concatenate(docs)
-        starts = np.cumsum(counts) - counts
-        hits = np.zeros(len(ids) + 1, np.int64) if hits is None else hits
-        window, place = block.search(ids, np.repeat(starts + counts, counts))
+        ids = block.encode(distinct)[words]
+        window, place = block.search(ids, stops)
         if not len(place):
             continue
         np.add.at(hits, place, 1)
@@ -180,10 +210,8 @@ def _shard(texts: list[bytes], blocks: Iterator[_Suffixes]) -> tuple[list[int],
         cuts = np.flatnonzero(np.diff(owner)) + 1
         for w, p in zip(np.split(window, cuts), np.split(place, cuts), strict=True):
             d = int(np.searchsorted(starts, p[0], "right") - 1)
-            names[d].update(block.names[item] for k in np.unique(w).tolist() for item, _ in block.starts[k])
-            spans[d] += block.matches(w, p - starts[d], docs[d])
-    if hits is None:
-        return [len(words_of(t)) for t in texts], [0] * len(texts), names, spans
+            names[d].update(block.names[item] for k in np.unique(w).tolist() for item, _ in block.starts_of(k))
+            spans[d] += block.matches(w, p - starts[d], ids[starts[d]:starts[d] + counts[d]])
     inside = np.cumsum(hits)[:-1] > 0
     total = np.concatenate([[0], np.cumsum(inside)])
     ends = np.cumsum(counts)
@@ -203,15 +231,15 @@ def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", carry: l
 
     Documents are cut into shards of ``shard_bytes`` where they lie; nothing is shuffled.
     Each shard's suffix array holds the places whose first words open a window, in order of ``window`` words, and is searched with
-    all distinct windows of the benchmark (of an item with fewer words, the whole item), which tasks
-    read from the shared folder in blocks of ``block_items``. Matches shorter than that are not looked for. Null texts have no words;
+    all distinct windows of the benchmark (of an item with fewer words, the whole item). These are sorted once, in blocks of
+    ``block_items``, which tasks read from the shared folder. Matches shorter than that are not looked for. Null texts have no words;
     an item without words has no window; windows of an item with a null id count
     but it is not listed; repeated rows are separate rows.
     """
     carry = docs.columns if carry is None else carry
     written = materialise(items.select(F.col(item_id_col).cast("string").alias("name"),
                                        text_bytes(item_text_col).alias("bytes")).filter("octet_length(bytes) > 0"), "benchmark")
-    uris = table_files(written)
+    uris = table_files(_build(written, window, block_items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[_Suffixes] = []
@@ -222,7 +250,7 @@ def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", carry: l
                 while at + len(texts) < batch.num_rows and (size < shard_bytes or not texts):
                     texts.append(batch.column(1)[at + len(texts)].as_py())
                     size += len(texts[-1])
-                words, hit, names, spans = _shard(texts, _blocks(uris, window, block_items, held))
+                words, hit, names, spans = _shard(texts, _blocks(uris, held))
                 listed = [sorted(n for n in found if n is not None) for found in names]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(texts)), pa.array(words, pa.int64()), pa.array(hit, pa.int64()),
