@@ -36,6 +36,26 @@ def test_clean_keeps_first_row_in_the_given_order(raw):
     assert not {"weight", "ndc_code", "payer_code", "readmitted"} & set(rows[1].asDict())
 
 
+def test_clean_deals_wide_rows_before_it_sorts_them(raw, monkeypatch):
+    df = e.encode_target(raw(*[{"encounter_id": None if i % 5 == 0 else i % 5 // 2, "num_medications": i} for i in range(40)]))
+    want = [(-1, 0), (0, 1), (1, 2), (2, 4)]
+    found = lambda d: sorted((-1 if r["encounter_id"] is None else r["encounter_id"], r["num_medications"]) for r in d.collect())
+
+    def steps(cleaned):
+        plan = plan_of(cleaned)
+        return [n for n in ("REBALANCE_PARTITIONS_BY_COL", "ENSURE_REQUIREMENTS", "WindowGroupLimit") if n in plan[plan.index("Physical Plan"):]]
+
+    dealt = e.clean_encounters(df, ["num_medications"])
+    assert steps(dealt) == ["REBALANCE_PARTITIONS_BY_COL", "WindowGroupLimit"] and found(dealt) == want
+    # Encounters of many rows, and rows without one, are pruned before they travel.
+    few = e.frequent_values
+    assert few(df, "encounter_id", 9) == [1] and set(few(df, "encounter_id", 7)) == {None, 0, 1, 2}
+    for rows in (9, 7):
+        monkeypatch.setattr(e, "frequent_values", lambda d, c, rows=rows: few(d, c, rows))
+        pruned = e.clean_encounters(df, ["num_medications"])
+        assert found(pruned) == want and "ENSURE_REQUIREMENTS" in steps(pruned)
+
+
 def test_null_parts_make_totals_null_and_flags_zero(raw):
     df = raw({"number_outpatient": None}, {"number_emergency": 3})
     got = [r.asDict() for r in e.utilisation_features(df, 1.0).orderBy("encounter_id").collect()]
