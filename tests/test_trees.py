@@ -132,6 +132,23 @@ def test_blocks_do_not_change_the_trees(rows):
                     assert (getattr(a, field) == getattr(b, field)).all()
 
 
+def test_margins_are_written_seldom(rows, monkeypatch):
+    layout = t.fit_layout(rows, NAMES)
+    blocks, number = t.to_blocks(rows, layout, "y", ["id"], "fold", 64)
+    names, kept = [], t.materialise
+    monkeypatch.setattr(t, "materialise", lambda df, name, folder=None: names.append(name) or kept(df, name, folder))
+    first = t.grow(FITS, blocks, number, layout).trees
+    assert "margins" not in names
+    # Written twice, and with one tree of the forest at a time, the trees are the same.
+    monkeypatch.setattr(t, "MARGIN_TREES", 2)
+    monkeypatch.setattr(t, "OPEN_BYTES", 1)
+    again = t.grow(FITS, blocks, number, layout).trees
+    assert names.count("margins") == 2
+    for name in FITS:
+        for a, b in zip(first[name], again[name], strict=True):
+            assert all((getattr(a, c) == getattr(b, c)).all() for c in ("feature", "threshold", "left", "right", "value", "cover"))
+
+
 def test_odd_tables(spark, rows):
     for some in (rows.filter("y = 1"), rows.limit(1), rows.withColumn("a", F.lit(1.0)).select("id", "a", "y")):
         names = [n for n in NAMES if n in some.columns]
