@@ -19,7 +19,7 @@ KEY = re.compile(r'(?i)(?<=token = ")[0-9a-f]{40}(?=")')
 
 def test_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in entry.oracle_sql()
-    assert len([n for n in entry.queries() if re.match(r"op\d+_", n)]) == 10
+    assert len([n for n in entry.queries() if re.match(r"op\d+_", n)]) == 13
 
 
 def test_run_agrees_with_brute_force(spark):
