@@ -119,3 +119,15 @@ def test_label_distribution_and_rate(raw):
     df = e.encode_target(raw({}, {"readmitted": ">30"}, {"readmitted": ">30"}))
     assert [tuple(r) for r in e.label_distribution(df).collect()] == [(1, 2), (0, 1)]
     assert e.positive_rate(df).first()[0] == pytest.approx(2 / 3)
+
+
+def test_clean_deals_rows_by_their_number(raw, monkeypatch):
+    # Partitions follow the rows, not a setting, and stay few enough to be written without a sort.
+    df = e.encode_target(raw(*[{"encounter_id": i // 2, "num_medications": i} for i in range(40)]))
+    for rows, limit, parts in ((100_000, 200, 1), (8, 200, 5), (1, 6, 6)):
+        monkeypatch.setattr(e, "DEALT_ROWS", rows)
+        monkeypatch.setattr(e, "DEALT_PARTS", limit)
+        cleaned = e.clean_encounters(df, ["num_medications"])
+        plan = plan_of(cleaned)
+        assert f", {parts}), REBALANCE_PARTITIONS_BY_COL" in plan
+        assert sorted((r["encounter_id"], r["num_medications"]) for r in cleaned.collect()) == [(i, 2 * i) for i in range(20)]
