@@ -273,3 +273,30 @@ def test_density_is_one():
     x = (np.arange(20_000) + 0.5) / 20_000
     assert np.mean([d.at(v) for v in x]) == pytest.approx(1.0, abs=1e-3)
     assert 0 <= d.draw(Random(1)) <= 1
+
+
+def test_features_of_few_bins_are_counted_together():
+    rng = np.random.default_rng(3)
+    n, sizes = 500, [2, 2, 3, 2, 300, 2, 4, 1, 2]
+    layout = t.Layout([f"f{k}" for k in range(len(sizes))], [np.arange(s - 1.0) for s in sizes])
+    assert layout.groups == [(0, 4), (4, 5), (5, 9)]
+    bins = layout.bin([rng.integers(0, s, n).astype(float) for s in sizes])
+    g, h, slot = rng.integers(-9, 9, n).astype(float), rng.integers(1, 9, n).astype(float), rng.integers(0, 3, n)
+    wanted = np.array([True, False, True, True, True, False, False, False, True])
+    rows = np.flatnonzero(rng.random(n) < 0.7)
+    block = t.Block(bins, np.zeros(n), np.zeros(n, np.uint64), np.zeros(n, np.int32))
+    got = t.histograms(block.coded(layout), layout, wanted, rows, slot[rows], 3, g[rows], h[rows])
+    want = np.zeros((3, 3, layout.total))
+    for r in rows:
+        for b in bins[r, wanted]:
+            want[:, slot[r], b] += g[r], h[r], 1
+    assert (got == want).all()
+
+
+def test_half_a_million_rows_are_one_block(spark):
+    rows = spark.range(550_000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    layout = t.fit_layout(rows, ["a"])
+    blocks, number = t.to_blocks(rows, layout, "y", ["id"])
+    assert number == 1
+    tree = t.grow({"m": t.Fit(t.Growth(1, max_depth=2))}, blocks, number, layout).trees["m"][0]
+    assert tree.cover[0] == 550_000
