@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import frugal
 from wardlight.llm.tokens import ragged, slices
 from wardlight.session import materialise, remove, scratch_path
 
@@ -128,7 +129,7 @@ def _sample_phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                     [pa.array(hashes[at].view(np.int64)), pa.array(ids[owner], pa.int64()), pa.array((at - (ends - counts)[owner]).astype(np.int32))],
                     ["a", "doc_id", "place"])
 
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "a bigint, doc_id bigint, place int")
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(frugal(run), "a bigint, doc_id bigint, place int")
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
                 z = [squeeze.compress(t) for t in part.column(2).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], ["doc_id", "t", "z"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id bigint, t bigint, z binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(frugal(run), "doc_id bigint, t bigint, z binary")
 
 
 _STREAMED = "shard int, kind int, doc_id bigint, t bigint, start int, words int, part binary"
@@ -178,7 +179,7 @@ def _route(placed: DataFrame, window: int, phrase: int) -> DataFrame:
                             pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
                         ["shard", "kind", "doc_id", "t", "start", "words", "part"])
 
-    return placed.select("doc_id", "t", "z", "found").mapInArrow(run, _STREAMED)
+    return placed.select("doc_id", "t", "z", "found").mapInArrow(frugal(run), _STREAMED)
 
 
 _LOCATED = "a bigint, c bigint, doc_id bigint, t bigint, start int, number int, hashes binary"
@@ -236,7 +237,7 @@ def _locate(streams: DataFrame, window: int, phrase: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     *[pa.array(np.concatenate(c), k) for c, k in zip(out, kinds, strict=False)], pa.array(np.concatenate(out[6]), pa.binary())], names)
 
-    return streams.mapInArrow(run, _LOCATED)
+    return streams.mapInArrow(frugal(run), _LOCATED)
 
 
 def _opened(rows: DataFrame) -> DataFrame:
@@ -251,7 +252,7 @@ def _opened(rows: DataFrame) -> DataFrame:
                     *[batch.column(k).take(take) for k in range(3)], pa.array(np.concatenate(packed)),
                     pa.array(ragged(np.zeros(len(sizes), np.int64), sizes).astype(np.int32))], ["a", "c", "first", "h", "place"])
 
-    return rows.select("a", "c", "first", "hashes").mapInArrow(run, "a bigint, c bigint, first bigint, h bigint, place int")
+    return rows.select("a", "c", "first", "hashes").mapInArrow(frugal(run), "a bigint, c bigint, first bigint, h bigint, place int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_phrases: int = SHARD_PHRASES,
@@ -349,4 +350,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
                     out, size, at = [[], [], [], []], 0, row + 1
 
     return _squeezed(docs).join(runs, ["doc_id", "t"], "left").select("doc_id", "z", "runs").mapInArrow(
-        run, "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, end: bigint>>")
+        frugal(run), "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, end: bigint>>")
