@@ -293,6 +293,43 @@ def test_features_of_few_bins_are_counted_together():
     assert (got == want).all()
 
 
+def _sums_by_rows(layout, bins, rows, slot, g, h, slots):
+    want = np.zeros((3, slots, layout.total))
+    for column in bins.T:
+        for n, weight in enumerate((g, h, np.ones(len(g)))):
+            np.add.at(want[n], (slot[rows], column[rows]), weight[rows])
+    return want
+
+
+def test_features_that_follow_from_others_add_no_codes():
+    rng = np.random.default_rng(5)
+    n = 3000
+    a, b, kind = rng.integers(0, 9, n), rng.integers(0, 9, n), rng.integers(0, 12, n)
+    columns = [a, kind == 3, b, *[kind == k for k in range(4, 12)], a + b, a * b, a > 4, b > 4, (a + b) % 7]
+    layout = t.Layout([f"f{k}" for k in range(len(columns))], [np.unique(c)[:-1].astype(float) for c in columns])
+    bins = layout.bin([c.astype(float) for c in columns])
+    codes = t.Block(bins, np.zeros(n), np.zeros(n, np.uint64), np.zeros(n, np.int32)).coded(layout)
+    assert len(codes) == 2 and max(c.size for c in codes) <= t.OCCURRING
+    assert sorted(f for c in codes for f in c.features) == list(range(len(columns)))
+    for c in codes:
+        assert (c.bins[:, c.code].T == bins[:, c.features]).all()
+
+
+def test_codes_are_those_of_all_rows_not_of_the_sample():
+    rng = np.random.default_rng(6)
+    n = 3 * t.SAMPLED
+    x = rng.integers(0, 200, (n, 3))
+    x[::3] = 0  # all that the sample sees
+    layout = t.Layout(["a", "b", "c"], [np.arange(199.0)] * 3)
+    bins = layout.bin(list(x.T.astype(float)))
+    g, h, slot = rng.integers(-9, 9, n).astype(float), rng.integers(1, 9, n).astype(float), rng.integers(0, 2, n)
+    codes = t.Block(bins, np.zeros(n), np.zeros(n, np.uint64), np.zeros(n, np.int32)).coded(layout)
+    assert len(codes) == 3
+    rows = np.flatnonzero(rng.random(n) < 0.5)
+    got = t.histograms(codes, layout, np.ones(3, bool), rows, slot[rows], 2, g[rows], h[rows])
+    assert (got == _sums_by_rows(layout, bins, rows, slot, g, h, 2)).all()
+
+
 def test_half_a_million_rows_are_one_block(spark):
     rows = spark.range(550_000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
     layout = t.fit_layout(rows, ["a"])
