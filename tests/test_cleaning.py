@@ -36,6 +36,16 @@ def test_align_map_ignores_extra_keys(spark):
     assert got == [("p", 1.5, 0.0), ("q", 0.0, 0.0)]
 
 
+def test_align_map_reads_a_rows_texts_once(spark):
+    df = spark.createDataFrame([("p", {"f3": " 1.5 ", "f7": "428d", "f9": None, "z": "9"}), ("q", {}), ("r", None)], "id string, m map<string,string>")
+    names = [f"f{i}" for i in range(50)]
+    rows = {r["id"]: [r[n] for n in names] for r in c.align_map(df, "m", names, keep=["id"]).collect()}
+    assert rows["p"] == [1.5 if n == "f3" else 0.0 for n in names] and rows["q"] == rows["r"] == [0.0] * 50
+    # Texts are matched inside one expression over the map, which all features share; not by one of their own.
+    plan = c.align_map(df, "m", names[:10])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") == plan.count("transform_values(") > 0
+
+
 def test_coerce_numeric(spark):
     df = spark.createDataFrame([("1", True, None, "id1"), ("bad", False, 2, "id2")], "s string, b boolean, i int, key string")
     assert [tuple(r) for r in c.coerce_numeric(df, keep=["key"]).collect()] == [(1.0, 1.0, 0.0, "id1"), (0.0, 0.0, 2.0, "id2")]
