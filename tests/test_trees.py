@@ -337,3 +337,33 @@ def test_half_a_million_rows_are_one_block(spark):
     assert number == 1
     tree = t.grow({"m": t.Fit(t.Growth(1, max_depth=2))}, blocks, number, layout).trees["m"][0]
     assert tree.cover[0] == 550_000
+
+
+def test_models_over_several_blocks_grow_without_a_job_for_each_level(rows, monkeypatch):
+    layout = t.fit_layout(rows, NAMES)
+    blocks, number = t.to_blocks(rows, layout, "y", ["id"], "fold", 64)
+    fits = {**FITS, "none": t.Fit(t.Growth(0), fold=1)}
+    jobs = lambda: rows.sparkSession.sparkContext.statusTracker().getJobIdsForGroup("trees")
+    rows.sparkSession.sparkContext.setJobGroup("trees", "")
+    try:
+        grown = t.grow(fits, blocks, number, layout)
+        assert len(jobs()) < 6
+        held = t.grow(fits, blocks, number, layout, scores=True).scores
+    finally:
+        rows.sparkSession.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Without tasks side by side, a pass for each level.
+    monkeypatch.setattr(t.exchange, "side_by_side", lambda spark: 0)
+    passes = t.grow(fits, blocks, number, layout)
+    scored = lambda df: sorted((r["model"], r["p"], r["label"]) for r in df.collect())
+    assert scored(held) == scored(t.grow(fits, blocks, number, layout, scores=True).scores)
+    for name in fits:
+        assert len(grown.trees[name]) == fits[name].growth.trees
+        for a, b in zip(grown.trees[name], passes.trees[name], strict=True):
+            assert all((getattr(a, c) == getattr(b, c)).all() for c in ("feature", "threshold", "left", "right", "value", "cover"))
+
+
+def test_more_tasks_than_features_share_the_bins():
+    layout = t.Layout(["a", "b", "c"], [np.arange(200.0), np.arange(1.0), np.arange(30.0)])
+    for tasks in (1, 2, 3, 8):
+        shares = t._shares(layout, tasks)
+        assert len(shares) == tasks and [f for a, b in shares for f in range(a, b)] == [0, 1, 2]
